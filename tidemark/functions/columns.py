@@ -130,3 +130,13 @@ def hex_uniform(text: Column) -> Column:
     """Uniform in (0, 1) from a digest, so a draw depends on its key and seed alone."""
     digits = F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double")
     return (digits + F.lit(0.5)) / F.lit(float(2 ** 52))
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash the rows by key into the session's number of shuffle partitions.
+
+    Panels are few bytes but much work per row, so sizes alone would merge them into
+    one task; a window over the same keys then needs no further exchange.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(parts, *keys)

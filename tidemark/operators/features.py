@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.columns import by_date, non_negative, positive, trailing
+from tidemark.functions.columns import by_date, non_negative, positive, spread, trailing
 
 # Window lengths of the published feature set.
 RETURN_WINDOWS = (1, 5, 10, 21, 63, 126, 252)
@@ -61,13 +61,8 @@ def _with_runs(prices: DataFrame) -> DataFrame:
     )
 
 
-RUN_COLUMNS = (
-    "_row", "_run_price", "_run_volume", "_run_dollars", "_since_bad_price", "_since_bad_volume", "_since_bad_dollars",
-)
-
-
 def _need_runs(prices: DataFrame) -> DataFrame:
-    return prices if "_row" in prices.columns else _with_runs(prices)
+    return prices if "_row" in prices.columns else _with_runs(spread(prices, *KEY))
 
 
 def add_returns(prices: DataFrame, windows: Sequence[int] = RETURN_WINDOWS) -> DataFrame:
@@ -218,7 +213,8 @@ def build_features(prices: DataFrame) -> DataFrame:
 
     Helper columns start with an underscore; :func:`feature_table` drops them.
     """
-    base = _with_runs(prices.select("ticker", "date", "open", "high", "low", "close", "volume"))
+    picked = prices.select("ticker", "date", "open", "high", "low", "close", "volume")
+    base = _with_runs(spread(picked, *KEY))
     out = add_rolling_drawdown(add_rsi(add_volume(add_ohlc(add_volatility(add_sma(add_returns(base)))))))
     return out
 
