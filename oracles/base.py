@@ -9,7 +9,7 @@ FREQ = {
 
 
 def r(expr: str, digits: int = 6) -> str:
-    return f"(round(CAST({expr} AS DOUBLE), {digits}) + 0.0)"
+    return f"(round(CAST({expr} AS DOUBLE) + 1e-{digits + 4}, {digits}) + 0.0)"
 
 
 def trades(level: str = "type", name: str = "trades") -> str:

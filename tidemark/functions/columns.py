@@ -9,9 +9,13 @@ MONDAY_EPOCH = "1970-01-05"
 
 
 def rnd(column, digits: int = 6) -> Column:
-    """Round for output; adding zero turns a negative zero into zero."""
+    """Round for output.
+
+    A nudge far below the last digit moves exact halves, which a ratio of cents and
+    pieces often hits, off the boundary; adding zero turns a negative zero into zero.
+    """
     column = F.col(column) if isinstance(column, str) else column
-    return F.round(column, digits) + F.lit(0.0)
+    return F.round(column + F.lit(10.0 ** -(digits + 4)), digits) + F.lit(0.0)
 
 
 def rounded(df: DataFrame, digits: int = 6, **overrides: int) -> DataFrame:

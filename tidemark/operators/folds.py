@@ -73,8 +73,8 @@ def available_as_of(
     reach = F.sequence(
         F.trunc("label_end_date", "month"), F.trunc(F.add_months("feature_date", 12 * years), "month"), F.expr("interval 1 month")
     )
-    spread = usable.where(F.col("label_end_date") <= F.add_months("feature_date", 12 * years)).withColumn(
-        "_month", F.explode(reach).cast("date")
+    spread = usable.where(F.col("label_end_date") <= F.add_months("feature_date", 12 * years)).select(
+        "*", F.explode(F.transform(reach, lambda month: month.cast("date"))).alias("_month")
     )
     dated = selections.withColumn("_month", F.trunc("selection_date", "month").cast("date"))
     joined = spread.join(dated, [*keys, "_month"])
@@ -163,10 +163,10 @@ def annual_members(rows: DataFrame, train_years: int) -> DataFrame:
     year = F.year("date")
     bounds = rows.agg(F.struct(F.min(year).alias("lo"), F.max(year).alias("hi"))).scalar()
     years = F.filter(
-        F.sequence(year, year + train_years),
-        lambda y: (y <= bounds["hi"]) & (y >= bounds["lo"] + train_years),
+        F.sequence(year, year + train_years), lambda y: (y <= F.col("_hi")) & (y >= F.col("_lo") + train_years)
     )
-    listed = rows.withColumn("validation_year", F.explode(years))
+    bounded = rows.withColumns({"_lo": bounds["lo"], "_hi": bounds["hi"]})
+    listed = bounded.withColumn("validation_year", F.explode(years)).drop("_lo", "_hi")
     return listed.withColumn(
         "role", F.when(F.col("validation_year") == F.year("date"), F.lit("validation")).otherwise(F.lit("train"))
     )
