@@ -62,8 +62,10 @@ def clean_date(value: Column) -> Column:
 
 
 def normalized_name(value: Column, aliases: bool = False) -> Column:
-    """Upper case, letters and digits only, generic words dropped, issuers spelled one way."""
-    text = F.trim(F.regexp_replace(F.upper(clean_text(value)), "[^A-Z0-9]+", " "))
+    """Upper case, letters and digits only, generic words dropped; with aliases issuers are
+    spelled one way and a missing name stays empty."""
+    source = F.coalesce(value, F.lit("")) if aliases else clean_text(value)
+    text = F.trim(F.regexp_replace(F.upper(source), "[^A-Z0-9]+", " "))
     if aliases:
         for old, new in ISSUER_ALIASES:
             text = F.replace(text, F.lit(old), F.lit(new))

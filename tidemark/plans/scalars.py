@@ -49,7 +49,7 @@ def listing_rows(spark, sf):
 
 
 def lifecycle(spark, sf):
-    return metadata.lifecycles(listing_rows(spark, sf))
+    return panel.kept(spark, ("lifecycle", sf), lambda: metadata.lifecycles(listing_rows(spark, sf)))
 
 
 def current_snapshot(spark, sf):
@@ -82,7 +82,10 @@ def official_evidence(spark, sf):
 
 
 def conflicts(spark, sf):
-    return metadata.vendor_conflicts(lifecycle(spark, sf), current_snapshot(spark, sf), price_audit(spark, sf), other_entities(spark, sf))
+    def build():
+        return metadata.vendor_conflicts(lifecycle(spark, sf), current_snapshot(spark, sf), price_audit(spark, sf), other_entities(spark, sf))
+
+    return panel.kept(spark, ("vendor_conflicts", sf), build)
 
 
 @query
@@ -281,7 +284,10 @@ def eligibility_table(spark, sf):
     resolved = conflicts(spark, sf).withColumn(
         "resolution_status", F.when(F.col("conflict_types") == "active_name_mismatch", "resolved_by_official_issuer_evidence").otherwise(F.col("resolution_status"))
     )
-    return metadata.eligibility(lifecycle(spark, sf), current_snapshot(spark, sf), official_evidence(spark, sf), price_audit(spark, sf), resolved)
+    return panel.kept(
+        spark, ("eligibility", sf),
+        lambda: metadata.eligibility(lifecycle(spark, sf), current_snapshot(spark, sf), official_evidence(spark, sf), price_audit(spark, sf), resolved),
+    )
 
 
 @query
