@@ -194,6 +194,10 @@ def win_rank_min(spark, sf):
 
 def model_dataset(spark, sf):
     """Features and target of the sector tickers, one row per ticker and day."""
+    return panel.kept(spark, ("model_dataset", sf), lambda: _model_dataset(spark, sf))
+
+
+def _model_dataset(spark, sf):
     prices = panel.bars(spark, sf, "type", "day").select("ticker", "date", "open", "high", "low", "close", "volume")
     feats = features.add_volatility(features.add_sma(features.add_returns(prices, (5, 21)), (21,)), (21,))
     keep = ["return_5d", "return_21d", "price_to_sma_21", "volatility_21d"]
