@@ -13,21 +13,23 @@ from tidemark.operators.episodes import weekday_gaps
 OHLC = ("open", "high", "low", "close")
 
 
-def clean_prices(quotes: DataFrame, sequence: Sequence[str]) -> DataFrame:
+def clean_prices(quotes: DataFrame, sequence: str) -> DataFrame:
     """Text quotes to one valid row per (ticker, date): the last in file order wins.
 
-    Expects ticker, date_text, close_text, volume_text and the ordering columns.
+    Expects ticker, date_text, close_text, volume_text and a numeric ordering column, so
+    the fold is a hash aggregation on the map side, however often a date repeats.
     """
     typed = quotes.select(
         F.upper(F.trim("ticker")).alias("ticker"),
         F.to_date(F.try_to_timestamp("date_text")).alias("date"),
         finite(F.expr("try_cast(close_text AS double)")).alias("close"),
         finite(F.expr("try_cast(volume_text AS double)")).alias("volume"),
-        *sequence,
+        sequence,
     )
     usable = typed.where(F.col("date").isNotNull() & (F.col("close") > 0))
-    last = F.max_by(F.struct("close", "volume"), F.struct(*sequence))
-    return usable.groupBy("ticker", "date").agg(last.alias("q")).select("ticker", "date", "q.close", "q.volume")
+    return usable.groupBy("ticker", "date").agg(
+        F.max_by("close", sequence).alias("close"), F.max_by("volume", sequence).alias("volume")
+    )
 
 
 def valid_window(prices: DataFrame, start: Column, end: Column) -> DataFrame:

@@ -22,7 +22,7 @@ def text_quotes(spark, sf):
         F.when(F.col("l_linenumber") == 6, "not a date").otherwise(F.concat(F.col("day").cast("string"), F.lit("T00:00:00Z"))).alias("date_text"),
         F.when(F.col("l_linenumber") == 7, "n/a").when(F.col("quantity") == 1, F.lit("-1")).when(F.col("quantity") == 2, F.lit("NaN"))
         .otherwise(F.col("cents").cast("string")).alias("close_text"),
-        F.col("quantity").cast("bigint").cast("string").alias("volume_text"), *panel.SEQUENCE,
+        F.col("quantity").cast("bigint").cast("string").alias("volume_text"), "seq",
     )
 
 
@@ -38,7 +38,7 @@ def raw_ohlcv(spark, sf):
 
 @query
 def clean_prices(spark, sf):
-    return rounded(clean.clean_prices(text_quotes(spark, sf), panel.SEQUENCE))
+    return rounded(clean.clean_prices(text_quotes(spark, sf), "seq"))
 
 
 @query

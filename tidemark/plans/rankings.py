@@ -115,7 +115,7 @@ def set_except_keys(spark, sf):
 @query
 def set_dedupe(spark, sf):
     """First and last trade of each instrument and day by order key: a repeated key keeps one row."""
-    key = F.struct(*panel.SEQUENCE)
+    key = F.col("seq")
     rows = panel.trades(spark, sf, "instrument").groupBy("ticker", "day").agg(
         F.min_by("quantity", key).alias("first_quantity"), F.max_by("quantity", key).alias("last_quantity"), (F.count(F.lit(1)) - 1).alias("dropped")
     )

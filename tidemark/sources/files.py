@@ -156,9 +156,8 @@ def merge_incremental(history: DataFrame, fresh: DataFrame, keys: Sequence[str]
     """History plus fresh rows; a fresh row replaces a historic one. Folds on the map side."""
     columns = [c for c in history.columns if c not in keys]
     both = history.select(*keys, *columns, F.lit(0).alias("_p")).unionByName(fresh.select(*keys, *columns, F.lit(1).alias("_p")))
-    best = F.max_by(F.struct(*columns, "_p"), "_p")
-    return both.groupBy(*keys).agg(best.alias("_b")).select(
-        *keys, *[F.col(f"_b.{c}").alias(c) for c in columns], F.when(F.col("_b._p") == 1, "fresh").otherwise("history").alias("origin")
+    return both.groupBy(*keys).agg(
+        *[F.max_by(c, "_p").alias(c) for c in columns], F.when(F.max("_p") == 1, "fresh").otherwise("history").alias("origin")
     )
 
 

@@ -52,6 +52,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return _once(spark, ("table", path), lambda: spark.read.parquet(path))
 
 
+def file_order() -> Column:
+    """The four order columns packed into one decimal: 15, 1, 11 and 11 digits.
+
+    A decimal fits a hash-aggregation buffer; ordering by a struct would make Spark
+    sort every trade before its first fold.
+    """
+    line = (F.col("l_orderkey") * 10 + F.col("l_linenumber")).cast("decimal(16,0)")
+    part, supplier = F.col("l_partkey").cast("decimal(11,0)"), F.col("l_suppkey").cast("decimal(11,0)")
+    return (line * F.lit("1" + "0" * 22).cast("decimal(23,0)") + part * F.lit("1" + "0" * 11).cast("decimal(12,0)") + supplier).cast("decimal(38,0)")
+
+
 def ticker_of(level: str) -> Column:
     if level == "type":
         return F.col("p_type")
@@ -81,8 +92,9 @@ def trades(spark: SparkSession, sf_dir: str, level: str = "type") -> DataFrame:
         F.col("p_type").alias("sector"),
         "day",
         F.col("l_quantity").alias("quantity"),
-        F.round(F.col("l_extendedprice") * 100).cast("bigint").alias("cents"),
+        F.floor(F.col("l_extendedprice") * 100 + 0.5).cast("bigint").alias("cents"),
         (F.col("l_extendedprice") / F.col("l_quantity")).alias("unit_price"),
+        file_order().alias("seq"),
         *SEQUENCE,
     )
 
@@ -102,7 +114,7 @@ def _build_bars(spark: SparkSession, sf_dir: str, level: str, freq: str) -> Data
         trades(spark, sf_dir, level)
         .groupBy("ticker", "sector", bin_of(F.col("day"), freq).alias("date"))
         .agg(
-            F.min_by("unit_price", F.struct(*SEQUENCE)).alias("open"),
+            F.min_by("unit_price", "seq").alias("open"),
             F.max("unit_price").alias("high"),
             F.min("unit_price").alias("low"),
             (F.sum("cents") / F.lit(100.0) / F.sum("quantity")).alias("close"),
