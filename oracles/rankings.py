@@ -36,6 +36,6 @@ SQL = {
         WHERE NOT EXISTS (SELECT 1 FROM bars b WHERE b.ticker = t.ticker AND b.date = c.date)""",
     "set_dedupe": f"""WITH {trades('instrument')} SELECT ticker, day, {r('arg_min(quantity, row(l_orderkey, l_linenumber, l_partkey, l_suppkey))')} AS first_quantity,
         {r('arg_max(quantity, row(l_orderkey, l_linenumber, l_partkey, l_suppkey))')} AS last_quantity, count(*) - 1 AS dropped FROM trades GROUP BY ticker, day HAVING count(*) > 1""",
-    "set_signature_compare": f"""WITH {forecasts()}, p AS (SELECT "window", md5(string_agg(DISTINCT ticker || '|' || date || '|' || testing_end_date, ',' ORDER BY ticker || '|' || date || '|' || testing_end_date)) AS signature,
+    "set_signature_compare": f"""WITH {forecasts()}, p AS (SELECT "window", CAST(sum(CAST('0x' || substr(md5(ticker || '|' || date || '|' || testing_end_date), 1, 8) AS BIGINT)) AS BIGINT) AS signature,
         count(*) AS tests FROM forecasts GROUP BY ALL) SELECT "window", signature, tests, (SELECT count(DISTINCT signature) FROM p) AS distinct_signatures FROM p""",
 }

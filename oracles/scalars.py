@@ -57,7 +57,48 @@ SLEEVE = "CASE " + " ".join(
     f"WHEN regexp_matches(fund_name, {lit(p)}, 'i')" + (f" AND NOT regexp_matches(fund_name, {lit(text.NON_EQUITY_ENERGY)}, 'i')" if k == "Energy" else "") + f" THEN {lit(k)}" for k, p in text.SLEEVE_RULES
 ) + " ELSE '' END"
 
+ACTIVE = "lower(status) = 'active'"
+GUESS = lambda label: f"CASE WHEN list_contains(l, '{label}') THEN true END"
+VER = lambda truth, guess: f"CASE WHEN ver THEN {truth} ELSE {guess} END"
+META = f"""{CONF}, m0 AS (SELECT 'lc_' || substr(sha256(entity_key), 1, 20) AS lifecycle_id, life.ticker, life.fund_name, life.status, life.ipo_date, n, listing_date, n % 2 = 1 AS ver FROM life JOIN named USING (ticker)),
+  m1 AS (SELECT *, {LABELS} AS l FROM m0),
+  dis AS (SELECT DISTINCT ticker FROM conf WHERE conflict_types <> 'active_name_mismatch'),
+  m2 AS (SELECT m1.*, {VER("'ETF'", "CASE WHEN list_contains(l, 'etn') THEN 'ETN' ELSE 'ETF' END")} AS instrument_type,
+    {VER("'equity'", f"CASE WHEN list_has_any(l, ['fixed_income', 'convertible_bond']) THEN 'fixed_income' WHEN list_contains(l, 'commodity') THEN 'commodity' WHEN list_contains(l, 'crypto') THEN 'crypto' WHEN list_contains(l, 'currency') THEN 'currency' WHEN list_contains(l, 'multi_asset') THEN 'multi_asset' WHEN list_contains(l, 'mlp') THEN 'mlp' WHEN regexp_matches(upper(fund_name), {lit(text.EQUITY_RULE)}) THEN 'equity_preliminary' ELSE 'unknown' END")} AS asset_class,
+    {VER("'United States'", f"CASE WHEN list_contains(l, 'international_or_global') THEN 'non_us_or_global' WHEN regexp_matches(upper(fund_name), {lit(text.UNITED_STATES_RULE)}) THEN 'United States_preliminary' ELSE 'unknown' END")} AS geographic_scope,
+    {VER("n = 13", GUESS('leveraged'))} AS leveraged_flag, {VER("n = 17", GUESS('inverse'))} AS inverse_flag,
+    {VER("false", f"CASE WHEN regexp_matches(upper(fund_name), {lit(text.SINGLE_STOCK_RULE)}) THEN true END")} AS single_stock_flag, {VER("false", "list_contains(l, 'etn')")} AS etn_flag,
+    {VER("CASE WHEN n = 19 THEN NULL ELSE false END", GUESS('option_or_defined_outcome'))} AS option_overlay_flag, {VER("false", f"regexp_matches(fund_name, {lit(text.THEMATIC_RULE)}, 'i')")} AS thematic_flag,
+    n % 5 = 0 OR dis.ticker IS NOT NULL AS conflict, n % 4 <> 0 OR status = 'Delisted' AS identity, n % 8 <> 0 AS pc,
+    {ACTIVE} AND n % 7 <> 0 AS act FROM m1 LEFT JOIN dis ON dis.ticker = m1.ticker),
+  m3 AS (SELECT *, ver AND act AND n NOT IN (13, 17, 19) AND NOT conflict AND identity AND pc AS eligible, CASE WHEN ver THEN [] ELSE l END AS lab, conflict OR lower(status) = 'active_needs_review' AS unres FROM m2),
+  m4 AS (SELECT *, NOT unres AND len(lab) = 0 AND NOT eligible AS pend FROM m3),
+  meta AS (SELECT lifecycle_id, ticker, fund_name, status, instrument_type, asset_class, geographic_scope, leveraged_flag, inverse_flag, single_stock_flag, etn_flag, option_overlay_flag, thematic_flag,
+    CASE WHEN unres THEN 'low' WHEN len(lab) > 0 THEN 'medium' WHEN eligible OR ver THEN 'high' ELSE 'low' END AS classification_confidence,
+    CASE WHEN unres THEN 'needs_review' WHEN len(lab) > 0 THEN 'excluded' WHEN eligible THEN 'clean' ELSE 'needs_review' END AS review_status,
+    array_to_string(list_sort(list_distinct(list_concat(lab, list_filter([CASE WHEN unres THEN 'unresolved_lifecycle_or_vendor_conflict' END, CASE WHEN pend AND coalesce(thematic_flag, false) THEN 'thematic_manual_review' END,
+      CASE WHEN pend AND NOT ver THEN 'insufficient_structured_classification_evidence' END, CASE WHEN pend AND NOT pc THEN 'price_data_not_clean' END, CASE WHEN pend AND NOT identity THEN 'price_identity_not_confirmed' END], lambda t: t IS NOT NULL)))), '|') AS exclusion_reason,
+    eligible, conflict AS lifecycle_conflict, identity AS price_identity_match FROM m4)"""
+REJ = f"""{META}, r0 AS (SELECT meta.*, {N} AS n FROM meta WHERE review_status <> 'clean'),
+  r1 AS (SELECT *, list_filter(list_concat([CASE WHEN n % 4 = 1 THEN 'broad_market_or_size_style' END, CASE WHEN n % 11 = 0 THEN 'industry_or_subindustry_not_sector' END, CASE WHEN leveraged_flag THEN 'leveraged' END,
+    CASE WHEN inverse_flag THEN 'inverse' END, CASE WHEN single_stock_flag THEN 'single_stock' END, CASE WHEN etn_flag THEN 'etn' END, CASE WHEN option_overlay_flag THEN 'option_or_defined_outcome' END, CASE WHEN thematic_flag THEN 'thematic' END],
+    string_split(exclusion_reason, '|')), lambda t: t IS NOT NULL AND t <> '') AS rs FROM r0),
+  rej AS (SELECT *, CASE WHEN len(rs) = 0 THEN 'not_in_officially_verified_standard_sector_pool'
+    ELSE array_to_string(list_transform(list_filter(list_zip(rs, range(1, len(rs) + 1)), lambda t: list_position(rs, t[1]) = t[2]), lambda t: t[1]), '|') END AS rejection_reason FROM r1)"""
+
 SQL = {
+    "meta_eligibility": f"WITH {META} SELECT * FROM meta",
+    "meta_rejections": f"WITH {REJ} SELECT lifecycle_id, ticker, status, review_status, rejection_reason FROM rej",
+    "meta_review_priority": f"""WITH {REJ} SELECT row_number() OVER (ORDER BY rejection_reason, ticker, lifecycle_id) AS manual_review_priority, lifecycle_id, ticker, fund_name,
+        CASE WHEN lifecycle_conflict THEN 'historical OHLCV identity/cache; ticker lifecycle conflict' ELSE 'historical OHLCV identity/cache' END AS unresolved_fields
+        FROM rej WHERE lower(status) = 'delisted' AND n % 10 = 5""",
+    "chk_clean_universe": f"WITH {META}, c AS (SELECT * FROM meta WHERE review_status = 'clean') " + " UNION ALL ".join(
+        f"SELECT CAST({k} AS BIGINT) AS check_id, '{name}' AS check_name, CASE WHEN count(*) FILTER ({bad}) = 0 THEN 'PASS' ELSE 'FAIL' END AS status, count(*) FILTER ({bad}) AS violations FROM c"
+        for k, name, bad in [
+            *[(k, f"{f}_is_false", f"coalesce({f}, true)") for k, f in enumerate(("leveraged_flag", "inverse_flag", "single_stock_flag", "etn_flag", "option_overlay_flag", "thematic_flag", "lifecycle_conflict"), start=1)],
+            (8, "instrument_type_is_etf", "instrument_type <> 'ETF'"), (9, "asset_class_is_equity", "asset_class <> 'equity'"), (10, "scope_is_united_states", "geographic_scope <> 'United States'"), (11, "eligible", "NOT eligible"),
+        ]
+    ),
     "fn_clean_text": """SELECT CASE WHEN o_orderstatus = 'P' THEN 'unknown' ELSE o_orderpriority END AS priority,
         substr(CASE WHEN o_orderstatus = 'F' THEN 'unknown' ELSE CAST(CAST(o_orderdate AS DATE) AS VARCHAR) END, 1, 7) AS month, count(*) AS orders FROM orders GROUP BY ALL""",
     "fn_norm_name": "SELECT upper(p_name) || ' ' || upper(replace(p_brand, '#', ' ')) AS name, count(*) AS parts, CAST(max(p_size) AS BIGINT) AS max_size FROM part GROUP BY 1",

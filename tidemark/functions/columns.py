@@ -137,10 +137,11 @@ def hex_uniform(text: Column) -> Column:
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Hash the rows by key into the session's number of shuffle partitions.
+    """Hash the rows by key over the cores at hand.
 
     Panels are few bytes but much work per row, so sizes alone would merge them into
     one task; a window over the same keys then needs no further exchange.
     """
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(parts, *keys)
+    session = df.sparkSession
+    cores = session.sparkContext.defaultParallelism
+    return df.repartition(min(int(session.conf.get("spark.sql.shuffle.partitions")), 2 * cores), *keys)
