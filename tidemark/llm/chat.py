@@ -40,7 +40,7 @@ def expand(conversations: DataFrame) -> DataFrame:
     one row, as its longest example must be.
     """
     clean = conversations.select(
-        "conv_id", F.struct(F.col("turn").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).alias("row")
+        "conv_id", F.struct(F.col("turn").isNull().alias("late"), F.col("turn").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).alias("row")
     )
     whole = clean.groupBy("conv_id").agg(F.array_sort(F.collect_list("row")).alias("turns"))
     last = F.size("turns") - 1

@@ -126,7 +126,7 @@ def meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             i, j = np.nonzero(close)
             ends[0].append(rows[i])
             ends[1].append(high[j])
-        for c, m in stars(np.concatenate(ends[0]), np.concatenate(ends[1]), len(keys)):
+        for c, m in stars(np.concatenate(ends[0]), np.concatenate(ends[1]), len(keys)) if ends[0] else ():
             left.append(keys[c])
             right.append(keys[m])
         if len(left) > 20_000:

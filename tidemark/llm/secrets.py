@@ -28,8 +28,11 @@ ENCODINGS = (
     (r"^[0-9a-f]+$", DIGITS + LOWER[:6]), (r"^[0-9A-F]+$", DIGITS + UPPER[:6]), (r"^[A-Z2-7]+=*$", UPPER + "234567"), (r"^[0-9a-z]+$", DIGITS + LOWER),
     (r"^[0-9A-Z]+$", DIGITS + UPPER), (r"^[0-9A-Za-z]+$", UPPER + LOWER + DIGITS), (r"^[0-9A-Za-z+/]+=*$", UPPER + LOWER + DIGITS + "+/"), (r"^[0-9A-Za-z_-]+=*$", UPPER + LOWER + DIGITS + "-_"),
 )
-#: Ordinary writing: chance that two letters are equal, sum of cubed letter shares, chance that the class changes.
-COLLISION, CUBES, CLASS_CHANGE = 0.0667, 0.0059, 0.15
+#: Ordinary writing: chance that two letters are equal and sum of cubed letter shares, the same for writing of
+#: hexadecimal digits only, and the chance that the character class changes.
+COLLISION, CUBES, HEX_COLLISION, HEX_CUBES, CLASS_CHANGE = 0.0667, 0.0059, 0.2, 0.05, 0.15
+#: Each test must point to randomness by itself this far before the two are combined.
+EACH_P = 0.1
 FALSE_DISCOVERY = 0.01
 #: Lower ends of the length classes; decibans are tenths of -log10 p.
 LENGTHS, MOST_DECIBANS = (20, 32, 48, 64), 600
@@ -76,8 +79,10 @@ def decibans(found: Column) -> Column:
 
     def statistic(t: Column) -> Column:
         pairs = n * (n - 1) / 2
-        variance = pairs * COLLISION * (1 - COLLISION) + n * (n - 1) * (n - 2) * (CUBES - COLLISION**2)
-        unlike = tail((pairs * COLLISION - (t["q"] - n) / 2) / F.sqrt(variance))
+        narrow = t["k"] <= 16
+        equal, cubes = F.when(narrow, HEX_COLLISION).otherwise(COLLISION), F.when(narrow, HEX_CUBES).otherwise(CUBES)
+        variance = pairs * equal * (1 - equal) + n * (n - 1) * (n - 2) * (cubes - equal * equal)
+        unlike = tail((pairs * equal - (t["q"] - n) / 2) / F.sqrt(variance))
         changes = tail((t["runs"] - 1 - (n - 1) * CLASS_CHANGE) / F.sqrt((n - 1) * CLASS_CHANGE * (1 - CLASS_CHANGE)))
         half_fisher = -(F.log(unlike) + F.log(changes))
         combined = (half_fisher - F.log(1 + half_fisher)) / math.log(10.0)
@@ -87,7 +92,7 @@ def decibans(found: Column) -> Column:
         spread = F.aggregate(t["v"], F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean))
         product = F.aggregate(F.arrays_zip(F.slice(t["v"], F.lit(1), F.size(t["v"]) - 1).alias("a"), F.slice(t["v"], F.lit(2), F.size(t["v"]) - 1).alias("b")), F.lit(0.0), lambda a, x: a + (x["a"] - mean) * (x["b"] - mean))
         serial = F.abs(product) <= 4.0 * spread / F.sqrt(n)
-        return F.when(uniform & serial & (spread > 0), F.least(F.floor(combined * 10), F.lit(MOST_DECIBANS)).cast("int"))
+        return F.when(uniform & serial & (spread > 0) & (unlike <= EACH_P) & (changes <= EACH_P), F.least(F.floor(combined * 10), F.lit(MOST_DECIBANS)).cast("int"))
 
     return F.when(mixed & alphabet.isNotNull(), let(F.struct(alphabet.alias("alphabet")), battery))
 
