@@ -43,19 +43,18 @@ def signatures(text: Column, anchors: tuple[str, ...] = tuple(dict.fromkeys(ANCH
 
         def chained(t: Column) -> Column:
             link = lambda at: [F.get(t["content"], at + k) for k in range(chain)]
-            spots = F.transform(t["places"], lambda a, j: F.xxhash64(F.get(words, a), *link(a - j)))
-            start = [F.xxhash64(F.lit("^"), *link(F.lit(0))[:n]) for n in dict.fromkeys((1, chain))]
+            spots = F.transform(t["places"], lambda a, j: F.hash(F.get(words, a), *link(a - j)))
+            start = [F.hash(F.lit("^"), *link(F.lit(0))[:n]) for n in dict.fromkeys((1, chain))]
             return F.concat(F.array(*start), spots)
 
         return let(F.struct(places.alias("places"), content.alias("content")), chained)
 
-    hashed = F.transform(let(words_of(text), of), lambda h: h.bitwiseAND(F.lit(0xFFFFFFFF)))
-    return F.array_sort(F.array_distinct(hashed))
+    return F.array_sort(F.array_distinct(let(words_of(text), of)))
 
 
 def printed(signs: Column) -> Column:
-    """The set as a string: eight hex digits for each signature, ascending."""
-    return F.array_join(F.transform(signs, lambda h: F.lower(F.lpad(F.hex(h), 8, "0"))), "")
+    """The set as a string: eight hex digits for each signature, in the order of signed numbers."""
+    return F.array_join(F.transform(signs, lambda h: F.lower(F.lpad(F.right(F.hex(h), F.lit(8)), 8, "0"))), "")
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -116,23 +115,24 @@ def next_documents(docs: DataFrame) -> DataFrame:
 def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint each text, and it with its last quarter replaced by the start of the next document.
 
-    Null texts are empty; a table of one document is its own next. Repeated rows give equal rows.
+    Null texts are empty; a table of one document is its own next. Repeated rows give equal rows. Whole texts
+    are dealt by document once: the same exchange serves each document as itself and as the next of another,
+    and only the part that the other needs, with its signatures, moves on.
     """
+    no_id = -(2**63)
+    key = lambda name: F.coalesce(F.col(name), F.lit(no_id))
     docs = table(spark, sf_dir, "documents").select("doc_id", whole_text("text").alias("text"))
-    links = next_documents(docs)
-    marked = docs.withColumn("mark", F.xxhash64("text"))
-    other = marked.distinct().select(F.col("doc_id").alias("o_id"), F.col("mark").alias("o_mark"), F.col("text").alias("o_text"))
-    quarter = F.floor(F.col("n") / 4).cast("int")
-    heads = links.join(other, F.col("next_id").eqNullSafe(F.col("o_id")) & (F.col("next_mark") == F.col("o_mark"))).select(
-        F.col("doc_id").alias("p_id"), F.col("mark").alias("p_mark"), F.substring(F.col("o_text"), F.lit(1), quarter).alias("head"), signatures(F.col("o_text")).alias("next_signs")
-    )
-    both = marked.join(heads, F.col("doc_id").eqNullSafe(F.col("p_id")) & (F.col("mark") == F.col("p_mark")))
+    links = next_documents(docs).select(key("doc_id").alias("p_key"), F.col("mark").alias("p_mark"), F.floor(F.col("n") / 4).cast("int").alias("quarter"), key("next_id").alias("key"), F.col("next_mark").alias("mark"))
+    dealt = docs.select(key("doc_id").alias("key"), F.xxhash64("text").alias("mark"), "text").repartition("key", "mark")
+    once = dealt.withColumn("copy", F.row_number().over(Window.partitionBy("key", "mark").orderBy(F.lit(1)))).filter("copy = 1")
+    heads = once.join(links, ["key", "mark"]).select("p_key", "p_mark", F.substring(F.col("text"), F.lit(1), F.col("quarter")).alias("head"), signatures(F.col("text")).alias("next_signs"))
+    heads = heads.withColumnsRenamed({"p_key": "key", "p_mark": "mark"})
     n = F.char_length("text")
     kept = F.substring(F.col("text"), F.lit(1), n - F.floor(n / 4).cast("int"))
-    edited = both.select("doc_id", n.cast("long").alias("n_chars"), "text", F.concat(kept, F.col("head")).alias("edited"), "next_signs")
-    signed = edited.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), signatures(F.col("text")).alias("signs"), signatures(F.col("edited")).alias("edited_signs"), "next_signs")
+    edited = dealt.join(heads, ["key", "mark"]).select("key", n.cast("long").alias("n_chars"), "text", F.concat(kept, F.col("head")).alias("edited"), "next_signs")
+    signed = edited.select("key", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), signatures(F.col("text")).alias("signs"), signatures(F.col("edited")).alias("edited_signs"), "next_signs")
     return signed.select(
-        "doc_id", "n_chars", "edited_sha256", printed(F.col("signs")).alias("fingerprint"), printed(F.col("edited_signs")).alias("edited_fingerprint"),
+        F.when(F.col("key") != no_id, F.col("key")).alias("doc_id"), "n_chars", "edited_sha256", printed(F.col("signs")).alias("fingerprint"), printed(F.col("edited_signs")).alias("edited_fingerprint"),
         likeness(F.col("signs"), F.col("edited_signs")).alias("near_edited"), likeness(F.col("signs"), F.col("next_signs")).alias("near_next"),
     )
 
