@@ -32,10 +32,11 @@ SQL = {
         SELECT g.ticker, g.date, b.date AS price_date, {r('b.close')} AS close FROM g ASOF LEFT JOIN bars b ON b.ticker = g.ticker AND g.date >= b.date""",
     "join_asof_forward": f"""WITH {D}, {MONTH_ENDS}, g AS (SELECT t.ticker, m.selection_date AS date FROM (SELECT DISTINCT ticker FROM bars) t CROSS JOIN months m)
         SELECT g.ticker, g.date, b.date AS next_date, {r('b.close')} AS next_close FROM g ASOF LEFT JOIN bars b ON b.ticker = g.ticker AND g.date < b.date""",
-    "join_purge_theta": f"""WITH {DATASET}, x AS (SELECT DISTINCT ticker, feature_date, label_end_date, CAST(q AS DATE) AS validation_start
-          FROM (SELECT *, unnest([date_trunc('quarter', label_end_date), date_trunc('quarter', feature_date)]) AS q FROM ds WHERE target IS NOT NULL))
-        SELECT ticker, validation_start, count(*) FILTER (feature_date < validation_start AND label_end_date < validation_start) AS kept,
-          count(*) FILTER (feature_date < validation_start AND label_end_date >= validation_start) AS purged FROM x GROUP BY ALL""",
+    "join_purge_theta": f"""WITH {DATASET}, x AS MATERIALIZED (SELECT ticker, feature_date, label_end_date FROM ds WHERE target IS NOT NULL),
+        v AS (SELECT DISTINCT ticker, CAST(date_trunc('quarter', feature_date) AS DATE) AS validation_start FROM x)
+        SELECT v.ticker, v.validation_start, count(*) FILTER (x.label_end_date < v.validation_start) AS kept,
+          count(*) FILTER (x.feature_date < v.validation_start AND x.label_end_date >= v.validation_start) AS purged
+        FROM v JOIN x ON v.ticker = x.ticker GROUP BY ALL""",
     "join_self_pairs": f"""WITH {base('week')} SELECT a.ticker AS i, b.ticker AS j, count(*) AS weeks, {r('avg(a.ret * b.ret)')} AS mean_product
         FROM rets a JOIN rets b ON a.date = b.date AND a.ticker <= b.ticker GROUP BY ALL""",
     "join_self_windows": L1,

@@ -1,36 +1,11 @@
-"""SQL of the model evaluation queries."""
+"""SQL of the model evaluation queries.
 
-from oracles.base import r
-from oracles.windows import DATASET, FOLDS
+Metrics and selection read fitted predictions, which SQL cannot give; tests hold them against direct solves.
+"""
 
-PRED = f"""{FOLDS}, mn AS (SELECT ticker, selection_date, fold, avg(target) AS b, count(*) AS tn FROM mem WHERE role = 'train' GROUP BY ALL),
-  v AS (SELECT m.*, b, tn FROM mem m JOIN mn USING (ticker, selection_date, fold) WHERE role = 'validation'),
-  pr AS (SELECT ticker, selection_date, fold, 'OLS' AS model, target AS a, b AS p, b, tn FROM v
-    UNION ALL SELECT ticker, selection_date, fold, 'Ridge', target, b + 0.1 * return_21d, b, tn FROM v
-    UNION ALL SELECT ticker, selection_date, fold, 'Lasso', target, b - 0.1 * return_5d, b, tn FROM v
-    UNION ALL SELECT ticker, selection_date, fold, 'RandomForest', target, b - 0.2 * price_to_sma_21, b, tn FROM v
-    UNION ALL SELECT ticker, selection_date, fold, 'XGBoost', target, b * volatility_21d, b, tn FROM v),
-  ok AS (SELECT ticker, selection_date, fold, model, CASE WHEN s THEN a END AS a, CASE WHEN s THEN p END AS p, CASE WHEN s THEN b END AS b
-    FROM (SELECT *, NOT (tn < 252 OR (model = 'XGBoost' AND fold = 1)) AS s FROM pr)),
-  fo AS (SELECT ticker, selection_date, model, fold, avg((a - p) * (a - p)) AS mse, sum((a - p) * (a - p)) AS sse, sum((a - b) * (a - b)) AS bse, count(p) AS n FROM ok GROUP BY ALL),
-  mf AS (SELECT ticker, selection_date, model, count(mse) AS fc, CAST(sum(n) AS BIGINT) AS vc, avg(mse) AS m, stddev_samp(mse) AS sd, stddev_samp(mse) / nullif(sqrt(count(mse)), 0) AS se, 1 - sum(sse) / nullif(sum(bse), 0) AS r2 FROM fo GROUP BY ALL),
-  mw AS (SELECT ticker, selection_date, model, avg(abs(a - p)) AS mae, avg(CASE WHEN p IS NULL THEN NULL WHEN sign(a) = sign(p) THEN 1.0 ELSE 0.0 END) AS da,
-    CASE WHEN min(a) <> max(a) AND min(p) <> max(p) THEN covar_samp(a, p) / (stddev_samp(a) * stddev_samp(p)) END AS c,
-    CASE WHEN count(p) = 0 THEN 'no_successful_outer_predictions' WHEN count(p) < 2 THEN 'fewer_than_two_predictions' WHEN min(a) = max(a) THEN 'actual_return_is_constant'
-      WHEN min(p) = max(p) THEN 'predicted_return_is_constant' ELSE '' END AS notes FROM ok GROUP BY ALL),
-  mt AS (SELECT *, CASE WHEN fc >= 3 THEN 'ok' ELSE 'failed_or_insufficient_outer_folds' END AS st, CAST(list_position(['OLS','Ridge','Lasso','RandomForest','XGBoost'], model) AS BIGINT) AS cr FROM mf JOIN mw USING (ticker, selection_date, model))"""
-RULE = f"""{PRED}, bb AS (SELECT ticker, selection_date, arg_min(model, row(m, cr)) AS bm, min(m) + coalesce(arg_min(coalesce(se, 0), row(m, cr)), 0) AS th FROM mt WHERE st = 'ok' GROUP BY ALL),
-  w AS (SELECT mt.*, bm, th, coalesce(st = 'ok' AND m <= th, false) AS within FROM mt LEFT JOIN bb USING (ticker, selection_date)),
-  ch AS (SELECT ticker, selection_date, arg_min(model, row(cr, m)) AS cm FROM w WHERE within GROUP BY ALL)"""
+from oracles.windows import DATASET
 
 SQL = {
     "ml_grid": f"""WITH {DATASET} SELECT ticker, selection_date, model, n AS parameter_sets, lower(model) || '_000' AS first_set, lower(model) || '_' || printf('%03d', n - 1) AS last_set
         FROM sel CROSS JOIN (VALUES ('OLS', CAST(1 AS BIGINT)), ('Ridge', 6), ('Lasso', 6), ('RandomForest', 8), ('XGBoost', 16)) g(model, n)""",
-    "agg_model_metrics": f"""WITH {PRED} SELECT ticker, selection_date, model, fc AS outer_fold_count, vc AS valid_prediction_count, {r('m', 5)} AS mean_validation_mse, {r('sd', 5)} AS fold_mse_std, {r('se', 5)} AS standard_error_mse,
-        {r('r2', 5)} AS oos_r2, {r('mae', 5)} AS mae, {r('da', 5)} AS directional_accuracy, {r('c', 5)} AS prediction_correlation, notes AS metric_notes, st AS model_status FROM mt""",
-    "ml_one_se_rule": f"""WITH {RULE} SELECT ticker, selection_date, model, cr AS complexity_rank, {r('m', 5)} AS mean_validation_mse, {r('th', 5)} AS one_se_threshold, coalesce(model = bm, false) AS selected_by_minimum_mse,
-        within AS within_one_se, coalesce(model = cm, false) AS selected_after_one_se_rule, CASE WHEN bm IS NULL THEN 'no model has the required successful outer folds' ELSE 'one-standard-error rule applied using best model fold MSE SE' END AS selection_notes
-        FROM w LEFT JOIN ch USING (ticker, selection_date)""",
-    "ml_monthly_selection": f"""WITH {RULE} SELECT ticker, selection_date, max(bm) AS minimum_mse_model, {r('max(th)', 5)} AS one_se_threshold, max(cm) AS final_model, max(CASE WHEN model = cm THEN fc END) AS folds,
-        count(*) FILTER (st <> 'ok') AS failed_models FROM w LEFT JOIN ch USING (ticker, selection_date) GROUP BY ALL""",
 }

@@ -154,20 +154,19 @@ DATASET = f"""{TYPED}, {src()}, ds AS (
      CASE WHEN count(r1) OVER {frame(21)} = 21 THEN stddev_samp(r1) OVER {frame(21)} END AS volatility_21d,
      lead(date, 21) OVER ({W}) AS label_end_date, lead(close, 21) OVER ({W}) / close - 1 AS target FROM s1),
   ends AS (SELECT ticker, date_trunc('month', date) AS m, max(date) AS selection_date FROM bars GROUP BY ALL),
-  sel AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY m DESC) AS rk FROM ends) WHERE rk BETWEEN 2 AND 7),
+  sel AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY m DESC) AS rk FROM ends) WHERE rk >= 2),
   avail AS (SELECT d.*, s.selection_date FROM ds d JOIN sel s ON d.ticker = s.ticker AND d.label_end_date <= s.selection_date
-     AND d.feature_date BETWEEN CAST(s.selection_date - INTERVAL 24 MONTH AS DATE) AND s.selection_date WHERE target IS NOT NULL)"""
+     AND d.feature_date BETWEEN CAST(s.selection_date - INTERVAL 60 MONTH AS DATE) AND s.selection_date WHERE target IS NOT NULL)"""
 
 FOLDS = f"""{DATASET}, pl AS (SELECT *, row_number() OVER (PARTITION BY ticker, selection_date ORDER BY feature_date) - 1 AS pos,
      count(*) OVER (PARTITION BY ticker, selection_date) AS n FROM avail),
   ks AS (SELECT unnest([0, 1, 2]) AS fold),
-  st AS (SELECT ticker, selection_date, fold, feature_date AS vstart FROM pl, ks WHERE pos = n - 63 + fold * 21),
+  st AS (SELECT ticker, selection_date, fold, feature_date AS vstart FROM pl, ks WHERE n > 63 AND pos = n - 63 + fold * 21),
   mem0 AS (SELECT p.*, s.fold, CASE WHEN pos >= n - 63 + fold * 21 AND pos < n - 63 + fold * 21 + 21 THEN 'validation'
        WHEN pos < n - 63 + fold * 21 AND NOT (fold >= 1 AND pos >= n - 42 AND pos < n - 37) AND NOT (fold >= 2 AND pos >= n - 21 AND pos < n - 16)
          THEN CASE WHEN label_end_date < vstart THEN 'train' ELSE 'purged' END END AS role
      FROM pl p JOIN st s USING (ticker, selection_date)),
-  mem AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY ticker, selection_date, fold, role = 'validation' ORDER BY pos DESC) AS age
-     FROM mem0 WHERE role IS NOT NULL) WHERE role = 'validation' OR age <= 400)"""
+  mem AS (SELECT * FROM mem0 WHERE role IS NOT NULL)"""
 
 SQL = {
     "agg_feature_audit": f"""WITH {TYPED}, {long_features('bars')}
@@ -244,7 +243,7 @@ SQL = {
        SELECT *, coalesce(train_label_end_max < validation_feature_start, true) AS purge_valid,
          CASE WHEN coalesce(train_label_end_max < validation_feature_start, true) AND train_rows_after_purge >= 252 THEN 'ok'
            ELSE 'insufficient_train_data' END AS fold_status FROM s""",
-    "win_label_audit": f"""WITH {INSTR}, t AS (SELECT ticker, date, row_number() OVER ({W}) AS pos, lead(date, 21) OVER ({W}) AS e FROM bars)
+    "win_label_audit": f"""WITH {INSTR}, t AS MATERIALIZED (SELECT ticker, date, row_number() OVER ({W}) AS pos, lead(date, 21) OVER ({W}) AS e FROM bars)
        SELECT a.ticker, a.date AS feature_date, a.e AS label_end_date, a.e IS NOT NULL AS target_available,
          b.pos - a.pos AS trading_day_distance, (a.e IS NULL OR b.pos - a.pos = 21) AS alignment_valid
        FROM t a LEFT JOIN t b ON b.ticker = a.ticker AND b.date = a.e""",

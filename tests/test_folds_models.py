@@ -87,6 +87,40 @@ def test_ridge_fits_match_direct_solution(spark):
         assert row.intercept == pytest.approx(y.mean() - beta @ x.mean(0))
 
 
+def test_lasso_and_missing_features_meet_their_optimality_conditions(spark):
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(150, 3))
+    pdf = pd.DataFrame({"g": "a", "x1": x[:, 0], "x2": x[:, 1], "x3": x[:, 2], "x4": None, "y": x[:, 0] - 0.02 * x[:, 1] + rng.normal(0, 0.1, 150)}).astype({"x4": float})
+    frame = spark.createDataFrame(pdf).withColumn("x4", F.when(~F.isnan("x4"), F.col("x4")))
+    fits = models.linear_fits(frame, ["x1", "x2", "x3", "x4"], "y", ["g"], [("OLS", 0.0), ("Lasso", 0.1)]).toPandas().set_index("model")
+    z, y = (x - x.mean(0)) / x.std(0), pdf.y - pdf.y.mean()
+    np.testing.assert_allclose(fits.coefficients["OLS"][:3], np.linalg.lstsq(z, y, rcond=None)[0] / x.std(0), rtol=1e-8)
+    beta = np.array(fits.coefficients["Lasso"][:3]) * x.std(0)
+    slope = z.T @ (y - z @ beta) / len(y)
+    assert all(abs(s - 0.1 * np.sign(b)) < 1e-8 if b else abs(s) <= 0.1 + 1e-8 for s, b in zip(slope, beta)) and beta[1] == 0
+    assert fits.coefficients["OLS"][3] == 0
+
+
+def test_forward_lookup_is_strictly_later(spark):
+    from tidemark.operators import align
+
+    events = spark.createDataFrame([("a", d) for d in range(0, 20, 3)], "ticker string, date int")
+    facts = spark.createDataFrame([("a", d, d) for d in range(0, 18, 2)], "ticker string, date int, seen int")
+    found = {r.date: r.seen for r in align.asof_forward(events, facts, ["ticker"], ["seen"]).collect()}
+    assert found == {d: next((f for f in range(0, 18, 2) if f > d), None) for d in range(0, 20, 3)}
+
+
+def test_purge_counts_equal_the_inequality_join(spark):
+    from tidemark.plans.joins import purge_by_quarter
+
+    days = pd.date_range("2020-01-01", periods=400, freq="2D")
+    pdf = pd.DataFrame({"ticker": "a", "feature_date": days.date, "label_end_date": (days + pd.Timedelta(days=40)).date})
+    found = {r.validation_start: (r.kept, r.purged) for r in purge_by_quarter(spark.createDataFrame(pdf)).collect()}
+    assert len(found) == 9 and sum(k for k, _ in found.values()) > 0
+    for start, (kept, purged) in found.items():
+        assert kept == (pdf.label_end_date < start).sum() and purged == ((pdf.feature_date < start) & (pdf.label_end_date >= start)).sum()
+
+
 def metric_rows(errors):
     mse = [1.08, 1.06, 1.04, 1.02, 1.00]
     return [("T", m, v, e, "ok") for m, v, e in zip(models.COMPLEXITY, mse, errors)]

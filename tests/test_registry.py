@@ -7,7 +7,7 @@ from tools.compare import TABLES, canonical, connect
 SMALL = "/root/testdata/sf0.001"
 SPOT = (
     "clean_prices", "agg_adv", "agg_covariance", "win_rsi", "win_walk_forward", "join_asof_backward", "uni_monthly_eligible", "pf_nav_rebalanced",
-    "pf_mdp_long_only", "ml_one_se_rule", "chk_pit_17", "scan_source_manifest",
+    "pf_mdp_long_only", "join_purge_theta", "chk_pit_17", "scan_source_manifest",
 )
 
 

@@ -88,11 +88,11 @@ def _asof(events, facts, keys, fact_columns, on, backward):
     left = events.select(*keys, on, F.struct(*others, F.lit(1).alias("_e")).alias("_event"), F.lit(1).alias("_side"))
     right = facts.select(*keys, on, payload, F.lit(0).alias("_side"))
     both = left.unionByName(right, allowMissingColumns=True)
-    ordered = Window.partitionBy(*keys).orderBy(on, "_side")
-    if backward:
-        found = F.last("_fact", ignorenulls=True).over(ordered.rowsBetween(Window.unboundedPreceding, 0))
-    else:
-        found = F.first("_fact", ignorenulls=True).over(ordered.rowsBetween(1, Window.unboundedFollowing))
+    # Both ways keep the last fact seen, one pass over the sorted key. Going down, an event comes before the
+    # facts of its own date, so what was seen is strictly later.
+    down = (F.col(on).desc(), F.col("_side").desc())
+    ordered = Window.partitionBy(*keys).orderBy(*((on, "_side") if backward else down))
+    found = F.last("_fact", ignorenulls=True).over(ordered.rowsBetween(Window.unboundedPreceding, 0 if backward else -1))
     return (
         both.withColumn("_found", found)
         .where(F.col("_side") == 1)

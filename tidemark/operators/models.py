@@ -19,6 +19,7 @@ from tidemark.functions.columns import corr_of
 # Penalties and grids agreed before any validation result is seen.
 RIDGE_ALPHAS = (0.001, 0.01, 0.1, 1.0, 10.0, 100.0)
 LASSO_ALPHAS = (0.000001, 0.00001, 0.0001, 0.001, 0.01, 0.1)
+DEFAULT_ALPHA = {"Ridge": 1.0, "Lasso": 0.001}
 FOREST_GRID = {"n_estimators": (200,), "max_depth": (3, None), "min_samples_leaf": (5, 20), "max_features": ("sqrt", 0.5)}
 BOOST_GRID = {
     "n_estimators": (100, 300), "max_depth": (2, 3), "learning_rate": (0.03, 0.1), "subsample": (0.8,), "colsample_bytree": (0.8,),
@@ -58,66 +59,98 @@ def moments(train: DataFrame, features: Sequence[str], target: str, keys: Sequen
 
 
 def ridge_fits(train: DataFrame, features: Sequence[str], target: str, keys: Sequence[str], alphas: Sequence[float]) -> DataFrame:
-    """Intercept and coefficients per group and penalty, on features scaled by their population deviation.
+    """Ridge fits per group and penalty; a penalty of zero is ordinary least squares."""
+    return linear_fits(train, features, target, keys, [("Ridge", a) for a in alphas])
 
-    A penalty of zero is ordinary least squares.
+
+def linear_fits(train: DataFrame, features: Sequence[str], target: str, keys: Sequence[str], penalties: Sequence[tuple[str, float]]) -> DataFrame:
+    """Intercept and coefficients per group, model and penalty, on features scaled by their population deviation.
+
+    Models: OLS, Ridge (alpha times the squared length, against the sum of squares) and Lasso (alpha times the
+    absolute length, against half the mean square). The matrices of a batch of groups are solved together.
     """
     p = len(features)
     table = moments(train, features, target, keys)
     key_fields = [f"{f.name} {f.dataType.simpleString()}" for f in table.select(*keys).schema.fields]
-    schema = ", ".join(key_fields + ["alpha double", "train_mean double", "train_rows bigint", "intercept double", "coefficients array<double>"])
+    schema = ", ".join(key_fields + ["model string", "alpha double", "train_mean double", "train_rows bigint", "intercept double", "coefficients array<double>"])
 
     def solve(batches):
         for pdf in batches:
-            out = []
-            for row in pdf.to_dict("records"):
-                n = row["n"]
-                mean = np.array([row[f"s_{i}"] for i in range(p)]) / n
-                y_mean = row["sy"] / n
-                second = np.empty((p, p))
-                for i in range(p):
-                    for j in range(i, p):
-                        second[i, j] = second[j, i] = row[f"xx_{i}_{j}"] / n
-                cov = second - np.outer(mean, mean)
-                cross = np.array([row[f"xy_{i}"] for i in range(p)]) / n - mean * y_mean
-                scale = np.sqrt(np.maximum(np.diag(cov), 0.0))
-                scale[scale == 0] = 1.0
-                gram, target_side = cov / np.outer(scale, scale), cross / scale
-                for alpha in alphas:
-                    beta = np.linalg.lstsq(gram + np.eye(p) * (alpha / n), target_side, rcond=None)[0] / scale
-                    out.append({**{k: row[k] for k in keys}, "alpha": float(alpha), "train_mean": float(y_mean), "train_rows": int(n), "intercept": float(y_mean - beta @ mean), "coefficients": [float(b) for b in beta]})
-            if out:
-                yield pd.DataFrame(out)
+            if not len(pdf):
+                continue
+            n = pdf["n"].to_numpy(dtype=float)
+            mean = np.stack([pdf[f"s_{i}"].to_numpy(dtype=float) for i in range(p)], axis=1) / n[:, None]
+            y_mean = pdf["sy"].to_numpy(dtype=float) / n
+            second = np.empty((len(pdf), p, p))
+            for i in range(p):
+                for j in range(i, p):
+                    second[:, i, j] = second[:, j, i] = pdf[f"xx_{i}_{j}"].to_numpy(dtype=float) / n
+            cov = second - mean[:, :, None] * mean[:, None, :]
+            cross = np.stack([pdf[f"xy_{i}"].to_numpy(dtype=float) for i in range(p)], axis=1) / n[:, None] - mean * y_mean[:, None]
+            scale = np.sqrt(np.maximum(np.diagonal(cov, axis1=1, axis2=2), 0.0))
+            scale[scale == 0] = 1.0
+            # A feature without a value in the whole group has no moments; it takes no part, as if constant.
+            scale[np.isnan(scale)] = 1.0
+            gram, side, mean = np.nan_to_num(cov / (scale[:, :, None] * scale[:, None, :])), np.nan_to_num(cross / scale), np.nan_to_num(mean)
+            for model, alpha in penalties:
+                beta = penalised(gram, side, n, model, alpha) / scale
+                out = pdf[list(keys)].copy()
+                out["model"], out["alpha"], out["train_mean"], out["train_rows"] = model, float(alpha), y_mean, n.astype("int64")
+                out["intercept"] = y_mean - (beta * mean).sum(axis=1)
+                out["coefficients"] = list(beta)
+                yield out
 
     return table.mapInPandas(solve, schema)
 
 
+def penalised(gram: np.ndarray, side: np.ndarray, n: np.ndarray, model: str, alpha: float) -> np.ndarray:
+    """Coefficients of stacked standardised systems; OLS takes the shortest solution of a singular one."""
+    p = side.shape[1]
+    if model == "Lasso":
+        beta = np.zeros_like(side)
+        for _ in range(10_000):
+            before = beta.copy()
+            for j in range(p):
+                rest = side[:, j] - (gram[:, j, :] * beta).sum(axis=1) + gram[:, j, j] * beta[:, j]
+                beta[:, j] = np.sign(rest) * np.maximum(np.abs(rest) - alpha, 0.0) / np.where(gram[:, j, j] > 0, gram[:, j, j], 1.0)
+            if np.abs(beta - before).max(initial=0.0) < 1e-12:
+                break
+        return beta
+    if model == "OLS" or alpha == 0:
+        return (np.linalg.pinv(gram, rcond=1e-12, hermitian=True) @ side[:, :, None])[:, :, 0]
+    return np.linalg.solve(gram + np.eye(p) * (alpha / n)[:, None, None], side[:, :, None])[:, :, 0]
+
+
 def linear_prediction(features: Sequence[str]) -> Column:
+    """Prediction of a fit; a feature still missing after imputation had no training value and weighs nothing."""
     value = F.col("intercept")
     for i, f in enumerate(features):
-        value = value + F.get("coefficients", F.lit(i)) * F.col(f)
+        value = value + F.get("coefficients", F.lit(i)) * F.coalesce(F.col(f), F.lit(0.0))
     return value
 
 
-def inner_search(members: DataFrame, features: Sequence[str], target: str, keys: Sequence[str], alphas: Sequence[float], minimum_folds: int) -> DataFrame:
-    """Mean and deviation of the inner validation error per penalty; the lowest mean is marked.
+def inner_search(members: DataFrame, features: Sequence[str], target: str, keys: Sequence[str], penalties: Sequence[tuple[str, float]], folds: int) -> DataFrame:
+    """Mean and deviation of the inner validation error per model and penalty; the lowest mean is marked.
 
-    ``members`` carries the inner fold and role; groups with too few usable inner folds
-    fall back to the default penalty.
+    ``members`` carries the inner fold and role. A penalty without an error in each of the inner folds has
+    failed. Where all of a model have failed, its default penalty is marked instead.
     """
     fold_keys = [*keys, "fold"]
     ready = impute_median(members, features, fold_keys)
-    fits = ridge_fits(ready.where("role = 'train'"), features, target, fold_keys, alphas)
+    fits = linear_fits(ready.where("role = 'train'"), features, target, fold_keys, penalties)
     joined = ready.where("role = 'validation'").join(fits, fold_keys)
     error = linear_prediction(features) - F.col(target)
-    folds = joined.groupBy(*fold_keys, "alpha").agg(F.avg(error * error).alias("mse"))
-    table = folds.groupBy(*keys, "alpha").agg(
+    per_fold = joined.groupBy(*fold_keys, "model", "alpha").agg(F.avg(error * error).alias("mse"))
+    table = per_fold.groupBy(*keys, "model", "alpha").agg(
         F.count("mse").alias("inner_folds"), F.avg("mse").alias("mean_inner_mse"), F.stddev_samp("mse").alias("std_inner_mse")
     )
-    part = Window.partitionBy(*keys)
-    first = F.row_number().over(part.orderBy("mean_inner_mse", "alpha")) == 1
-    return table.withColumn("selected", first).withColumn(
-        "search_status", F.when(F.col("inner_folds") >= minimum_folds, "success").otherwise("fallback_default_parameters")
+    part = Window.partitionBy(*keys, "model")
+    complete = F.col("inner_folds") >= folds
+    default = F.coalesce(*[F.when(F.col("model") == m, F.col("alpha") == a) for m, a in DEFAULT_ALPHA.items()], F.lit(True))
+    some = F.max(complete).over(part)
+    best = F.min(F.when(complete, F.struct("mean_inner_mse", "alpha"))).over(part)
+    return table.withColumn("selected", F.when(some, F.col("alpha") == best["alpha"]).otherwise(default)).withColumn(
+        "search_status", F.when(complete, "success").when(~some & default, "fallback_default_parameters").otherwise("failed")
     )
 
 

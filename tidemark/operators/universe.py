@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.columns import by_date, reasons_text, trailing
-from tidemark.operators.align import asof_backward, asof_forward
+from tidemark.operators.align import asof_backward
 
 
 def average_dollar_volume(prices: DataFrame, start: Column, end: Column, min_rows: int) -> DataFrame:
@@ -25,14 +25,10 @@ def average_dollar_volume(prices: DataFrame, start: Column, end: Column, min_row
 
 def month_ends(calendar: DataFrame) -> DataFrame:
     """Last observed day of each completed month and the first trading day after it."""
-    days = calendar.select("date").distinct()
-    newest = days.agg(F.trunc(F.max("date"), "month")).scalar()
-    ends = days.groupBy(F.trunc("date", "month").alias("month")).agg(F.max("date").alias("date")).where(F.col("month") < newest)
-    keyed = ends.withColumn("cal", F.lit(1)).select("cal", "date")
-    nxt = asof_forward(keyed, days.select(F.lit(1).alias("cal"), "date", F.col("date").alias("next_date")), ["cal"], ["next_date"])
-    return nxt.where(F.col("next_date").isNotNull()).select(
-        F.col("date").alias("selection_date"), F.col("next_date").alias("effective_trade_date")
-    )
+    months = calendar.groupBy(F.trunc("date", "month").alias("month")).agg(F.max("date").alias("selection_date"), F.min("date").alias("first"))
+    # One row per month; the newest month has no successor and is not complete.
+    following = F.lead("first").over(Window.orderBy("month"))
+    return months.select("selection_date", following.alias("effective_trade_date")).where(F.col("effective_trade_date").isNotNull())
 
 
 def month_grid(candidates: DataFrame, months: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from tidemark.functions.columns import rounded
 from tidemark.operators import align, clean, features, folds
 from tidemark.plans import frames
 from tidemark.plans.registry import new_registry
-from tidemark.plans.windows import model_dataset, selection_dates
+from tidemark.plans.windows import TRAINING_YEARS, model_dataset, selection_dates
 from tidemark.sources import panel
 
 QUERIES, query = new_registry()
@@ -91,7 +91,7 @@ def filter_eligible_asof(spark, sf):
 
 @query
 def filter_available_asof(spark, sf):
-    rows = folds.available_as_of(model_dataset(spark, sf), selection_dates(spark, sf), 2)
+    rows = folds.available_as_of(model_dataset(spark, sf), selection_dates(spark, sf), TRAINING_YEARS)
     return rounded(rows.groupBy("ticker", "selection_date").agg(
         F.count(F.lit(1)).alias("rows"), F.min("feature_date").alias("first_feature"), F.max("label_end_date").alias("last_label_end"), F.avg("target_21d_return").alias("mean_target"),
     ))

@@ -91,14 +91,24 @@ def join_asof_forward(spark, sf):
 @query
 def join_purge_theta(spark, sf):
     """Labelled rows that end before each quarter starts, against those that overlap it."""
-    rows = model_dataset(spark, sf).where("target_available")
-    quarters = F.explode(F.array(F.trunc("label_end_date", "quarter"), F.trunc("feature_date", "quarter"))).alias("validation_start")
-    near = rows.select("ticker", "feature_date", "label_end_date", quarters).distinct()
-    before = F.col("feature_date") < F.col("validation_start")
-    return rounded(near.groupBy("ticker", "validation_start").agg(
-        F.count_if(before & (F.col("label_end_date") < F.col("validation_start"))).alias("kept"),
-        F.count_if(before & (F.col("label_end_date") >= F.col("validation_start"))).alias("purged"),
-    ).withColumn("validation_start", F.col("validation_start").cast("date")))
+    return purge_by_quarter(model_dataset(spark, sf).where("target_available"))
+
+
+def purge_by_quarter(rows):
+    """Per ticker and quarter with rows: earlier rows kept (label ended before it) and purged (label reaches into it).
+
+    The inequality join becomes running counts: a date lies before a quarter start exactly if its own quarter
+    starts earlier, so rows are counted by the quarters of their two dates and summed up to the one before.
+    """
+    ends = F.array(
+        F.struct(F.trunc("feature_date", "quarter").alias("validation_start"), F.lit(1).alias("began"), F.lit(0).alias("ended")),
+        F.struct(F.trunc("label_end_date", "quarter").alias("validation_start"), F.lit(0).alias("began"), F.lit(1).alias("ended")),
+    )
+    counts = rows.select("ticker", F.inline(ends)).groupBy("ticker", "validation_start").agg(F.sum("began").alias("began"), F.sum("ended").alias("ended"))
+    earlier = Window.partitionBy("ticker").orderBy("validation_start").rowsBetween(Window.unboundedPreceding, -1)
+    before = lambda name: F.coalesce(F.sum(name).over(earlier), F.lit(0))
+    running = counts.select("ticker", F.col("validation_start").cast("date"), "began", before("ended").alias("kept"), (before("began") - before("ended")).alias("purged"))
+    return running.where(F.col("began") > 0).drop("began")
 
 
 @query

@@ -14,12 +14,15 @@ QUERIES, query = new_registry()
 FEATURES = ("return_5d", "return_21d", "price_to_sma_21", "volatility_21d")
 TARGET = "target_21d_return"
 TASK = ["ticker", "selection_date"]
+INNER_FOLDS = 2
+#: Searched penalties; OLS has none.
+PENALTIES = [("Ridge", a) for a in models.RIDGE_ALPHAS] + [("Lasso", a) for a in models.LASSO_ALPHAS]
 
 
 def outer_members(spark, sf):
     def build():
         rows = training_rows(spark, sf).select("ticker", "selection_date", "feature_date", "label_end_date", TARGET, *FEATURES)
-        return folds.purged_folds(rows, splits=3, validation_rows=21, min_train_rows=252, max_train_rows=400, embargo_rows=5)
+        return folds.purged_folds(rows, splits=3, validation_rows=21, min_train_rows=252, embargo_rows=5)
 
     return panel.kept(spark, ("outer_members", sf), build)
 
@@ -27,33 +30,41 @@ def outer_members(spark, sf):
 def inner_members(spark, sf):
     """Inner folds inside each outer training set; the outer fold becomes part of the key."""
     train = outer_members(spark, sf).where("role = 'train'").withColumnRenamed("fold", "outer_fold").drop("pos", "role")
-    return folds.purged_folds(train, splits=2, validation_rows=21, min_train_rows=126, keys=[*TASK, "outer_fold"])
+    return folds.purged_folds(train, splits=INNER_FOLDS, validation_rows=21, min_train_rows=126, keys=[*TASK, "outer_fold"])
 
 
 def search_table(spark, sf):
     return panel.kept(
         spark, ("inner_search", sf),
-        lambda: models.inner_search(inner_members(spark, sf), FEATURES, TARGET, [*TASK, "outer_fold"], models.RIDGE_ALPHAS, 2),
+        lambda: models.inner_search(inner_members(spark, sf), FEATURES, TARGET, [*TASK, "outer_fold"], PENALTIES, INNER_FOLDS),
     )
 
 
-def naive_predictions(spark, sf):
-    """Five simple predictors under the model names, with the fold's training mean as benchmark."""
-    members = outer_members(spark, sf)
-    mean = members.where("role = 'train'").groupBy(*TASK, "fold").agg(F.avg(TARGET).alias("benchmark"), F.count(F.lit(1)).alias("train_rows"))
-    rows = members.where("role = 'validation'").join(mean, [*TASK, "fold"])
-    forecasts = {
-        "OLS": F.col("benchmark"), "Ridge": F.col("benchmark") + 0.1 * F.col("return_21d"), "Lasso": F.col("benchmark") - 0.1 * F.col("return_5d"),
-        "RandomForest": F.col("benchmark") - 0.2 * F.col("price_to_sma_21"), "XGBoost": F.col("benchmark") * F.col("volatility_21d"),
-    }
-    cells = F.array(*[F.struct(F.lit(m).alias("model"), value.alias("predicted")) for m, value in forecasts.items()])
-    long = rows.select(*TASK, "fold", "feature_date", F.col(TARGET).alias("actual"), "benchmark", "train_rows", F.inline(cells))
-    failed = (F.col("train_rows") < 252) | ((F.col("model") == "XGBoost") & (F.col("fold") == 1))
-    return long.withColumn("prediction_status", F.when(failed, "failed").otherwise("success")).drop("train_rows")
+def fitted_predictions(spark, sf):
+    """OLS, tuned Ridge and tuned Lasso refitted on each outer training set, one row per validation row.
+
+    The penalty comes from the inner search of the same outer fold, else from the default. Tree models are not
+    refitted per fold and have no rows. A training set of fewer than 252 rows gives failed rows.
+    """
+    def build():
+        keys = [*TASK, "fold"]
+        members = models.impute_median(outer_members(spark, sf), FEATURES, keys)
+        fits = models.linear_fits(members.where("role = 'train'"), FEATURES, TARGET, keys, [("OLS", 0.0), *PENALTIES])
+        chosen = search_table(spark, sf).where("selected").select(*TASK, F.col("outer_fold").alias("fold"), "model", F.col("alpha").alias("best"))
+        wanted = F.coalesce("best", *[F.when(F.col("model") == m, F.lit(a)) for m, a in models.DEFAULT_ALPHA.items()], F.lit(0.0))
+        picked = fits.join(chosen, [*keys, "model"], "left").where(F.col("alpha") == wanted).drop("best")
+        rows = members.where("role = 'validation'").join(picked, keys)
+        failed = F.col("train_rows") < 252
+        return rows.select(
+            *keys, "model", "alpha", "feature_date", "label_end_date", F.col(TARGET).alias("actual"), F.when(~failed, models.linear_prediction(FEATURES)).alias("predicted"),
+            F.col("train_mean").alias("benchmark"), F.when(failed, "failed").otherwise("success").alias("prediction_status"),
+        )
+
+    return panel.kept(spark, ("fitted_predictions", sf), build)
 
 
 def metric_table(spark, sf):
-    metrics = models.model_metrics(naive_predictions(spark, sf), [*TASK, "model"])
+    metrics = models.model_metrics(fitted_predictions(spark, sf), [*TASK, "model"])
     return metrics.withColumn("model_status", F.when(F.col("outer_fold_count") >= 3, "ok").otherwise("failed_or_insufficient_outer_folds"))
 
 
@@ -88,20 +99,8 @@ def ml_inner_search(spark, sf):
 
 @query
 def ml_outer_eval(spark, sf):
-    """OLS and tuned Ridge refitted per outer fold; every shared validation row keeps a prediction row."""
-    keys = [*TASK, "fold"]
-    members = models.impute_median(outer_members(spark, sf), FEATURES, keys)
-    fits = models.ridge_fits(members.where("role = 'train'"), FEATURES, TARGET, keys, (0.0, *models.RIDGE_ALPHAS))
-    chosen = search_table(spark, sf).where("selected").select(*TASK, F.col("outer_fold").alias("fold"), F.col("alpha").alias("best"))
-    picked = fits.join(chosen, keys, "left").where((F.col("alpha") == 0) | (F.col("alpha") == F.coalesce("best", F.lit(1.0))))
-    picked = picked.withColumn("model", F.when(F.col("alpha") == 0, "OLS").otherwise("Ridge"))
-    rows = members.where("role = 'validation'").join(picked, keys)
-    failed = F.col("train_rows") < 252
-    out = rows.select(
-        *keys, "model", "alpha", "feature_date", "label_end_date", F.col(TARGET).alias("actual"), F.when(~failed, models.linear_prediction(FEATURES)).alias("predicted"),
-        F.col("train_mean").alias("benchmark"), F.when(failed, "failed").otherwise("success").alias("prediction_status"),
-    )
-    return rounded(out)
+    """OLS, tuned Ridge and tuned Lasso refitted per outer fold; every validation row keeps a prediction row."""
+    return rounded(fitted_predictions(spark, sf))
 
 
 @query

@@ -204,22 +204,26 @@ def _model_dataset(spark, sf):
     return features.join_targets(feats.select("ticker", "date", *keep), features.build_targets(prices)).drop("matched_once")
 
 
-def selection_dates(spark, sf, months=6):
-    """Last observed trading day of each of the latest complete months of a ticker."""
+#: Years of rows a model may be trained on.
+TRAINING_YEARS = 5
+
+
+def selection_dates(spark, sf):
+    """Last observed trading day of each complete month of a ticker."""
     days = panel.closes(spark, sf, "type", "day")
     ends = days.groupBy("ticker", F.trunc("date", "month").alias("month")).agg(F.max("date").alias("selection_date"))
     newest = Window.partitionBy("ticker").orderBy(F.col("month").desc())
     ranked = ends.withColumn("rk", F.row_number().over(newest))
-    return ranked.where((F.col("rk") > 1) & (F.col("rk") <= months + 1)).select("ticker", "selection_date")
+    return ranked.where(F.col("rk") > 1).select("ticker", "selection_date")
 
 
-def training_rows(spark, sf, years=2):
+def training_rows(spark, sf, years=TRAINING_YEARS):
     return folds.available_as_of(model_dataset(spark, sf), selection_dates(spark, sf), years)
 
 
 @query
 def win_purged_folds(spark, sf):
-    members = folds.purged_folds(training_rows(spark, sf), splits=3, validation_rows=21, min_train_rows=252, max_train_rows=400, embargo_rows=5)
+    members = folds.purged_folds(training_rows(spark, sf), splits=3, validation_rows=21, min_train_rows=252, embargo_rows=5)
     return folds.fold_summary(members, 252)
 
 

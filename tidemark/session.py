@@ -40,13 +40,13 @@ def tune(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names for checkpoints; a fresh one only where unset."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder the cluster names for checkpoints; a fresh one only in local mode, where it is unset."""
+    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not configured:
-        active = spark.sparkContext.getCheckpointDir()
-        configured = active or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.sparkContext.setCheckpointDir(configured)
-        spark.conf.set("spark.checkpoint.dir", configured)
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+        configured = spark.sparkContext.getCheckpointDir()
     return configured
 
 

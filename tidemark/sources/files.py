@@ -43,16 +43,22 @@ def read_dimension(spark: SparkSession, path: str, columns: Sequence[str], key:
     return dimension_rows(_strings(spark, path), columns, key)
 
 
-def read_price_files(spark: SparkSession, path: str, ticker_pattern: str = r"ticker=([^/]+)/") -> DataFrame:
-    """One layout of price files; the ticker comes from the file path, headers are folded."""
-    raw = spark.read.options(header=True, inferSchema=False, recursiveFileLookup=True).csv(path)
+def read_price_files(spark: SparkSession, path: str, ticker_pattern: str = r"ticker=([^/]+)/", file_column: str | None = None) -> DataFrame:
+    """One layout of price files; the ticker comes from the file path, headers are folded.
+
+    Columns follow the header of the first file; a file with another order is an error, not a misread.
+    ``file_column`` names an extra column with the path of each row's file.
+    """
+    raw = spark.read.options(header=True, inferSchema=False, recursiveFileLookup=True, enforceSchema=False).csv(path)
+    place = [F.col("_metadata.file_path").alias(file_column)] if file_column else []
     renamed = raw.select(
+        *place,
         F.regexp_extract(F.col("_metadata.file_path"), ticker_pattern, 1).alias("ticker"),
         *[F.col(f"`{c}`").alias(PRICE_HEADERS[folded_header(c)]) for c in raw.columns if folded_header(c) in PRICE_HEADERS],
     )
-    numbers = [c for c in renamed.columns if c not in ("ticker", "date")]
+    numbers = [c for c in renamed.columns if c not in ("ticker", "date", file_column)]
     return renamed.select(
-        "ticker", F.to_date(F.try_to_timestamp("date")).alias("date"),
+        *([file_column] if file_column else []), "ticker", F.to_date(F.try_to_timestamp("date")).alias("date"),
         *[F.expr(f"try_cast({c} AS double)").alias(c) for c in numbers],
     )
 
@@ -134,12 +140,12 @@ def source_manifest(spark: SparkSession, path: str, ticker_pattern: str = r"tick
     """Digest, size, row count and dates of each landed price file."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").load(path)
     digests = files.select(
-        F.regexp_extract("path", ticker_pattern, 1).alias("ticker"), F.sha2("content", 256).alias("sha256"), F.col("length").alias("bytes")
+        F.col("_metadata.file_path").alias("_file"), F.regexp_extract("path", ticker_pattern, 1).alias("ticker"), F.sha2("content", 256).alias("sha256"), F.col("length").alias("bytes")
     )
-    rows = read_price_files(spark, path, ticker_pattern).groupBy("ticker").agg(
+    rows = read_price_files(spark, path, ticker_pattern, "_file").groupBy("_file").agg(
         F.count(F.lit(1)).alias("rows"), F.min("date").alias("first_date"), F.max("date").alias("last_date")
     )
-    return digests.join(rows, "ticker", "left").withColumn("status", F.when(F.col("rows") > 0, "OK").otherwise("INVALID"))
+    return digests.join(rows, "_file", "left").drop("_file").withColumn("status", F.when(F.col("rows") > 0, "OK").otherwise("INVALID"))
 
 
 def unpivot_matrix(wide: DataFrame, key: str = "date", value: str = "value") -> DataFrame:
@@ -153,12 +159,11 @@ def unpivot_matrix(wide: DataFrame, key: str = "date", value: str = "value") ->
 
 
 def merge_incremental(history: DataFrame, fresh: DataFrame, keys: Sequence[str] = ("ticker", "date")) -> DataFrame:
-    """History plus fresh rows; a fresh row replaces a historic one. Folds on the map side."""
+    """History plus fresh rows; a fresh row replaces a historic one, and one whole row wins among equals. Folds on the map side."""
     columns = [c for c in history.columns if c not in keys]
     both = history.select(*keys, *columns, F.lit(0).alias("_p")).unionByName(fresh.select(*keys, *columns, F.lit(1).alias("_p")))
-    return both.groupBy(*keys).agg(
-        *[F.max_by(c, "_p").alias(c) for c in columns], F.when(F.max("_p") == 1, "fresh").otherwise("history").alias("origin")
-    )
+    won = both.groupBy(*keys).agg(F.max(F.struct("_p", *columns)).alias("_won"))
+    return won.select(*keys, *[F.col(f"_won.{c}").alias(c) for c in columns], F.when(F.col("_won._p") == 1, "fresh").otherwise("history").alias("origin"))
 
 
 def merge_reviewed(fresh: DataFrame, reviewed: DataFrame, key: str, columns: Sequence[str], unknown: str = "unknown") -> DataFrame:
