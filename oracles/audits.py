@@ -2,8 +2,8 @@
 
 from oracles.aggregates import base
 from oracles.base import bars, instruments
-from oracles.joins import D
-from oracles.portfolios import COV, MONTHLY, SCORES, WM
+from oracles.joins import COV, D
+from oracles.portfolios import MONTHLY, SCORES, WM
 from oracles.rankings import ADV
 from oracles.scalars import LIFE
 from oracles.universe import REPS
@@ -33,7 +33,7 @@ PIT = rows([
 ])
 
 SQL = {
-    "chk_matrix": f"""WITH {base()}, {COV} SELECT c.grp, count(*) AS entries, count(*) FILTER (c.cov IS NULL) AS not_finite, count(*) FILTER (abs(c.cov - d.cov) > 1e-12 + 1e-10 * abs(d.cov)) AS not_symmetric,
+    "chk_matrix": f"""WITH {base('week')}, {COV} SELECT c.grp, count(*) AS entries, count(*) FILTER (c.cov IS NULL) AS not_finite, count(*) FILTER (abs(c.cov - d.cov) > 1e-12 + 1e-10 * abs(d.cov)) AS not_symmetric,
         count(*) FILTER (c.i = c.j AND c.cov <= 0) AS bad_diagonal FROM cov c JOIN cov d ON c.grp = d.grp AND c.i = d.j AND c.j = d.i GROUP BY c.grp""",
     "chk_selection": f"WITH {ADV}, {instruments()}, pk AS (SELECT * FROM adv QUALIFY row_number() OVER (PARTITION BY sector ORDER BY adv DESC, ticker) = 1) " + rows([
         (1, "unique_tickers", "SELECT count(*) - count(DISTINCT ticker) FROM adv"),

@@ -7,11 +7,20 @@ from oracles.windows import DATASET, W
 D = bars("instrument", "day")
 MONTH_ENDS = """me AS (SELECT max(date) AS selection_date FROM bars WHERE date < (SELECT date_trunc('month', max(date)) FROM bars) GROUP BY date_trunc('month', date)),
   months AS (SELECT selection_date, (SELECT min(date) FROM bars b WHERE b.date > me.selection_date) AS effective_trade_date FROM me)"""
-WINDOW_WEIGHTS = f"""{base()}, a AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY date DESC) AS age FROM rets),
-  tails AS (SELECT grp, ticker, date, ret FROM a JOIN (VALUES ('3 months', 3), ('6 months', 6), ('1 year', 12), ('2 years', 24), ('3 years', 36), ('full', 100000)) w(grp, size) ON age <= size),
-  sg AS (SELECT grp, ticker, 1 / (stddev_samp(ret) * sqrt(12.0)) AS c FROM tails GROUP BY ALL),
-  ww AS (SELECT grp, ticker, c / sum(c) OVER (PARTITION BY grp) AS weight FROM sg)"""
-L1 = f"WITH {WINDOW_WEIGHTS} SELECT x.grp AS w1, y.grp AS w2, {r('sum(abs(x.weight - y.weight))')} AS l1_distance FROM ww x JOIN ww y USING (ticker) GROUP BY ALL"
+COV = f"""a0 AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY date DESC) AS age FROM rets),
+  tails AS (SELECT grp, ticker, date, ret FROM a0 JOIN (VALUES ('3 months', 13), ('6 months', 26), ('1 year', 52), ('2 years', 104), ('3 years', 156), ('full', 100000)) w(grp, size) ON age <= size),
+  cov AS (SELECT a.grp, a.ticker AS i, b.ticker AS j, covar_samp(a.ret, b.ret) * 52 AS cov FROM tails a JOIN tails b ON a.grp = b.grp AND a.date = b.date GROUP BY ALL),
+  sg AS (SELECT grp, i AS ticker, sqrt(cov) AS s FROM cov WHERE i = j),
+  cr AS (SELECT c.grp, i, j, cov, cov / (x.s * y.s) AS c, x.s FROM cov c JOIN sg x ON x.grp = c.grp AND x.ticker = i JOIN sg y ON y.grp = c.grp AND y.ticker = j),
+  mr AS (SELECT grp, i, any_value(s) AS s, list(cov ORDER BY j) AS cv, list(c ORDER BY j) AS c, list(greatest(c, 0.0) ORDER BY j) AS up, list(greatest(-c, 0.0) ORDER BY j) AS dn FROM cr GROUP BY ALL),
+  mm AS (SELECT grp, list(i ORDER BY i) AS tk, list(s ORDER BY i) AS s, list(cv ORDER BY i) AS cv, list(c ORDER BY i) AS c, list(up ORDER BY i) AS up, list(dn ORDER BY i) AS dn, sum(s * s) AS tr FROM mr GROUP BY grp)"""
+
+# The multiplicative update for non-negative quadratic programs, many small steps.
+WINDOW_WEIGHTS = f"""{base('week')}, {COV}, ys AS (SELECT grp, tk, s, c, list_reduce(list_transform(range(0, 6001), lambda i: list_transform(s, lambda z: 1.0::DOUBLE)),
+    lambda y, z: list_transform(list_zip(y, up, dn), lambda t: t[1] * (1 + sqrt(1 + 4 * list_dot_product(t[2], y) * list_dot_product(t[3], y))) / (2 * list_dot_product(t[2], y)))) AS y FROM mm),
+  yr AS (SELECT *, list_transform(list_zip(y, s), lambda t: t[1] / t[2]) AS raw, list_max(list_transform(list_zip(y, c), lambda t: abs(least(t[1], list_dot_product(t[2], y) - 1)))) AS residual FROM ys),
+  ww AS MATERIALIZED (SELECT grp, unnest(tk) AS ticker, unnest(s) AS sigma, unnest(list_transform(raw, lambda v: v / list_sum(raw))) AS weight, residual FROM yr)"""
+L1 = f"WITH {WINDOW_WEIGHTS} SELECT x.grp AS w1, y.grp AS w2, {r('sum(abs(x.weight - y.weight))', 4)} AS l1_distance FROM ww x JOIN ww y USING (ticker) GROUP BY ALL"
 
 SQL = {
     "join_align_inner": f"""WITH {bars()} SELECT ticker, date, {r('close')} AS close FROM bars WHERE date IN (SELECT date FROM bars GROUP BY date

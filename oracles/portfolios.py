@@ -2,7 +2,7 @@
 
 from oracles.aggregates import base, corr
 from oracles.base import bars, instruments, market, r
-from oracles.joins import L1, WINDOW_WEIGHTS
+from oracles.joins import COV, L1, WINDOW_WEIGHTS
 
 M = bars("instrument", "month")
 SEED, COUNT = 20260808, 60
@@ -32,14 +32,6 @@ PROFILES = """(VALUES ('Balanced', 1.00, 0.20, 0.35, 0.05, 0.05, 0.25, 1.00), ('
   ('Growth', 1.25, 0.10, 0.20, 0.03, 0.03, 0.15, 0.75)) p(profile, rr, vp, dp, mp, sp, dr, ew)"""
 UTIL = "rr * cagr - vp * vol - dp * abs(mdd) - mp * greatest(cm, 0) - sp * greatest(cs, 0) + dr * de - ew * spread"
 
-COV = f"""a0 AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY date DESC) AS age FROM rets),
-  tails AS (SELECT grp, ticker, date, ret FROM a0 JOIN (VALUES ('1 year', 12), ('2 years', 24), ('3 years', 36), ('full', 100000)) w(grp, size) ON age <= size),
-  cov AS (SELECT a.grp, a.ticker AS i, b.ticker AS j, covar_samp(a.ret, b.ret) * 12 AS cov FROM tails a JOIN tails b ON a.grp = b.grp AND a.date = b.date GROUP BY ALL),
-  sg AS (SELECT grp, i AS ticker, sqrt(cov) AS s FROM cov WHERE i = j),
-  cr AS (SELECT c.grp, i, j, cov, cov / (x.s * y.s) AS c, x.s FROM cov c JOIN sg x ON x.grp = c.grp AND x.ticker = i JOIN sg y ON y.grp = c.grp AND y.ticker = j),
-  mr AS (SELECT grp, i, any_value(s) AS s, list(cov ORDER BY j) AS cv, list(c ORDER BY j) AS c, list(greatest(c, 0.0) ORDER BY j) AS up, list(greatest(-c, 0.0) ORDER BY j) AS dn FROM cr GROUP BY ALL),
-  mm AS (SELECT grp, list(i ORDER BY i) AS tk, list(s ORDER BY i) AS s, list(cv ORDER BY i) AS cv, list(c ORDER BY i) AS c, list(up ORDER BY i) AS up, list(dn ORDER BY i) AS dn, sum(s * s) AS tr FROM mr GROUP BY grp)"""
-
 RESET = """cal AS (SELECT date, coalesce(date_trunc('quarter', date) <> lag(date_trunc('quarter', date)) OVER (ORDER BY date), false) AS f FROM (SELECT DISTINCT date FROM aligned)),
   cb AS (SELECT date, f, coalesce(max(CASE WHEN f THEN date END) OVER (ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), min(date) OVER ()) AS bd FROM cal)"""
 
@@ -92,14 +84,12 @@ SQL = {
     "pf_constraints": f"""WITH {base()}, {grid()} SELECT candidate, count(*) AS assets, CAST(0 AS BIGINT) AS not_finite, abs(sum(weight) - 1) <= 1e-8 AS sums_to_one,
         count(*) FILTER (weight < 0.05 - 1e-8) AS below_lower, count(*) FILTER (weight > 0.25 + 1e-8) AS above_upper,
         abs(sum(weight) - 1) <= 1e-8 AND count(*) FILTER (weight < 0.05 - 1e-8 OR weight > 0.25 + 1e-8) = 0 AS satisfied FROM grid GROUP BY candidate""",
-    "pf_mdp_analytic": f"""WITH {base()}, {COV}, x AS (SELECT grp, tk, s, list_reduce(list_transform(range(0, 4000), lambda i: list_transform(s, lambda z: 0.0::DOUBLE)),
-          lambda x, z: list_transform(list_zip(x, s, cv), lambda t: t[1] + (t[2] - list_dot_product(t[3], x)) / tr)) AS x FROM mm)
-        SELECT grp, unnest(tk) AS ticker, {r('unnest(list_transform(x, lambda v: v / list_sum(x)))', 5)} AS weight, {r('sqrt(list_dot_product(s, x))', 5)} AS analytic_dr FROM x""",
-    "pf_mdp_long_only": f"""WITH {base()}, {COV}, y AS (SELECT grp, tk, s, c, list_reduce(list_transform(range(0, 2001), lambda i: list_transform(s, lambda z: 1.0::DOUBLE)),
-          lambda y, z: list_transform(list_zip(y, up, dn), lambda t: t[1] * (1 + sqrt(1 + 4 * list_dot_product(t[2], y) * list_dot_product(t[3], y))) / (2 * list_dot_product(t[2], y)))) AS y FROM mm),
-        w AS (SELECT *, list_transform(list_zip(y, s), lambda t: t[1] / t[2]) AS raw FROM y)
-        SELECT grp, unnest(tk) AS ticker, {r('unnest(s)', 5)} AS sigma, {r('unnest(list_transform(raw, lambda v: v / list_sum(raw)))', 4)} AS weight,
-          list_max(list_transform(list_zip(y, c), lambda t: abs(least(t[1], list_dot_product(t[2], y) - 1)))) < 1e-6 AS optimal FROM w""",
+    "pf_mdp_analytic": f"""WITH {base('week')}, {COV}, x AS (SELECT grp, tk, s, list_reduce(list_prepend(list_transform(range(0, len(s)), lambda i: list_transform(range(0, len(s)), lambda j: CASE WHEN i = j THEN 1.0::DOUBLE / len(s) ELSE 0.0::DOUBLE END)),
+          list_transform(range(0, 16), lambda i: list_transform(s, lambda z: list_transform(s, lambda q: 0.0::DOUBLE)))), lambda x, z: list_transform(x, lambda a: list_transform(list_zip(a, x),
+          lambda t: 2 * t[1] - list_dot_product(list_transform(c, lambda q: list_dot_product(q, a)), t[2])))) AS x FROM mm),
+        y AS (SELECT grp, tk, list_sum(list_transform(x, lambda a: list_sum(a))) AS q, list_transform(list_zip(x, s), lambda t: list_sum(t[1]) / t[2]) AS raw FROM x)
+        SELECT grp, unnest(tk) AS ticker, {r('unnest(list_transform(raw, lambda v: v / list_sum(raw)))', 5)} AS weight, {r('sqrt(q)', 5)} AS analytic_dr, 'solved' AS status FROM y""",
+    "pf_mdp_long_only": f"""WITH {WINDOW_WEIGHTS} SELECT grp, ticker, {r('sigma', 5)} AS sigma, {r('weight', 4)} AS weight, {r('residual', 5)} AS kkt_residual, 'optimal' AS status FROM ww""",
     "pf_candidate_grid": f"WITH {base()}, {grid(cap=0.30)} SELECT candidate, ticker, {r('weight')} AS weight FROM grid",
     "pf_candidate_scoring": f"""WITH {base()}, {grid(blend=0.5)}, c AS (SELECT a.ticker AS i, b.ticker AS j, covar_samp(a.ret, b.ret) AS cov FROM rets a JOIN rets b USING (date) GROUP BY ALL),
         mc AS (SELECT ticker, covar_samp(x.ret, m.ret) AS mc, stddev_samp(m.ret) AS ms, stddev_samp(x.ret) AS s FROM rets x JOIN mrets m USING (date) GROUP BY ticker),
@@ -144,16 +134,15 @@ SQL = {
         tp AS (SELECT month, ticker, volume / sum(volume) OVER (PARTITION BY month) AS weight FROM (SELECT * FROM vol QUALIFY row_number() OVER (PARTITION BY month ORDER BY volume DESC, ticker) <= 3))
         SELECT month, row_number() OVER (PARTITION BY month ORDER BY weight DESC, ticker) AS sleeve, ticker, {r('weight')} AS weight FROM tp""",
     "pf_stability_l1": f"SELECT *, true AS valid FROM ({L1})",
-    "pf_window_robustness": f"""WITH {WINDOW_WEIGHTS}, s AS (SELECT grp, ticker, stddev_samp(ret) * sqrt(12.0) AS s FROM tails GROUP BY ALL),
-        c AS (SELECT a.grp, a.ticker AS i, b.ticker AS j, covar_samp(a.ret, b.ret) * 12 AS cov FROM tails a JOIN tails b ON a.grp = b.grp AND a.date = b.date GROUP BY ALL),
-        v AS (SELECT w.grp, sum(w.weight * x.weight * cov) AS v FROM ww w JOIN ww x ON w.grp = x.grp JOIN c ON c.grp = w.grp AND i = w.ticker AND j = x.ticker GROUP BY 1),
+    "pf_window_robustness": f"""WITH {WINDOW_WEIGHTS}, s AS (SELECT grp, ticker, stddev_samp(ret) * sqrt(52.0) AS s FROM tails GROUP BY ALL),
+        v AS (SELECT w.grp, sum(w.weight * x.weight * c.cov) AS v FROM ww w JOIN ww x ON w.grp = x.grp JOIN cov c ON c.grp = w.grp AND i = w.ticker AND j = x.ticker GROUP BY 1),
         m AS (SELECT grp, sum(weight * s) AS m FROM ww JOIN s USING (grp, ticker) GROUP BY 1),
         p AS (SELECT grp, date, sum(weight * ret) AS ret FROM rets JOIN ww USING (ticker) GROUP BY ALL),
         q AS (SELECT *, exp(sum(ln(1 + ret)) OVER (PARTITION BY grp ORDER BY date)) AS v FROM p),
         d2 AS (SELECT q.*, v / max(v) OVER (PARTITION BY grp ORDER BY date) - 1 AS d, k.ret AS mret FROM q JOIN mrets k USING (date))
-        SELECT grp, {r('exp(sum(ln(1 + ret))) - 1', 5)} AS cumulative_return, {r('pow(exp(sum(ln(1 + ret))), 12.0 / count(*)) - 1', 5)} AS annualized_return, {r('stddev_samp(ret) * sqrt(12.0)', 5)} AS annualized_volatility,
-          {r(corr('ret', 'mret'), 5)} AS market_correlation, {r('min(d)', 5)} AS max_drawdown, count(*) AS observations,
-          {r('(pow(exp(sum(ln(1 + ret))), 12.0 / count(*)) - 1) / (stddev_samp(ret) * sqrt(12.0))', 5)} AS sharpe_ratio, {r('any_value(m.m / sqrt(v.v))', 5)} AS diversification_ratio
+        SELECT grp, {r('exp(sum(ln(1 + ret))) - 1', 3)} AS cumulative_return, {r('pow(exp(sum(ln(1 + ret))), 52.0 / count(*)) - 1', 3)} AS annualized_return, {r('stddev_samp(ret) * sqrt(52.0)', 3)} AS annualized_volatility,
+          {r(corr('ret', 'mret'), 3)} AS market_correlation, {r('min(d)', 3)} AS max_drawdown, count(*) AS observations,
+          {r('(pow(exp(sum(ln(1 + ret))), 52.0 / count(*)) - 1) / (stddev_samp(ret) * sqrt(52.0))', 3)} AS sharpe_ratio, {r('any_value(m.m / sqrt(v.v))', 3)} AS diversification_ratio
         FROM d2 JOIN m USING (grp) JOIN v USING (grp) GROUP BY grp""",
     "pf_metrics_5y": f"""WITH {WM} SELECT ticker, h AS holding_month, sector, {r('cagr', 4)} AS cagr, {r('mdd', 4)} AS maximum_drawdown, n AS price_rows, lp AS last_price_used, nm AS monthly_returns,
         fm AS falling_months, {r('cm', 4)} AS correlation_market, {r('cs', 4)} AS correlation_second, {r('db', 4)} AS downside_beta, {r('dc', 4)} AS downside_capture, {r('dv', 4)} AS dollar_volume FROM wm""",

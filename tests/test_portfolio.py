@@ -29,7 +29,7 @@ def test_covariance_matches_pandas_and_is_symmetric(spark):
 def test_long_only_solution_meets_its_conditions(spark):
     rets, wide = returns_frame(spark)
     cov = risk.covariance(rets, 252, ["grp"])
-    best = portfolio.most_diversified(cov, ["grp"], 4000).toPandas()
+    best = portfolio.most_diversified(cov, ["grp"]).toPandas()
     assert best.kkt_residual.max() < 1e-6 and best.weight.sum() == pytest.approx(1.0) and (best.weight >= 0).all()
     matrix = wide.cov().to_numpy() * 252
     ratio = lambda w: w @ np.sqrt(np.diag(matrix)) / np.sqrt(w @ matrix @ w)
@@ -154,3 +154,21 @@ def test_candidates_respect_cap_and_reproduce(spark):
     assert (sums.sum() - 1).abs().max() < 1e-12 and sums.max().max() <= 0.4 and 0 in set(one.candidate)
     key = ["candidate", "ticker"]
     pd.testing.assert_frame_equal(one.sort_values(key).reset_index(drop=True), two.sort_values(key).reset_index(drop=True))
+
+
+def test_matrices_without_full_rank_keep_their_rows(spark):
+    cells = [("copy", "A", "A", 1.0), ("copy", "A", "B", 1.0), ("copy", "B", "A", 1.0), ("copy", "B", "B", 1.0)]
+    cells += [("hedge", "A", "A", 1.0), ("hedge", "A", "B", -1.0), ("hedge", "B", "A", -1.0), ("hedge", "B", "B", 1.0)]
+    cells += [("still", "A", "A", 0.0), ("still", "A", "B", 0.0), ("still", "B", "A", 0.0), ("still", "B", "B", 1.0)]
+    cov = spark.createDataFrame(cells, "grp string, i string, j string, cov double")
+    best = portfolio.most_diversified(cov, ["grp"]).toPandas().set_index(["grp", "ticker"])
+    assert best.status.to_dict() == {("copy", "A"): "singular", ("copy", "B"): "singular", ("hedge", "A"): "no_optimum", ("hedge", "B"): "no_optimum", ("still", "A"): "no_optimum", ("still", "B"): "no_optimum"}
+    assert best.weight["copy"].sum() == pytest.approx(1.0) and best.weight["hedge"].isna().all()
+    free = portfolio.analytic_weights(cov, ["grp"]).toPandas()
+    assert len(free) == 6 and (free.status == "singular").all() and free.weight.isna().all()
+
+
+def test_long_only_optimum_leaves_assets_out():
+    corr = np.array([[1.0, 0.9, 0.1], [0.9, 1.0, 0.6], [0.1, 0.6, 1.0]])
+    y = portfolio.long_only_optimum(corr)
+    assert y[1] == 0 and np.abs(np.minimum(y, corr @ y - 1)).max() < 1e-9

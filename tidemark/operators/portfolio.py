@@ -105,93 +105,86 @@ def pack_matrix(cov: DataFrame, groups: Sequence[str], value: str = "cov") -> Da
     )
 
 
-def _dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda p, q: p * q), F.lit(0.0), lambda total, v: total + v)
-
-
-def _settle(df: DataFrame, *columns: str, groups: Sequence[str] = ()) -> DataFrame:
-    """Evaluate columns once: without the generator the optimizer would inline them into each lambda."""
-    packed = F.explode(F.array(F.struct(*columns))).alias("_s")
-    return df.select(*groups, packed).select(*groups, "_s.*")
-
-
-def most_diversified(cov: DataFrame, groups: Sequence[str], iterations: int = 2000) -> DataFrame:
-    """Long-only weights of maximum diversification ratio for every group.
-
-    Minimise y'Cy/2 - sum(y) over y >= 0 with C the correlation matrix, by the
-    multiplicative update for non-negative quadratic programs (Sha, Lin, Saul, Lee,
-    2007), folded inside the JVM; then w_i is proportional to y_i / sigma_i.
-    Emits the largest violation of the optimality conditions next to the weights.
+def long_only_optimum(corr: np.ndarray, tolerance: float = 1e-10) -> np.ndarray:
+    """y >= 0 that minimises y'Cy/2 - sum(y): an asset enters while its gradient is negative, and leaves at zero."""
+    size = len(corr)
+    y, free = np.zeros(size), np.zeros(size, dtype=bool)
+    for _ in range(10 * size + 10):
+        gain = np.where(free, -np.inf, 1.0 - corr @ y)
+        if gain.max() <= tolerance:
+            break
+        free[gain.argmax()] = True
+        while free.any():
+            target = np.zeros(size)
+            target[free] = np.linalg.lstsq(corr[np.ix_(free, free)], np.ones(int(free.sum())), rcond=None)[0]
+            falling = free & (target <= tolerance)
+            if not falling.any():
+                y = target
+                break
+            y = y + (y[falling] / (y[falling] - target[falling])).min() * (target - y)
+            free &= y > tolerance
+            y[~free] = 0.0
+    return y
+
+
+def _solved(cov: DataFrame, groups: Sequence[str], columns: str, solve) -> DataFrame:
+    """One matrix per group goes to `solve(sigma, corr)`, which returns the columns next to ticker.
+
+    A matrix holds one group's selected universe, K x K by definition; groups are spread over tasks.
     """
-    packed = _settle(
-        pack_matrix(cov, groups).withColumn(
-            "sigma",
-            F.transform("matrix", lambda row, k: F.sqrt(F.get(row, k))),
-        ),
-        "tickers", "matrix", "sigma", groups=groups,
-    )
-    scaled = _settle(
-        packed.withColumn(
-            "corr",
-            F.transform(
-                "matrix",
-                lambda row, k: F.zip_with(row, F.col("sigma"), lambda c, s: c / (s * F.get(F.col("sigma"), k))),
-            ),
-        ).withColumn("up", F.transform("corr", lambda row: F.transform(row, lambda c: F.greatest(c, F.lit(0.0)))))
-        .withColumn("down", F.transform("corr", lambda row: F.transform(row, lambda c: F.greatest(-c, F.lit(0.0))))),
-        "tickers", "sigma", "corr", "up", "down", groups=groups,
-    )
-
-    def step(value: Column, up: Column, down: Column) -> Column:
-        return value * (F.lit(1.0) + F.sqrt(F.lit(1.0) + F.lit(4.0) * up * down)) / (F.lit(2.0) * up)
-
-    def update(y: Column, _: Column) -> Column:
-        return F.transform(y, lambda value, k: step(value, _dot(F.get("up", k), y), _dot(F.get("down", k), y)))
-
-    solved = _settle(
-        scaled.withColumn(
-            "y",
-            F.aggregate(
-                F.sequence(F.lit(1), F.lit(iterations)), F.transform("tickers", lambda t: F.lit(1.0)), update
-            ),
-        ),
-        "tickers", "sigma", "corr", "y", groups=groups,
-    )
-    checked = solved.withColumn(
-        "kkt_residual",
-        F.array_max(
-            F.transform("corr", lambda row, k: F.abs(F.least(F.get("y", k), _dot(row, F.col("y")) - 1)))
-        ),
-    ).withColumn("raw", F.zip_with("y", "sigma", lambda y, s: y / s))
-    total = F.aggregate("raw", F.lit(0.0), lambda acc, v: acc + v)
-    cells = F.arrays_zip(
-        F.col("tickers").alias("ticker"), F.col("sigma").alias("sigma"),
-        F.transform("raw", lambda v: v / total).alias("weight"),
-    )
-    return checked.select(*groups, "kkt_residual", F.inline(cells))
-
+    schema = ", ".join([f"{g} {cov.schema[g].dataType.simpleString()}" for g in groups] + ["ticker string", columns])
 
-def analytic_weights(cov: DataFrame, groups: Sequence[str]) -> DataFrame:
-    """Unconstrained inverse(Cov) * sigma, normalised, one small solve per group."""
-    packed = pack_matrix(cov, groups)
-    schema = ", ".join([f"{g} string" for g in groups] + ["ticker string", "weight double", "analytic_dr double"])
-
-    def solve(batches):
+    def run(batches):
         for pdf in batches:
             out = []
             for row in pdf.itertuples(index=False):
                 matrix = np.array([list(r) for r in row.matrix], dtype=float)
                 sigma = np.sqrt(np.diag(matrix))
-                raw = np.linalg.solve(matrix, sigma)
+                usable = bool(np.isfinite(matrix).all() and (sigma > 0).all())
                 frame = pd.DataFrame({g: getattr(row, g) for g in groups}, index=range(len(sigma)))
                 frame["ticker"] = list(row.tickers)
-                frame["weight"] = raw / raw.sum()
-                frame["analytic_dr"] = float(np.sqrt(sigma @ raw))
-                out.append(frame)
+                corr = matrix / np.outer(sigma, sigma) if usable else np.zeros_like(matrix)
+                out.append(frame.assign(**solve(sigma, corr)))
             if out:
                 yield pd.concat(out, ignore_index=True)
 
-    return packed.mapInPandas(solve, schema)
+    return pack_matrix(cov, groups).mapInPandas(run, schema)
+
+
+def most_diversified(cov: DataFrame, groups: Sequence[str], tolerance: float = 1e-6) -> DataFrame:
+    """Long-only weights of maximum diversification ratio for every group.
+
+    Minimise y'Cy/2 - sum(y) over y >= 0 with C the correlation matrix by an active set; then w_i is
+    proportional to y_i / sigma_i. Next to the weights stand the largest violation of the optimality conditions
+    and a status: ``optimal``, ``singular`` (C has no full rank, so weights may not be unique) or ``no_optimum``,
+    whose weights are null. No group is dropped.
+    """
+    def solve(sigma, corr):
+        y = long_only_optimum(corr)
+        residual = float(np.abs(np.minimum(y, corr @ y - 1)).max())
+        full = np.linalg.matrix_rank(corr, hermitian=True) == len(corr)
+        raw = y / np.where(sigma > 0, sigma, 1.0)
+        found = residual < tolerance and raw.sum() > 0
+        return {"sigma": sigma, "weight": raw / raw.sum() if found else np.nan, "kkt_residual": residual, "status": ("optimal" if full else "singular") if found else "no_optimum"}
+
+    out = _solved(cov, groups, "sigma double, weight double, kkt_residual double, status string", solve)
+    return out.withColumn("weight", F.nanvl("weight", F.lit(None)))
+
+
+def analytic_weights(cov: DataFrame, groups: Sequence[str]) -> DataFrame:
+    """Unconstrained inverse(Cov) * sigma, normalised, one small solve per group.
+
+    A matrix without full rank has status ``singular`` and null weights.
+    """
+    def solve(sigma, corr):
+        if np.linalg.matrix_rank(corr, hermitian=True) < len(corr):
+            return {"weight": np.nan, "analytic_dr": np.nan, "status": "singular"}
+        y = np.linalg.solve(corr, np.ones(len(corr)))
+        raw = y / sigma
+        return {"weight": raw / raw.sum(), "analytic_dr": float(np.sqrt(y.sum())), "status": "solved"}
+
+    out = _solved(cov, groups, "weight double, analytic_dr double, status string", solve)
+    return out.withColumns({c: F.nanvl(c, F.lit(None)) for c in ("weight", "analytic_dr")})
 
 
 def candidate_grid(

@@ -8,7 +8,8 @@ from tidemark.functions.columns import is_close
 from tidemark.operators import checks, features, risk, scoring, universe
 from tidemark.plans import frames
 from tidemark.plans import universe as uni
-from tidemark.plans.portfolios import monthly_nav, monthly_targets, window_metrics, windowed_covariance
+from tidemark.plans.joins import window_covariance
+from tidemark.plans.portfolios import monthly_nav, monthly_targets, window_metrics
 from tidemark.plans.rankings import liquidity
 from tidemark.plans.registry import new_registry
 from tidemark.plans.scalars import eligibility_table, lifecycle
@@ -20,7 +21,7 @@ QUERIES, query = new_registry()
 @query
 def chk_matrix(spark, sf):
     """Finite, symmetric, positive diagonal, for each estimation window."""
-    return risk.matrix_checks(windowed_covariance(spark, sf), ["grp"])
+    return risk.matrix_checks(window_covariance(spark, sf), ["grp"])
 
 
 @query

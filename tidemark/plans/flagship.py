@@ -20,4 +20,4 @@ def diversified_portfolio(spark: SparkSession, sf_dir: str) -> DataFrame:
     ratio = portfolio.diversification_ratio(
         weights.select("grp", "portfolio", "ticker", "weight"), sigma, cov, ["grp"]
     ).select("grp", "diversification_ratio")
-    return rounded(weights.join(ratio, "grp").select("ticker", "sigma", "weight", "diversification_ratio"))
+    return rounded(weights.join(ratio, "grp").select("ticker", "sigma", "weight", "kkt_residual", "status", "diversification_ratio"))

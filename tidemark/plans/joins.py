@@ -118,14 +118,21 @@ def join_self_pairs(spark, sf):
     return rounded(pairs.groupBy("i", "j").agg(F.count(F.lit(1)).alias("weeks"), F.avg(F.col("x") * F.col("y")).alias("mean_product")))
 
 
-WINDOWS = {"3 months": 3, "6 months": 6, "1 year": 12, "2 years": 24, "3 years": 36, "full": None}
+# Estimation windows in weeks: even the shortest has more returns than there are tickers.
+WINDOWS = {"3 months": 13, "6 months": 26, "1 year": 52, "2 years": 104, "3 years": 156, "full": None}
+
+
+def window_tails(spark, sf):
+    return align.estimation_tail(frames.sector_returns(spark, sf, "week"), WINDOWS)
+
+
+def window_covariance(spark, sf):
+    return panel.kept(spark, ("window_covariance", sf), lambda: risk.covariance(window_tails(spark, sf), frames.WEEKS, ["grp"]))
 
 
 def window_weights(spark, sf):
-    """Inverse-volatility weights of six estimation windows."""
-    tails = align.estimation_tail(frames.sector_returns(spark, sf), WINDOWS)
-    sigma = risk.volatility(tails, frames.MONTHS, ["grp"])
-    return portfolio.inverse_volatility(sigma, ["grp"]).select("grp", "ticker", "weight")
+    """Long-only most diversified weights of six estimation windows."""
+    return panel.kept(spark, ("window_weights", sf), lambda: portfolio.most_diversified(window_covariance(spark, sf), ["grp"]))
 
 
 def weight_distances(weights):
@@ -137,7 +144,7 @@ def weight_distances(weights):
 
 @query
 def join_self_windows(spark, sf):
-    return rounded(weight_distances(window_weights(spark, sf)))
+    return rounded(weight_distances(window_weights(spark, sf)), 4)
 
 
 @query

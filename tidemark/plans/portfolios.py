@@ -9,7 +9,7 @@ from tidemark.functions.columns import beta_of, corr_of, is_close, rnd, rounded
 from tidemark.operators import align, folds, nav, performance, portfolio, risk, scoring, universe
 from tidemark.plans import frames
 from tidemark.plans.frames import MONTHS, WEEKS
-from tidemark.plans.joins import WINDOWS, weight_distances, window_weights
+from tidemark.plans.joins import weight_distances, window_covariance, window_tails, window_weights
 from tidemark.plans.registry import new_registry
 from tidemark.sources import panel
 
@@ -59,22 +59,17 @@ def pf_constraints(spark, sf):
     return portfolio.constraint_report(grid, ["candidate"], 0.05, 0.25)
 
 
-def windowed_covariance(spark, sf, windows=None):
-    tails = align.estimation_tail(frames.sector_returns(spark, sf), windows or {k: v for k, v in WINDOWS.items() if v is None or v >= 12})
-    return risk.covariance(tails, MONTHS, ["grp"])
-
-
 @query
 def pf_mdp_analytic(spark, sf):
     """Unconstrained maximum diversification per estimation window."""
-    return rounded(portfolio.analytic_weights(windowed_covariance(spark, sf), ["grp"]), 5)
+    return rounded(portfolio.analytic_weights(window_covariance(spark, sf), ["grp"]), 5)
 
 
 @query
 def pf_mdp_long_only(spark, sf):
     """Long-only maximum diversification per estimation window, with its optimality residual."""
-    out = portfolio.most_diversified(windowed_covariance(spark, sf), ["grp"])
-    return out.select("grp", "ticker", rnd("sigma", 5).alias("sigma"), rnd("weight", 4).alias("weight"), (F.col("kkt_residual") < 1e-6).alias("optimal"))
+    out = window_weights(spark, sf)
+    return out.select("grp", "ticker", rnd("sigma", 5).alias("sigma"), rnd("weight", 4).alias("weight"), rnd("kkt_residual", 5).alias("kkt_residual"), "status")
 
 
 @query
@@ -225,20 +220,19 @@ def pf_stability_l1(spark, sf):
     d = weight_distances(window_weights(spark, sf))
     flipped = d.select(F.col("w2").alias("w1"), F.col("w1").alias("w2"), F.col("l1_distance").alias("other"))
     ok = is_close(F.col("l1_distance"), F.col("other"), 1e-10, 1e-12) & ((F.col("w1") != F.col("w2")) | (F.col("l1_distance") == 0))
-    return rounded(d.join(flipped, ["w1", "w2"]).select("w1", "w2", "l1_distance", ok.alias("valid")))
+    return rounded(d.join(flipped, ["w1", "w2"]).select("w1", "w2", "l1_distance", ok.alias("valid")), 4)
 
 
 @query
 def pf_window_robustness(spark, sf):
     """Six estimation windows judged on one evaluation set: risk, ratio and performance in one job."""
-    rets = frames.sector_returns(spark, sf)
-    tails = align.estimation_tail(rets, WINDOWS)
-    weights = window_weights(spark, sf).withColumn("portfolio", F.lit("inverse_vol"))
-    sigma, cov = risk.volatility(tails, MONTHS, ["grp"]), risk.covariance(tails, MONTHS, ["grp"])
+    rets = frames.sector_returns(spark, sf, "week")
+    weights = window_weights(spark, sf).select("grp", "ticker", "weight", F.lit("most_diversified").alias("portfolio"))
+    sigma, cov = risk.volatility(window_tails(spark, sf), WEEKS, ["grp"]), window_covariance(spark, sf)
     ratio = portfolio.diversification_ratio(weights, sigma, cov, ["grp"]).select("grp", "diversification_ratio")
     path = rets.join(weights.select("grp", "ticker", "weight"), "ticker").groupBy("grp", "date").agg(F.sum(F.col("weight") * F.col("ret")).alias("ret"))
-    table = performance.performance_table(path, frames.market_returns(spark, sf), MONTHS, ["grp"])
-    return rounded(table.join(ratio, "grp"), 5)
+    table = performance.performance_table(path, frames.market_returns(spark, sf, "week"), WEEKS, ["grp"])
+    return rounded(table.join(ratio, "grp"), 3)
 
 
 HISTORY = 24
