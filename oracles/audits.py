@@ -21,13 +21,13 @@ PIT = rows([
     (1, "listed_by_selection_date", E + "NOT (selection_date >= ld)"), (2, "not_delisted_by_selection_date", E + "selection_date >= dd"), (3, "dynamic_history", E + "NOT hist"),
     (4, "adv_uses_no_future_data", "SELECT count(*) FROM rep WHERE awe > selection_date"), (5, "adv_uses_close_times_volume", "SELECT count(*) FROM rep WHERE adv20 IS NULL"),
     (6, "no_leveraged_or_inverse", E + "(lev OR inv)"), (7, "no_other_prohibited_products", "SELECT 0"),
-    (8, "sector_level_only", E + "((cs = 'Real Estate' AND effective_trade_date < DATE '1998-09-01') OR (cs = 'Communication Services' AND effective_trade_date < DATE '1999-10-01' AND ticker NOT IN ('Brand#1/MEDIUM', 'Brand#2/MEDIUM')))"),
+    (8, "sector_level_only", E + "((cs = 'Real Estate' AND effective_trade_date < DATE '2000-09-01') OR (cs = 'Communication Services' AND effective_trade_date < DATE '2001-03-01' AND ticker NOT IN ('Brand#1/MEDIUM', 'Brand#2/MEDIUM')))"),
     (9, "one_representative_per_sector_month", "SELECT count(*) - count(DISTINCT (selection_date, name)) FROM rep"),
     (10, "representative_has_maximum_ADV20", "SELECT count(*) FROM rep JOIN (SELECT selection_date, name, max(adv20) AS mx FROM el WHERE eligible GROUP BY ALL) USING (selection_date, name) WHERE adv20 <> mx"),
     (11, "trade_after_signal", "SELECT count(*) FROM rep WHERE effective_trade_date <= selection_date"),
-    (12, "classification_effective_date_applied", E + """NOT (CASE WHEN cs = 'Real Estate' THEN DATE '1998-08-31' WHEN cs = 'Communication Services' AND effective_trade_date >= DATE '1999-10-01' THEN DATE '1999-09-28' ELSE ld END <= selection_date)"""),
-    (13, "no_premature_real_estate_sector", E + "name = 'Real Estate' AND effective_trade_date < DATE '1998-09-01'"),
-    (14, "telecom_restructure_not_new_sector", E + "((name = 'Communication Services' AND effective_trade_date < DATE '1999-10-01') OR (name = 'Telecommunication Services' AND effective_trade_date >= DATE '1999-10-01'))"),
+    (12, "classification_effective_date_applied", E + """NOT (CASE WHEN cs = 'Real Estate' THEN DATE '2000-08-31' WHEN cs = 'Communication Services' AND effective_trade_date >= DATE '2001-03-01' THEN DATE '2001-02-26' ELSE ld END <= selection_date)"""),
+    (13, "no_premature_real_estate_sector", E + "name = 'Real Estate' AND effective_trade_date < DATE '2000-09-01'"),
+    (14, "telecom_restructure_not_new_sector", E + "((name = 'Communication Services' AND effective_trade_date < DATE '2001-03-01') OR (name = 'Telecommunication Services' AND effective_trade_date >= DATE '2001-03-01'))"),
     (15, "no_dual_sector_mapping", "SELECT count(*) - count(DISTINCT (selection_date, ticker)) FROM el WHERE eligible"),
     (16, "delisted_funds_only_during_lifecycle", E + "selection_date >= dd"), (17, "no_prelisting_current_funds", E + "NOT (selection_date >= ld)"),
 ])

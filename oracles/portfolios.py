@@ -52,19 +52,22 @@ MONTHLY = f"""{bars('type', 'month', 'mb')}, vol AS (SELECT ticker, CAST(date_tr
 
 WM = f"""{bars('instrument', 'day')}, {bars('type', 'day', 'tb')}, {market('bars')},
   b AS (SELECT min(date) AS lo, max(date) AS hi FROM bars),
-  q AS (SELECT DISTINCT CAST(date_trunc('quarter', date) AS DATE) AS h FROM bars),
-  hm AS (SELECT h FROM q, b WHERE h >= CAST(lo + INTERVAL 24 MONTH AS DATE) AND h <= hi),
-  rw AS (SELECT h, x.sector, x.ticker, x.date, x.close, m.close AS market, t.close AS second, x.volume FROM hm JOIN bars x ON x.date < h AND x.date >= CAST(h - INTERVAL 24 MONTH AS DATE)
+  hm AS (SELECT CAST(unnest(generate_series(date_trunc('month', lo) + INTERVAL 1 MONTH, CAST(hi AS TIMESTAMP), INTERVAL 1 MONTH)) AS DATE) AS h FROM b),
+  rw AS (SELECT h, x.sector, x.ticker, x.date, x.close, m.close AS market, t.close AS second, x.volume FROM hm JOIN bars x ON x.date < h AND x.date >= CAST(h - INTERVAL 60 MONTH AS DATE)
          JOIN market m ON m.date = x.date JOIN tb t ON t.ticker = x.sector AND t.date = x.date),
   dw AS (SELECT *, close / max(close) OVER (PARTITION BY h, ticker ORDER BY date) - 1 AS d FROM rw),
   da AS (SELECT h, sector, ticker, CASE WHEN max(date) > min(date) THEN pow(arg_max(close, date) / arg_min(close, date), 1.0 / ((max(date) - min(date)) / 365.2425)) - 1 END AS cagr, min(d) AS mdd, count(*) AS n, max(date) AS lp FROM dw GROUP BY ALL),
   mo AS (SELECT h, sector, ticker, last_day(date) AS m, arg_max(close, date) AS c, arg_max(market, date) AS k, arg_max(second, date) AS s FROM rw GROUP BY ALL),
   mr2 AS (SELECT h, sector, ticker, c / lag(c) OVER w - 1 AS ret, k / lag(k) OVER w - 1 AS mret, s / lag(s) OVER w - 1 AS sret FROM mo WINDOW w AS (PARTITION BY h, ticker ORDER BY m)),
   st AS (SELECT h, sector, ticker, count(ret) AS nm, count(*) FILTER (mret < 0) AS fm, {corr('ret', 'mret')} AS cm, {corr('ret', 'sret')} AS cs,
-     (covar_samp(ret, mret) FILTER (mret < 0)) / nullif(var_samp(mret) FILTER (mret < 0), 0) AS db, (avg(ret) FILTER (mret < 0)) / nullif(avg(mret) FILTER (mret < 0), 0) AS dc FROM mr2 GROUP BY ALL),
+     CASE WHEN var_samp(mret) FILTER (mret < 0) > 1e-8 THEN (covar_samp(ret, mret) FILTER (mret < 0)) / (var_samp(mret) FILTER (mret < 0)) END AS db, CASE WHEN avg(mret) FILTER (mret < 0) < -1e-8 THEN (avg(ret) FILTER (mret < 0)) / (avg(mret) FILTER (mret < 0)) END AS dc FROM mr2 GROUP BY ALL),
   lq AS (SELECT ticker, date, avg(close * volume) OVER (PARTITION BY ticker ORDER BY date ROWS BETWEEN 62 PRECEDING AND CURRENT ROW) AS dv FROM bars),
-  wm AS (SELECT da.h, da.sector, da.ticker, cagr, mdd, n, lp, nm, fm, cm, cs, db, dc, lq.dv FROM da JOIN st USING (h, sector, ticker) JOIN lq ON lq.ticker = da.ticker AND lq.date = da.lp
-     WHERE cagr IS NOT NULL AND cm IS NOT NULL AND cs IS NOT NULL AND db IS NOT NULL AND dc IS NOT NULL AND nm >= 2 AND fm >= 2)"""
+  fa AS (SELECT ticker, min(date) AS f FROM bars GROUP BY ticker),
+  al AS (SELECT da.h, da.sector, da.ticker, cagr, mdd, n, lp, nm, fm, cm, cs, db, dc, lq.dv, (year(da.h) - year(f)) * 12 + month(da.h) - month(f) AS age
+     FROM da JOIN st USING (h, sector, ticker) JOIN lq ON lq.ticker = da.ticker AND lq.date = da.lp JOIN fa ON fa.ticker = da.ticker),
+  am AS (SELECT *, CASE WHEN age < 60 THEN 'History age ' || age || ' months; requires 60' WHEN n < 2 THEN 'fewer than two prices' WHEN nm < 2 THEN 'fewer than two monthly returns'
+     WHEN fm < 2 OR db IS NULL THEN 'too few falling market months' WHEN cagr IS NULL OR mdd IS NULL OR cm IS NULL OR cs IS NULL OR dc IS NULL OR dv IS NULL THEN 'metric without a value' ELSE '' END AS why FROM al),
+  wm AS MATERIALIZED (SELECT * FROM am WHERE why = '')"""
 CRIT = [("cagr", 0.20, 1), ("cm", 0.15, -1), ("cs", 0.15, -1), ("db", 0.15, -1), ("mdd", 0.15, 1), ("dc", 0.15, -1), ("dv", 0.05, 1)]
 SCORES = " UNION ALL ".join(
     f"SELECT h, sector, ticker, '{m}' AS k, {w} AS w, {m} AS v, {'max' if s > 0 else 'min'}({m}) OVER (PARTITION BY h, sector) AS best FROM wm" for m, w, s in CRIT
@@ -144,8 +147,11 @@ SQL = {
           {r(corr('ret', 'mret'), 3)} AS market_correlation, {r('min(d)', 3)} AS max_drawdown, count(*) AS observations,
           {r('(pow(exp(sum(ln(1 + ret))), 52.0 / count(*)) - 1) / (stddev_samp(ret) * sqrt(52.0))', 3)} AS sharpe_ratio, {r('any_value(m.m / sqrt(v.v))', 3)} AS diversification_ratio
         FROM d2 JOIN m USING (grp) JOIN v USING (grp) GROUP BY grp""",
-    "pf_metrics_5y": f"""WITH {WM} SELECT ticker, h AS holding_month, sector, {r('cagr', 4)} AS cagr, {r('mdd', 4)} AS maximum_drawdown, n AS price_rows, lp AS last_price_used, nm AS monthly_returns,
-        fm AS falling_months, {r('cm', 4)} AS correlation_market, {r('cs', 4)} AS correlation_second, {r('db', 4)} AS downside_beta, {r('dc', 4)} AS downside_capture, {r('dv', 4)} AS dollar_volume FROM wm""",
+    "pf_metrics_5y": f"""WITH {WM} SELECT ticker, h AS holding_month, sector, n AS price_rows, lp AS last_price_used, nm AS monthly_returns, fm AS falling_months, age AS history_age_months, why AS exclusion_reason,
+        CASE WHEN age < 60 THEN 'NOT_RUN' WHEN why <> '' THEN 'FAILED' ELSE 'OK' END AS calculation_status, """ + ", ".join(
+        r(f"CASE WHEN why = '' THEN {c} END", 4) + f" AS {name}" for c, name in (
+            ("cagr", "cagr"), ("mdd", "maximum_drawdown"), ("cm", "correlation_market"), ("cs", "correlation_second"), ("db", "downside_beta"), ("dc", "downside_capture"), ("dv", "dollar_volume"))
+    ) + " FROM am",
     "pf_scorecard": f"""WITH {WM}, sc AS ({SCORES}), pt AS (SELECT *, abs(v - best) <= 1e-12 + 1e-12 * abs(best) AS win FROM sc),
         pp AS (SELECT h, sector, ticker, CASE WHEN win THEN w / sum(CASE WHEN win THEN 1 ELSE 0 END) OVER (PARTITION BY h, sector, k) ELSE 0 END AS p FROM pt),
         tt AS (SELECT h, sector, ticker, round(sum(p), 12) AS total FROM pp GROUP BY ALL)

@@ -136,11 +136,11 @@ SQL = {
     "fn_string_agg": f"WITH {instruments()} SELECT sector, string_agg(ticker, '|' ORDER BY ticker) AS tickers FROM instruments GROUP BY sector",
     "fn_name_similarity": f"""WITH {NAMED}, {CUR}, x AS (SELECT ticker, {sim('fund_name', 'current_name')} AS s FROM named JOIN cur USING (ticker)) SELECT ticker, {r('s', 5)} AS similarity, s >= 0.72 AS same FROM x""",
     "fn_gics_pit": f"""WITH {D}, {instruments()}, {CAND}, {MONTH_ENDS}, g AS (SELECT *, ticker IN ('Brand#1/MEDIUM', 'Brand#2/MEDIUM') AS lg FROM cand CROSS JOIN months),
-        c AS (SELECT *, CASE WHEN selection_date < ld THEN false WHEN cs = 'Real Estate' THEN effective_trade_date >= DATE '1998-09-01' WHEN cs = 'Communication Services' THEN effective_trade_date >= DATE '1999-10-01' OR lg ELSE true END AS v FROM g)
-        SELECT ticker, selection_date, CASE WHEN selection_date >= ld AND cs = 'Communication Services' AND effective_trade_date < DATE '1999-10-01' THEN 'Telecommunication Services' ELSE cs END AS historical_sector_name,
-          v AS classification_valid, CASE WHEN selection_date >= ld AND cs = 'Real Estate' AND effective_trade_date < DATE '1998-09-01' THEN 'industry_group'
-            WHEN selection_date >= ld AND cs = 'Communication Services' AND effective_trade_date < DATE '1999-10-01' AND NOT lg THEN 'unclassified' ELSE 'sector' END AS classification_level_at_date,
-          CASE WHEN v THEN CASE WHEN cs = 'Real Estate' THEN DATE '1998-08-31' WHEN cs = 'Communication Services' AND effective_trade_date >= DATE '1999-10-01' THEN DATE '1999-09-28' ELSE ld END END AS classification_effective_date FROM c""",
+        c AS (SELECT *, CASE WHEN selection_date < ld THEN false WHEN cs = 'Real Estate' THEN effective_trade_date >= DATE '2000-09-01' WHEN cs = 'Communication Services' THEN effective_trade_date >= DATE '2001-03-01' OR lg ELSE true END AS v FROM g)
+        SELECT ticker, selection_date, CASE WHEN selection_date >= ld AND cs = 'Communication Services' AND effective_trade_date < DATE '2001-03-01' THEN 'Telecommunication Services' ELSE cs END AS historical_sector_name,
+          v AS classification_valid, CASE WHEN selection_date >= ld AND cs = 'Real Estate' AND effective_trade_date < DATE '2000-09-01' THEN 'industry_group'
+            WHEN selection_date >= ld AND cs = 'Communication Services' AND effective_trade_date < DATE '2001-03-01' AND NOT lg THEN 'unclassified' ELSE 'sector' END AS classification_level_at_date,
+          CASE WHEN v THEN CASE WHEN cs = 'Real Estate' THEN DATE '2000-08-31' WHEN cs = 'Communication Services' AND effective_trade_date >= DATE '2001-03-01' THEN DATE '2001-02-26' ELSE ld END END AS classification_effective_date FROM c""",
     "agg_ticker_reuse": f"""WITH {NAMED} SELECT ticker, CAST(2 AS BIGINT) AS lifecycle_rows, CAST(2 AS BIGINT) AS distinct_names, 'Former ' || fund_name || '|' || fund_name AS fund_names,
         CAST(CAST(listing_date - INTERVAL 120 MONTH AS DATE) AS VARCHAR) || '|' || listing_date AS ipo_dates, CAST(CASE WHEN n % 10 = 0 THEN listing_date + 30 ELSE listing_date - 30 END AS DATE) || '|unknown' AS delisting_dates
         FROM named WHERE n % 5 = 0""",

@@ -25,12 +25,12 @@ def adv(grid, source="bars"):
 
 
 ELIG = f"""{D}, {instruments()}, {CAND}, {MONTH_ENDS}, grid AS (SELECT * FROM cand CROSS JOIN months), {adv('grid')},
-  el0 AS (SELECT *, selection_date >= ld AS listed, coalesce(selection_date >= dd, false) AS gone, CAST(ld + INTERVAL 24 MONTH AS DATE) <= selection_date AS hist,
-    CASE WHEN selection_date >= ld AND cs = 'Communication Services' AND effective_trade_date < DATE '1999-10-01' THEN 'Telecommunication Services' ELSE cs END AS name,
-    CASE WHEN selection_date < ld THEN false WHEN cs = 'Real Estate' THEN effective_trade_date >= DATE '1998-09-01'
-      WHEN cs = 'Communication Services' THEN effective_trade_date >= DATE '1999-10-01' OR ticker IN ('Brand#1/MEDIUM', 'Brand#2/MEDIUM') ELSE true END AS cv FROM adv),
+  el0 AS (SELECT *, selection_date >= ld AS listed, coalesce(selection_date >= dd, false) AS gone, CAST(ld + INTERVAL 60 MONTH AS DATE) <= selection_date AS hist,
+    CASE WHEN selection_date >= ld AND cs = 'Communication Services' AND effective_trade_date < DATE '2001-03-01' THEN 'Telecommunication Services' ELSE cs END AS name,
+    CASE WHEN selection_date < ld THEN false WHEN cs = 'Real Estate' THEN effective_trade_date >= DATE '2000-09-01'
+      WHEN cs = 'Communication Services' THEN effective_trade_date >= DATE '2001-03-01' OR ticker IN ('Brand#1/MEDIUM', 'Brand#2/MEDIUM') ELSE true END AS cv FROM adv),
   el AS (SELECT *, listed AND NOT gone AND NOT lc AS lv, reason = '' AS pv, listed AND NOT gone AND NOT lc AND hist AND cv AND reason = '' AND NOT lev AND NOT inv AS eligible,
-    concat_ws('|', CASE WHEN NOT listed THEN 'not_yet_listed' END, CASE WHEN listed AND gone THEN 'already_delisted' END, CASE WHEN NOT hist THEN 'less_than_24_months_valid_history' END,
+    concat_ws('|', CASE WHEN NOT listed THEN 'not_yet_listed' END, CASE WHEN listed AND gone THEN 'already_delisted' END, CASE WHEN NOT hist THEN 'less_than_60_months_valid_history' END,
       CASE WHEN NOT cv THEN 'classification_not_valid_at_effective_trade_date' END, CASE WHEN reason <> '' THEN reason END, CASE WHEN lc THEN 'unresolved_lifecycle_conflict' END,
       CASE WHEN lev OR inv THEN 'prohibited_product_flag' END) AS why,
     CASE WHEN ld <= selection_date THEN round((selection_date - ld) / 30.436875, 2) ELSE 0.0 END AS hm FROM el0)"""
@@ -63,7 +63,7 @@ SQL = {
         concat_ws(' | ', CASE WHEN NOT cur THEN 'NO_DATA_IN_FORMATION_MONTH' END, CASE WHEN NOT en THEN 'INSUFFICIENT_TRAILING_OBSERVATIONS' END, CASE WHEN NOT lq THEN 'LIQUIDITY_THRESHOLD_FAILED' END) AS failure_reason FROM s2""",
     "uni_monthly_shortlist": f"WITH {SHORT} SELECT * FROM short",
     "agg_readiness": f"""WITH {SHORT} SELECT holding_month, count(*) FILTER (sleeve_status = 'READY') AS ready_sleeves, count(DISTINCT sleeve) AS total_sleeves,
-        count(*) FILTER (sleeve_status = 'READY') = 6 AND count(DISTINCT sleeve) = 6 AS all_ready FROM short GROUP BY holding_month""",
+        count(*) FILTER (sleeve_status = 'READY') = (SELECT count(DISTINCT cs) FROM cand) AND count(DISTINCT sleeve) = (SELECT count(DISTINCT cs) FROM cand) AS all_ready FROM short GROUP BY holding_month""",
     "uni_candidate_5y": f"""WITH {SHORT}, x AS (SELECT holding_month, sleeve, string_split(selected_symbols, ', ') AS l FROM short WHERE selected_symbols <> ''),
         y AS (SELECT holding_month, sleeve, unnest(l) AS ticker, unnest(range(1, len(l) + 1)) AS liquidity_rank FROM x),
         z AS (SELECT y.*, (year(holding_month) - year(listing_date)) * 12 + month(holding_month) - month(listing_date) AS a FROM y JOIN instruments USING (ticker))
@@ -95,12 +95,12 @@ SQL = {
         h AS (SELECT ticker, max(len(list_filter(range(1, CAST(date - pd AS BIGINT)), lambda k: isodow(CAST(pd + CAST(k AS INTEGER) AS DATE)) < 6))) AS gap FROM g WHERE pd IS NOT NULL GROUP BY ticker),
         t AS (SELECT ticker, concat_ws('|', CASE WHEN sum(missing) > 0 THEN 'missing_ohlcv' END, CASE WHEN sum(nonpos) > 0 THEN 'nonpositive_price' END, CASE WHEN sum(neg) > 0 THEN 'negative_volume' END,
           CASE WHEN sum(logic) > 0 THEN 'ohlc_logic_error' END, CASE WHEN max(n) > 1 THEN 'duplicate_date' END, CASE WHEN any_value(gap) > 5 THEN 'large_missing_gap' END) AS a FROM daily LEFT JOIN h USING (ticker) GROUP BY ticker)
-        SELECT ticker, cs AS sector, ld AS listing_date, CASE cs WHEN 'Real Estate' THEN greatest(ld, DATE '1998-08-31') WHEN 'Communication Services' THEN greatest(ld, DATE '1999-09-28') ELSE ld END AS classification_start,
+        SELECT ticker, cs AS sector, ld AS listing_date, CASE cs WHEN 'Real Estate' THEN greatest(ld, DATE '2000-08-31') WHEN 'Communication Services' THEN greatest(ld, DATE '2001-02-26') ELSE ld END AS classification_start,
           CASE WHEN a = '' THEN 'none' ELSE a END AS anomaly_types, CASE WHEN lc THEN 'lifecycle_conflict' WHEN lev OR inv THEN 'prohibited_product' ELSE '' END AS problem
         FROM cand LEFT JOIN t USING (ticker) WHERE dd IS NULL""",
-    "uni_winner_matrix": f"""WITH {TOTALS} SELECT h AS holding_month, """ + ", ".join(
+    "uni_winner_matrix": f"""WITH {TOTALS} SELECT hm.h AS holding_month, """ + ", ".join(
         f"max(CASE WHEN sector = '{s}' THEN ticker END) AS {s}" for s in ("SMALL", "MEDIUM", "LARGE", "ECONOMY", "STANDARD", "PROMO")
-    ) + " FROM wn GROUP BY h",
+    ) + " FROM hm LEFT JOIN wn ON wn.h = hm.h GROUP BY hm.h",
     "agg_run_summary": f"""WITH {ELIG} SELECT CASE WHEN eligible THEN 'eligible' ELSE split_part(why, '|', 1) END AS status, count(*) AS rows, count(DISTINCT ticker) AS tickers,
         count(DISTINCT selection_date) AS months FROM el GROUP BY 1""",
 }

@@ -9,7 +9,7 @@ from tidemark.operators import checks, features, risk, scoring, universe
 from tidemark.plans import frames
 from tidemark.plans import universe as uni
 from tidemark.plans.joins import window_covariance
-from tidemark.plans.portfolios import monthly_nav, monthly_targets, window_metrics
+from tidemark.plans.portfolios import monthly_nav, monthly_targets, scorable
 from tidemark.plans.rankings import liquidity
 from tidemark.plans.registry import new_registry
 from tidemark.plans.scalars import eligibility_table, lifecycle
@@ -53,7 +53,7 @@ def chk_pit_17(spark, sf):
 @query
 def chk_scorecard(spark, sf):
     """Criterion weights are paid out in full, totals add to one, nothing looks past the cutoff."""
-    metrics = panel.kept(spark, ("window_metrics", sf), lambda: window_metrics(spark, sf))
+    metrics = scorable(spark, sf)
     keys = ["holding_month", "sector"]
     scores = scoring.scorecard(metrics, keys)
     paid = scores.groupBy(*keys, "criterion").agg(F.sum("weighted_score").alias("paid"), F.max("criterion_weight").alias("due"))

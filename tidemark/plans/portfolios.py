@@ -235,60 +235,88 @@ def pf_window_robustness(spark, sf):
     return rounded(table.join(ratio, "grp"), 3)
 
 
-HISTORY = 24
+HISTORY = 60
+#: A variance or mean of falling months this small counts as none.
+NO_SPREAD = 1e-8
+
+
+def month_summaries(prices):
+    """One row per instrument and month: what a window of whole months needs of its daily bars."""
+    market = panel.benchmark(prices).select("date", F.col("close").alias("market"))
+    second = prices.groupBy("sector", "date").agg((F.sum("cents") / F.lit(100.0) / F.sum("volume")).alias("second"))
+    rows = prices.join(market, "date").join(second, ["sector", "date"]).withColumn("month", F.trunc("date", "month").cast("date"))
+    walked = performance.drawdown(rows.withColumnRenamed("close", "value"), ["ticker", "month"])
+    last = lambda c: F.max_by(c, "date")
+    return walked.groupBy("ticker", "sector", "month").agg(
+        F.max("value").alias("peak"), F.min("value").alias("low"), F.min("drawdown").alias("fall"), F.count(F.lit(1)).alias("rows"), F.min("date").alias("first_date"),
+        F.max("date").alias("last_date"), F.min_by("value", "date").alias("first_close"), last("value").alias("close"), last("market").alias("market"), last("second").alias("second"),
+    )
 
 
 def window_metrics(spark, sf):
-    """Metrics of each instrument over the 24 months before each quarter start.
+    """Metrics of each instrument over the 60 months before every month, with a status.
 
-    A price row is listed once per quarter that looks back on it, so the range becomes
-    an equality; every statistic is then an aggregate of (holding month, ticker).
+    Days fold into months first, and a month is listed once for each of the 60 months that look back on it: the
+    range becomes an equality over tickers x months. The worst fall of a window is that inside a month or from the
+    peak of the months before. Candidates younger than 60 months are NOT_RUN, those without a metric FAILED; both
+    stay, with a reason and null metrics.
     """
     prices = panel.closes(spark, sf, "instrument", "day")
-    market = panel.benchmark(prices).select("date", F.col("close").alias("market"))
-    sector = panel.closes(spark, sf, "type", "day").select(F.col("ticker").alias("sector"), "date", F.col("close").alias("second"))
-    bounds = prices.agg(F.struct(F.min("date").alias("lo"), F.max("date").alias("hi"))).scalar()
-    aligned = prices.join(market, "date").join(sector, ["sector", "date"]).withColumns({"_lo": bounds["lo"], "_hi": bounds["hi"]})
-    first = F.add_months(F.trunc("date", "quarter"), 3)
-    quarters = F.transform(F.sequence(F.lit(0), F.lit(HISTORY // 3 - 1)), lambda k: F.add_months(first, 3 * k))
-    fits = lambda m: (m >= F.add_months(F.col("_lo"), HISTORY)) & (m <= F.col("_hi")) & (F.add_months(m, -HISTORY) <= F.col("date"))
-    rows = aligned.select("ticker", "sector", "date", "close", "market", "second", F.explode(F.filter(quarters, fits)).alias("holding_month"))
+    span = prices.agg(F.max("date")).scalar()
+    ahead = F.transform(F.sequence(F.lit(1), F.lit(HISTORY)), lambda k: F.add_months("month", k))
+    held = month_summaries(prices).withColumn("_hi", span).withColumn("holding_month", F.explode(ahead)).where(F.col("holding_month") <= F.col("_hi"))
     keys = ["holding_month", "sector", "ticker"]
-    walked = performance.drawdown(rows.withColumnRenamed("close", "value"), keys)
-    daily = walked.groupBy(*keys).agg(
-        performance.calendar_cagr().alias("cagr"), F.min("drawdown").alias("maximum_drawdown"), F.count(F.lit(1)).alias("price_rows"), F.max("date").alias("last_price_used")
-    )
-    month = rows.groupBy(*keys, F.last_day("date").alias("month")).agg(F.max_by(F.struct("close", "market", "second"), "date").alias("p"))
     order = Window.partitionBy(*keys).orderBy("month")
-    step = lambda c: F.col(f"p.{c}") / F.lag(f"p.{c}").over(order) - 1
-    monthly = month.select(*keys, step("close").alias("ret"), step("market").alias("market_ret"), step("second").alias("second_ret"))
+    peak = F.max("peak").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    step = lambda c: F.col(c) / F.lag(c).over(order) - 1
+    months = held.select(
+        "*", step("close").alias("ret"), step("market").alias("market_ret"), step("second").alias("second_ret"), F.least(F.col("fall"), F.try_divide(F.col("low"), peak) - 1).alias("drawdown")
+    )
     falling = F.col("market_ret") < 0
     own, down = F.when(falling, F.col("ret")), F.when(falling, F.col("market_ret"))
-    stats = monthly.groupBy(*keys).agg(
-        F.count("ret").alias("monthly_returns"), F.count(down).alias("falling_months"),
+    years = F.datediff(F.max("last_date"), F.min("first_date")) / F.lit(performance.DAYS_PER_YEAR)
+    grown = F.try_divide(F.max_by("close", "month"), F.min_by("first_close", "month"))
+    stats = months.groupBy(*keys).agg(
+        F.when(years > 0, F.pow(grown, F.try_divide(F.lit(1.0), years)) - 1).alias("cagr"), F.min("drawdown").alias("maximum_drawdown"), F.sum("rows").alias("price_rows"),
+        F.max("last_date").alias("last_price_used"), F.count("ret").alias("monthly_returns"), F.count(down).alias("falling_months"),
         corr_of(F.col("ret"), F.col("market_ret")).alias("correlation_market"), corr_of(F.col("ret"), F.col("second_ret")).alias("correlation_second"),
-        beta_of(own, down).alias("downside_beta"), F.try_divide(F.avg(own), F.avg(down)).alias("downside_capture"),
+        F.when(F.var_samp(down) > NO_SPREAD, beta_of(own, down)).alias("downside_beta"), F.when(F.abs(F.avg(down)) > NO_SPREAD, F.try_divide(F.avg(own), F.avg(down))).alias("downside_capture"),
     )
-    cutoffs = daily.select("ticker", "holding_month", F.date_sub("holding_month", 1).alias("date"))
+    cutoffs = stats.select("ticker", "holding_month", F.date_sub("holding_month", 1).alias("date"))
     liquid = align.asof_backward(
         cutoffs, universe.trailing_liquidity(prices, 63), ["ticker"], ["mean_dollars"]
     ).select("ticker", "holding_month", F.col("mean_dollars").alias("dollar_volume"))
-    out = daily.join(stats, keys).join(liquid, ["ticker", "holding_month"])
-    complete = F.lit(True)
-    for _, metric, _, _ in scoring.CRITERIA:
-        complete = complete & F.col(metric).isNotNull()
-    return out.where(complete & (F.col("monthly_returns") >= 2) & (F.col("falling_months") >= 2))
+    listed = prices.groupBy("ticker").agg(F.min("date").alias("_first"))
+    out = stats.join(liquid, ["ticker", "holding_month"]).join(listed, "ticker")
+    age = (F.year("holding_month") - F.year("_first")) * 12 + F.month("holding_month") - F.month("_first")
+    metrics = [metric for _, metric, _, _ in scoring.CRITERIA]
+    unknown = F.lit(False)
+    for metric in metrics:
+        unknown = unknown | F.col(metric).isNull()
+    reason = (
+        F.when(F.col("history_age_months") < HISTORY, F.format_string(f"History age %d months; requires {HISTORY}", "history_age_months"))
+        .when(F.col("price_rows") < 2, "fewer than two prices").when(F.col("monthly_returns") < 2, "fewer than two monthly returns")
+        .when((F.col("falling_months") < 2) | F.col("downside_beta").isNull(), "too few falling market months").when(unknown, "metric without a value").otherwise("")
+    )
+    status = F.when(F.col("history_age_months") < HISTORY, "NOT_RUN").when(F.col("exclusion_reason") != "", "FAILED").otherwise("OK")
+    out = out.withColumn("history_age_months", age.cast("bigint")).withColumn("exclusion_reason", reason).withColumn("calculation_status", status).drop("_first")
+    return out.withColumns({m: F.when(F.col("calculation_status") == "OK", F.col(m)) for m in metrics})
+
+
+def scorable(spark, sf):
+    """Metrics of the candidates the scorecard can rank."""
+    return panel.kept(spark, ("window_metrics", sf), lambda: window_metrics(spark, sf)).where("calculation_status = 'OK'")
 
 
 @query
 def pf_metrics_5y(spark, sf):
-    return rounded(window_metrics(spark, sf), 4)
+    return rounded(panel.kept(spark, ("window_metrics", sf), lambda: window_metrics(spark, sf)), 4)
 
 
 @query
 def pf_scorecard(spark, sf):
-    """Totals and ranks of the seven-criterion scorecard per quarter and sector."""
-    metrics = panel.kept(spark, ("window_metrics", sf), lambda: window_metrics(spark, sf))
+    """Totals and ranks of the seven-criterion scorecard per month and sector."""
+    metrics = scorable(spark, sf)
     keys = ["holding_month", "sector"]
     return rounded(scoring.totals(scoring.scorecard(metrics, keys), metrics, keys))
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.columns import rounded
 from tidemark.operators import clean, universe
 from tidemark.plans.cleaning import raw_ohlcv
-from tidemark.plans.portfolios import window_metrics
+from tidemark.plans.portfolios import scorable, window_metrics
 from tidemark.plans.registry import new_registry
 from tidemark.operators import scoring
 from tidemark.sources import panel
@@ -16,14 +16,14 @@ from tidemark.sources import panel
 QUERIES, query = new_registry()
 
 # The panel covers 1995 to 2001, so the two name changes are placed inside it.
-REAL_ESTATE_DATES = ("1998-08-31", "1998-09-01")
-COMMUNICATION_DATES = ("1999-09-28", "1999-10-01")
+REAL_ESTATE_DATES = ("2000-08-31", "2000-09-01")
+COMMUNICATION_DATES = ("2001-02-26", "2001-03-01")
 LEGACY = ("Brand#1/MEDIUM", "Brand#2/MEDIUM")
 SECTOR_OF_TYPE = {
     "SMALL": "Real Estate", "MEDIUM": "Communication Services", "LARGE": "Energy", "ECONOMY": "Utilities", "STANDARD": "Financials", "PROMO": "Information Technology",
 }
 NAMES = ("Real Estate", "Communication Services", "Telecommunication Services", "Energy", "Utilities", "Financials", "Information Technology", "Materials")
-MIN_MONTHS, ADV_DAYS = 24, 20
+MIN_MONTHS, ADV_DAYS = 60, 20
 
 
 def candidates(spark, sf):
@@ -95,7 +95,8 @@ def agg_readiness(spark, sf):
     ready = shortlist(spark, sf).groupBy("holding_month").agg(
         F.count_if(F.col("sleeve_status") == "READY").alias("ready_sleeves"), F.count_distinct("sleeve").alias("total_sleeves")
     )
-    return ready.withColumn("all_ready", (F.col("ready_sleeves") == 6) & (F.col("total_sleeves") == 6))
+    wanted = candidates(spark, sf).agg(F.count_distinct("current_sector")).scalar()
+    return ready.withColumn("_n", wanted).withColumn("all_ready", (F.col("ready_sleeves") == F.col("_n")) & (F.col("total_sleeves") == F.col("_n"))).drop("_n")
 
 
 @query
@@ -220,11 +221,13 @@ def uni_clean_detail(spark, sf):
 
 @query
 def uni_winner_matrix(spark, sf):
-    """Winners of the scorecard per holding month, one column per sector."""
-    metrics = panel.kept(spark, ("window_metrics", sf), lambda: window_metrics(spark, sf))
+    """Winners of the scorecard per holding month, one column per sector of the data; no winner, no value."""
+    metrics = scorable(spark, sf)
     keys = ["holding_month", "sector"]
     won = scoring.totals(scoring.scorecard(metrics, keys), metrics, keys).where("selection_rank = 1")
-    return won.groupBy("holding_month").pivot("sector", list(SECTOR_OF_TYPE)).agg(F.first("ticker"))
+    months = panel.kept(spark, ("window_metrics", sf), lambda: window_metrics(spark, sf)).select("holding_month", "sector").distinct()
+    cells = months.join(won.select(*keys, "ticker"), keys, "left")
+    return cells.groupBy("holding_month").pivot("sector").agg(F.first("ticker"))
 
 
 @query
