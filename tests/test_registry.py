@@ -35,3 +35,25 @@ def test_spot_queries_match_their_sql(spark, name):
 def test_no_pairwise_join_is_planned(spark, name):
     plan = entry_module.queries()[name](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+@pytest.mark.parametrize("name", ["filter_valid_window", "agg_adv", "cache_coverage"])
+def test_dates_reach_the_scan(spark, name):
+    plan = entry_module.queries()[name](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(l_shipdate" in plan
+
+
+def test_quarantine_reads_the_lines_once(spark):
+    frame = entry_module.queries()["anomaly_quarantine"](spark, SMALL)
+    plan = frame._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("l_extendedprice") and plan.count("Relation [l_orderkey") == 1
+
+
+def test_month_arithmetic_clamps_to_the_month():
+    import datetime
+
+    from tidemark.sources.panel import _months_before
+
+    assert _months_before(datetime.date(2024, 3, 31), 1) == datetime.date(2024, 2, 29)
+    assert _months_before(datetime.date(2024, 1, 15), 1) == datetime.date(2023, 12, 15)
+    assert _months_before(datetime.date(2024, 12, 31), 24) == datetime.date(2022, 12, 31)

@@ -110,15 +110,30 @@ def anomaly_report(rows: DataFrame, keys: Sequence[str] = ("ticker",), gap_limit
     )
 
 
-def split_quarantine(rows: DataFrame, keys: Sequence[str] = ("ticker",)) -> DataFrame:
-    """Each row with the verdict of its own flags and of its date; nothing is filled or repaired."""
-    flags = anomaly_columns()
+def _anomalous() -> Column:
     bad = F.lit(False)
-    for column in flags.values():
+    for column in anomaly_columns().values():
         bad = bad | column
-    repeated = rows.groupBy(*keys, "date").agg(F.count(F.lit(1)).alias("_n"))
+    return F.coalesce(bad, F.lit(False))
+
+
+def day_verdicts(rows: DataFrame, keys: Sequence[str] = ("ticker",)) -> DataFrame:
+    """Rows and verdict per key and date. A repeated date is set aside as a whole and any other has one row, so
+    the verdict belongs to the date: one fold, and no raw row is joined."""
+    days = rows.groupBy(*keys, "date").agg(F.count(F.lit(1)).alias("rows"), F.max(_anomalous()).alias("_bad"))
+    aside = F.col("_bad") | (F.col("date").isNotNull() & (F.col("rows") > 1))
+    return days.withColumn("verdict", F.when(aside, "quarantine").otherwise("valid")).drop("_bad")
+
+
+def split_quarantine(rows: DataFrame, keys: Sequence[str] = ("ticker",)) -> DataFrame:
+    """Each row with the verdict of its own flags and of its date; nothing is filled or repaired.
+
+    Rows meet repeated dates only. For counts use :func:`day_verdicts`.
+    """
+    bad = _anomalous()
+    repeated = rows.groupBy(*keys, "date").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
     return rows.join(repeated, [*keys, "date"], "left").withColumn(
-        "verdict", F.when(bad | (F.col("_n") > 1), "quarantine").otherwise("valid")
+        "verdict", F.when(bad | F.col("_n").isNotNull(), "quarantine").otherwise("valid")
     ).drop("_n")
 
 

@@ -43,9 +43,8 @@ def clean_prices(spark, sf):
 
 @query
 def filter_valid_window(spark, sf):
-    prices = panel.closes(spark, sf, "instrument", "day")
-    end = prices.agg(F.max("date")).scalar()
-    rows = clean.valid_window(prices, F.add_months(end, -12), end)
+    end = F.lit(panel.last_day(spark, sf)).cast("date")
+    rows = clean.valid_window(panel.recent_closes(spark, sf, "instrument", 12), F.add_months(end, -12), end)
     return rounded(rows.select("ticker", "date", "close", "volume"))
 
 
@@ -141,8 +140,8 @@ def anomaly_flags(spark, sf):
 @query
 def anomaly_quarantine(spark, sf):
     """Rows kept and rows set aside, per ticker."""
-    parts = clean.split_quarantine(raw_ohlcv(spark, sf))
-    return rounded(parts.groupBy("ticker", "verdict").agg(F.count(F.lit(1)).alias("rows"), F.min("date").alias("first_date"), F.max("date").alias("last_date")))
+    parts = clean.day_verdicts(raw_ohlcv(spark, sf))
+    return rounded(parts.groupBy("ticker", "verdict").agg(F.sum("rows").alias("rows"), F.min("date").alias("first_date"), F.max("date").alias("last_date")))
 
 
 @query

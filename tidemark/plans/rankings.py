@@ -17,9 +17,8 @@ QUERIES, query = new_registry()
 
 def liquidity(spark, sf):
     """Dollar volume per instrument over the last two years of the panel."""
-    prices = panel.closes(spark, sf, "instrument", "day")
-    end = prices.agg(F.max("date")).scalar()
-    return universe.average_dollar_volume(prices, F.add_months(end, -24), end, 40)
+    end = F.lit(panel.last_day(spark, sf)).cast("date")
+    return universe.average_dollar_volume(panel.recent_closes(spark, sf, "instrument", 24), F.add_months(end, -24), end, 40)
 
 
 @query

@@ -170,9 +170,8 @@ def merge_incremental(spark, sf):
 @query
 def cache_coverage(spark, sf):
     """Does each instrument cover the last two years: enough rows, early start, late end."""
-    prices = panel.closes(spark, sf, "instrument", "day")
-    end = prices.agg(F.max("date")).scalar()
-    dated = prices.withColumns({"window_end": end, "window_start": F.add_months(end, -24)}).where(
+    end = F.lit(panel.last_day(spark, sf)).cast("date")
+    dated = panel.recent_closes(spark, sf, "instrument", 24).withColumns({"window_end": end, "window_start": F.add_months(end, -24)}).where(
         (F.col("date") >= F.col("window_start")) & (F.col("close") > 0) & (F.col("volume") >= 0)
     )
     out = dated.groupBy("ticker", "window_start", "window_end").agg(

@@ -8,6 +8,8 @@ ticker holds; after it a ticker has at most one row per calendar day.
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,6 +22,7 @@ BENCHMARK = "MARKET"
 
 
 _OPEN: dict[tuple, DataFrame] = {}
+_DAYS: dict[tuple, datetime.date | None] = {}
 
 
 def _once(spark: SparkSession, key: tuple, build) -> DataFrame:
@@ -44,6 +47,7 @@ def release(spark: SparkSession) -> None:
     mine = [key for key in _OPEN if key[0] == spark.sparkContext.applicationId]
     for key in mine:
         _OPEN.pop(key).unpersist()
+    _DAYS.clear()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -81,9 +85,16 @@ def bin_of(day: Column, freq: str) -> Column:
     raise ValueError(f"unknown frequency: {freq}")
 
 
-def trades(spark: SparkSession, sf_dir: str, level: str = "type") -> DataFrame:
-    """One row per order line with its instrument."""
-    lines = table(spark, sf_dir, "lineitem").select(
+def trades(
+    spark: SparkSession, sf_dir: str, level: str = "type", start: datetime.date | None = None, end: datetime.date | None = None
+) -> DataFrame:
+    """One row per order line with its instrument; bounds compare the stored column, so the scan can skip by them."""
+    stored = table(spark, sf_dir, "lineitem")
+    if start is not None:
+        stored = stored.where(F.col("l_shipdate") >= F.lit(start))
+    if end is not None:
+        stored = stored.where(F.col("l_shipdate") < F.lit(end + datetime.timedelta(days=1)))
+    lines = stored.select(
         *SEQUENCE, "l_quantity", "l_extendedprice", F.to_date("l_shipdate").alias("day")
     )
     parts = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_type")
@@ -109,9 +120,34 @@ def bars(spark: SparkSession, sf_dir: str, level: str = "type", freq: str = "day
     return kept(spark, ("bars", sf_dir, level, freq), lambda: _build_bars(spark, sf_dir, level, freq))
 
 
-def _build_bars(spark: SparkSession, sf_dir: str, level: str, freq: str) -> DataFrame:
+def last_day(spark: SparkSession, sf_dir: str) -> datetime.date | None:
+    """The last day with an order line: one value, from one column."""
+    newest = lambda: table(spark, sf_dir, "lineitem").agg(F.max(F.to_date("l_shipdate"))).first()[0]
+    full = (spark.sparkContext.applicationId, id(spark), "last_day", sf_dir)
+    if full not in _DAYS:
+        _DAYS[full] = newest()
+    return _DAYS[full]
+
+
+def recent_closes(spark: SparkSession, sf_dir: str, level: str, months: int) -> DataFrame:
+    """Daily closes of the last months of the data; reads no older row. Kept apart from the whole panel."""
+    end = last_day(spark, sf_dir)
+    start = None if end is None else _months_before(end, months)
+    rows = kept(spark, ("recent", sf_dir, level, months), lambda: _build_bars(spark, sf_dir, level, "day", start, end))
+    return rows.select("ticker", "sector", "date", "close", "volume", "cents")
+
+
+def _months_before(day: datetime.date, months: int) -> datetime.date:
+    year, month = divmod(day.year * 12 + day.month - 1 - months, 12)
+    following = datetime.date(year + (month == 11), (month + 1) % 12 + 1, 1)
+    return min(datetime.date(year, month + 1, 1) + datetime.timedelta(days=day.day - 1), following - datetime.timedelta(days=1))
+
+
+def _build_bars(
+    spark: SparkSession, sf_dir: str, level: str, freq: str, start: datetime.date | None = None, end: datetime.date | None = None
+) -> DataFrame:
     return (
-        trades(spark, sf_dir, level)
+        trades(spark, sf_dir, level, start, end)
         .groupBy("ticker", "sector", bin_of(F.col("day"), freq).alias("date"))
         .agg(
             F.min_by("unit_price", "seq").alias("open"),
