@@ -9,11 +9,11 @@ SEED, COUNT = 20260808, 60
 U = f"(CAST('0x' || substr(md5('{SEED}|' || c || '|' || ticker), 1, 13) AS BIGINT) + 0.5) / 4503599627370496.0"
 
 
-def grid(blend=1.0, cap=1.0):
+def grid(blend=1.0, cap=1.0, low=0.0):
     return f"""tk AS (SELECT DISTINCT p_type AS ticker FROM part WHERE p_type IN (SELECT ticker FROM rets)),
       e AS (SELECT c, ticker, CASE WHEN c = 0 THEN 1.0 ELSE -ln({U}) END AS e FROM tk, range(0, {COUNT + 1}) t(c)),
       g0 AS (SELECT c AS candidate, ticker, {blend} * e / sum(e) OVER (PARTITION BY c) + {1 - blend} / count(*) OVER (PARTITION BY c) AS weight FROM e),
-      grid AS (SELECT * FROM (SELECT *, max(weight) OVER (PARTITION BY candidate) AS mx FROM g0) WHERE mx <= {cap})"""
+      grid AS (SELECT * FROM (SELECT *, max(weight) OVER (PARTITION BY candidate) AS mx, min(weight) OVER (PARTITION BY candidate) AS mn FROM g0) WHERE mx <= {cap} AND mn >= {low})"""
 
 
 PATHS = f"""cp AS (SELECT candidate, date, sum(weight * ret) AS ret FROM rets JOIN grid USING (ticker) GROUP BY ALL),
@@ -21,11 +21,11 @@ PATHS = f"""cp AS (SELECT candidate, date, sum(weight * ret) AS ret FROM rets JO
   spread AS (SELECT candidate, sum(pow(weight - 1.0 / n, 2)) AS spread FROM (SELECT *, count(*) OVER (PARTITION BY candidate) AS n FROM grid) GROUP BY candidate)"""
 
 
-def metrics(source, keys):
-    return f"""SELECT {keys}, pow(exp(sum(ln(1 + ret))), 52.0 / count(*)) - 1 AS cagr, stddev_samp(ret) * sqrt(52.0) AS vol, min(d) AS mdd,
-      {corr('ret', 'mret')} AS cm, {corr('ret', 'sret')} AS cs, coalesce(avg(ret - mret) FILTER (mret < 0) * 52, 0) AS de
-      FROM (SELECT *, v / max(v) OVER (PARTITION BY {keys} ORDER BY date) - 1 AS d FROM (
-        SELECT *, exp(sum(ln(1 + ret)) OVER (PARTITION BY {keys} ORDER BY date)) AS v FROM {source})) GROUP BY {keys}"""
+def metrics(source, keys, per=52.0):
+    return f"""SELECT {keys}, count(*) AS obs, pow(exp(sum(ln(1 + ret))), {per} / count(*)) - 1 AS cagr, stddev_samp(ret) * sqrt({per}) AS vol, min(d) AS mdd,
+      {corr('ret', 'mret')} AS cm, {corr('ret', 'sret')} AS cs, coalesce(avg(ret - mret) FILTER (mret < 0) * {per}, 0) AS de
+      FROM (SELECT *, wv / max(wv) OVER (PARTITION BY {keys} ORDER BY date) - 1 AS d FROM (
+        SELECT *, exp(sum(ln(1 + ret)) OVER (PARTITION BY {keys} ORDER BY date)) AS wv FROM {source})) GROUP BY {keys}"""
 
 
 PROFILES = """(VALUES ('Balanced', 1.00, 0.20, 0.35, 0.05, 0.05, 0.25, 1.00), ('Defensive', 0.75, 0.45, 0.75, 0.08, 0.08, 0.35, 1.25),
@@ -94,7 +94,7 @@ SQL = {
         SELECT grp, unnest(tk) AS ticker, {r('unnest(list_transform(raw, lambda v: v / list_sum(raw)))', 5)} AS weight, {r('sqrt(q)', 5)} AS analytic_dr, 'solved' AS status FROM y""",
     "pf_mdp_long_only": f"""WITH {WINDOW_WEIGHTS} SELECT grp, ticker, {r('sigma', 5)} AS sigma, {r('weight', 4)} AS weight, {r('residual', 5)} AS kkt_residual, 'optimal' AS status FROM ww""",
     "pf_candidate_grid": f"WITH {base()}, {grid(cap=0.30)} SELECT candidate, ticker, {r('weight')} AS weight FROM grid",
-    "pf_candidate_scoring": f"""WITH {base()}, {grid(blend=0.5)}, c AS (SELECT a.ticker AS i, b.ticker AS j, covar_samp(a.ret, b.ret) AS cov FROM rets a JOIN rets b USING (date) GROUP BY ALL),
+    "pf_candidate_scoring": f"""WITH {base()}, {grid(0.3, 0.25, 0.05)}, c AS (SELECT a.ticker AS i, b.ticker AS j, covar_samp(a.ret, b.ret) AS cov FROM rets a JOIN rets b USING (date) GROUP BY ALL),
         mc AS (SELECT ticker, covar_samp(x.ret, m.ret) AS mc, stddev_samp(m.ret) AS ms, stddev_samp(x.ret) AS s FROM rets x JOIN mrets m USING (date) GROUP BY ticker),
         v AS (SELECT w.candidate, sum(w.weight * x.weight * cov) AS v FROM grid w JOIN grid x ON w.candidate = x.candidate JOIN c ON i = w.ticker AND j = x.ticker GROUP BY 1),
         o AS (SELECT candidate, sum(weight * s) AS sw, sum(weight * mc) AS mw, any_value(ms) AS ms FROM grid JOIN mc USING (ticker) GROUP BY 1),
@@ -104,16 +104,19 @@ SQL = {
         SELECT 'max_diversification' AS objective, arg_max(candidate, row(dr, -candidate)) AS candidate, {r('max(dr)', 5)} AS value FROM k
         UNION ALL SELECT 'min_market_correlation', arg_min(candidate, row(rc, candidate)), {r('min(rc)', 5)} FROM k
         UNION ALL SELECT 'max_utility', arg_max(candidate, row(u, -candidate)), {r('max(u)', 5)} FROM ut""",
-    "pf_utility": f"""WITH {base('week')}, {grid(blend=0.5)}, {PATHS}, m AS ({metrics('paths', 'candidate')})
+    "pf_utility": f"""WITH {base('week')}, {grid(0.3, 0.25, 0.05)}, {PATHS}, m AS ({metrics('paths', 'candidate')})
         SELECT candidate, profile, {r(UTIL, 5)} AS utility FROM m JOIN spread USING (candidate), {PROFILES}""",
-    "pf_profile_select": f"""WITH {base('week')}, {grid(blend=0.5)}, {PATHS}, yr AS (SELECT unnest(range(min(year(date)) + 2, max(year(date)) + 1)) AS y FROM paths),
-        mem AS (SELECT paths.*, y, CASE WHEN year(date) = y THEN 'validation' ELSE 'train' END AS role FROM paths JOIN yr ON year(date) BETWEEN y - 2 AND y),
-        m AS ({metrics('mem', 'y, role, candidate')}),
-        t AS (SELECT y, profile, candidate, {UTIL} AS u FROM m JOIN spread USING (candidate), {PROFILES} WHERE role = 'train'),
-        p AS (SELECT y, profile, arg_max(candidate, row(u, -candidate)) AS candidate, max(u) AS tu FROM t GROUP BY ALL),
-        j AS (SELECT p.*, cagr - 0.25 * vol - 0.5 * abs(mdd) - 0.05 * greatest(cm, 0) - 0.05 * greatest(cs, 0) + 0.25 * de AS vu, mdd, vol FROM p JOIN m ON m.y = p.y AND m.candidate = p.candidate AND role = 'validation')
-        SELECT CAST(y AS BIGINT) AS validation_year, profile, candidate, {r('tu', 5)} AS training_utility, {r('vu', 5)} AS validation_utility, {r('mdd', 5)} AS max_drawdown, {r('vol', 5)} AS volatility,
-          row_number() OVER (PARTITION BY y ORDER BY round(vu, 9) DESC, round(mdd, 9) DESC, round(vol, 9), profile) = 1 AS selected FROM j""",
+    "pf_profile_select": f"""WITH mp AS MATERIALIZED (WITH {base()}, {grid(0.3, 0.25, 0.05)}, {PATHS} SELECT CAST(date_trunc('month', date) AS DATE) AS v, candidate, date, ret, mret, sret FROM paths),
+        {base('week')}, {grid(0.3, 0.25, 0.05)}, {PATHS}, vm AS (SELECT DISTINCT CAST(date_trunc('month', date) AS DATE) AS v FROM paths),
+        mem AS MATERIALIZED (SELECT paths.*, v FROM paths JOIN vm ON date < v AND date >= CAST(v - INTERVAL 36 MONTH AS DATE)),
+        m AS ({metrics('mem', 'v, candidate')}),
+        t AS (SELECT v, profile, candidate, {UTIL} AS u FROM m JOIN spread USING (candidate), {PROFILES} WHERE obs >= 140),
+        p AS MATERIALIZED (SELECT v, profile, arg_max(candidate, row(u, -candidate)) AS candidate, max(u) AS tu FROM t GROUP BY ALL),
+        vp AS (SELECT h.v AS h, p.profile, mp.date, ret, mret, sret FROM vm h JOIN p ON p.v < h.v AND p.v >= CAST(h.v - INTERVAL 24 MONTH AS DATE) JOIN mp ON mp.v = p.v AND mp.candidate = p.candidate),
+        q AS ({metrics('vp', 'h, profile', 12.0)}),
+        j AS (SELECT p.*, cagr - 0.25 * vol - 0.5 * abs(mdd) - 0.05 * greatest(cm, 0) - 0.05 * greatest(cs, 0) + 0.25 * de AS vu, mdd, vol FROM p JOIN q ON q.h = p.v AND q.profile = p.profile WHERE obs = 24)
+        SELECT v AS holding_month, profile, candidate, {r('tu', 5)} AS training_utility, {r('vu', 5)} AS validation_utility, {r('mdd', 5)} AS max_drawdown, {r('vol', 5)} AS volatility,
+          row_number() OVER (PARTITION BY v ORDER BY round(vu, 9) DESC, round(mdd, 9) DESC, round(vol, 9), profile) = 1 AS selected FROM j""",
     "pf_box_projection": f"""WITH {base()}, {grid()}, l AS (SELECT candidate, list(ticker ORDER BY ticker) AS tk, list(weight ORDER BY ticker) AS w FROM grid GROUP BY candidate),
         s AS (SELECT *, list_reduce(list_transform(range(0, 101), lambda i: [list_min(w) - 0.25, list_max(w) - 0.05]), lambda b, z:
           CASE WHEN list_sum(list_transform(w, lambda v: least(greatest(v - (b[1] + b[2]) / 2, 0.05), 0.25))) > 1 THEN [(b[1] + b[2]) / 2, b[2]] ELSE [b[1], (b[1] + b[2]) / 2] END) AS b FROM l)

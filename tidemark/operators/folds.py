@@ -158,6 +158,14 @@ def fold_summary(
     )
 
 
+def monthly_members(rows: DataFrame, months: int) -> DataFrame:
+    """List each dated row for every month that trains on it: those that start 1 to `months` months after its own."""
+    last = rows.agg(F.trunc(F.max("date"), "month").cast("date")).scalar()
+    ahead = F.transform(F.sequence(F.lit(1), F.lit(months)), lambda k: F.add_months(F.trunc("date", "month"), k).cast("date"))
+    listed = rows.withColumn("_hi", last).withColumn("validation_month", F.explode(ahead))
+    return listed.where(F.col("validation_month") <= F.col("_hi")).drop("_hi")
+
+
 def annual_members(rows: DataFrame, train_years: int) -> DataFrame:
     """Role of each dated row for each validation year: one year validates, the years before train."""
     year = F.year("date")

@@ -188,9 +188,9 @@ def analytic_weights(cov: DataFrame, groups: Sequence[str]) -> DataFrame:
 
 
 def candidate_grid(
-    universe: DataFrame, count: int, seed: int, cap: float = 1.0, groups: Sequence[str] = (), blend: float = 1.0
+    universe: DataFrame, count: int, seed: int, cap: float = 1.0, groups: Sequence[str] = (), blend: float = 1.0, floor: float = 0.0
 ) -> DataFrame:
-    """Equal weights plus seeded flat-Dirichlet draws; a draw above the cap is dropped.
+    """Equal weights plus `count` seeded flat-Dirichlet draws; a draw outside floor and cap is rejected as a whole.
 
     A draw depends on (seed, candidate, ticker) alone, so a lost task recreates it.
     ``blend`` mixes the draw with equal weights.
@@ -203,8 +203,8 @@ def candidate_grid(
     share = F.col("e") / F.sum("e").over(part)
     equal = F.lit(1.0) / F.count(F.lit(1)).over(part)
     cells = cells.withColumn("weight", F.lit(blend) * share + F.lit(1.0 - blend) * equal)
-    cells = cells.withColumn("largest", F.max("weight").over(part))
-    return cells.where(F.col("largest") <= cap).select(*groups, "candidate", "ticker", "weight")
+    cells = cells.withColumns({"largest": F.max("weight").over(part), "smallest": F.min("weight").over(part)})
+    return cells.where((F.col("largest") <= cap) & (F.col("smallest") >= floor)).select(*groups, "candidate", "ticker", "weight")
 
 
 def project_to_box(

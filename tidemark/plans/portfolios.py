@@ -14,7 +14,12 @@ from tidemark.plans.registry import new_registry
 from tidemark.sources import panel
 
 QUERIES, query = new_registry()
-SEED, CANDIDATES = 20260808, 60
+#: Seed and number of the draws a candidate search scores, share of a draw in a candidate, and the weight bounds
+#: outside which a draw is rejected. The functions below take another number as an argument.
+SEED, CANDIDATES, DRAW_SHARE = 20260808, 60, 0.30
+LEAST_WEIGHT, MOST_WEIGHT = 0.05, 0.25
+#: Walk-forward: months of training, months of validation, least weekly returns of a training window.
+TRAIN_MONTHS, VALIDATION_MONTHS, LEAST_WEEKS = 36, 24, 140
 
 
 @query
@@ -78,15 +83,17 @@ def pf_candidate_grid(spark, sf):
     return rounded(portfolio.candidate_grid(frames.sector_returns(spark, sf).select("ticker").distinct(), CANDIDATES, SEED, cap=0.30))
 
 
-def candidate_weights(spark, sf):
-    return portfolio.candidate_grid(frames.sector_returns(spark, sf).select("ticker").distinct(), CANDIDATES, SEED, blend=0.5)
+def candidate_weights(spark, sf, count=CANDIDATES):
+    """Feasible candidates: equal weights mixed with draws, all inside the bounds."""
+    universe_ = frames.sector_returns(spark, sf).select("ticker").distinct()
+    return portfolio.candidate_grid(universe_, count, SEED, cap=MOST_WEIGHT, blend=DRAW_SHARE, floor=LEAST_WEIGHT)
 
 
-def candidate_paths(spark, sf):
-    """Weekly returns of every candidate with the market and a second benchmark."""
-    rets = frames.sector_returns(spark, sf, "week")
+def candidate_paths(spark, sf, freq="week"):
+    """Returns of every candidate with the market and a second benchmark."""
+    rets = frames.sector_returns(spark, sf, freq)
     own = rets.join(candidate_weights(spark, sf), "ticker").groupBy("candidate", "date").agg(F.sum(F.col("weight") * F.col("ret")).alias("ret"))
-    market = frames.market_returns(spark, sf, "week").select("date", F.col("ret").alias("market_ret"))
+    market = frames.market_returns(spark, sf, freq).select("date", F.col("ret").alias("market_ret"))
     second = rets.where(F.col("ticker") == "PROMO").select("date", F.col("ret").alias("second_ret"))
     return own.join(market, "date").join(second, "date")
 
@@ -132,23 +139,31 @@ def pf_utility(spark, sf):
 
 @query
 def pf_profile_select(spark, sf):
-    """Per year: each profile picks its candidate on two training years; the best validation utility wins."""
-    members = folds.annual_members(candidate_paths(spark, sf), 2)
-    keys = ["validation_year", "role", "candidate"]
-    metrics = scoring.path_metrics(members, keys, WEEKS).join(candidate_spread(spark, sf), "candidate")
-    train = scoring.utility(metrics.where("role = 'train'"), scoring.PROFILES, "spread")
-    picked = train.groupBy("validation_year", "profile").agg(
+    """Per holding month: the profile whose monthly choices did best over 24 validation months, and its candidate.
+
+    For every month each profile picks a candidate on the 36 months before it; the picks' returns in 24 months form
+    a validation path. The candidate of a holding month is the pick made on its own 36 months before.
+    """
+    members = folds.monthly_members(candidate_paths(spark, sf), TRAIN_MONTHS)
+    metrics = scoring.path_metrics(members, ["validation_month", "candidate"], WEEKS).where(F.col("observations") >= LEAST_WEEKS)
+    train = scoring.utility(metrics.join(candidate_spread(spark, sf), "candidate"), scoring.PROFILES, "spread")
+    picked = train.groupBy("validation_month", "profile").agg(
         F.max_by(F.struct("candidate", "utility"), F.struct("utility", -F.col("candidate"))).alias("p")
-    ).select("validation_year", "profile", "p.candidate", F.col("p.utility").alias("training_utility"))
-    valid = scoring.utility(metrics.where("role = 'validation'"), scoring.VALIDATION).select(
-        "validation_year", "candidate", F.col("utility").alias("validation_utility"), "max_drawdown", "volatility"
+    ).select("validation_month", "profile", "p.candidate", F.col("p.utility").alias("training_utility"))
+    monthly = candidate_paths(spark, sf, "month").withColumn("validation_month", F.trunc("date", "month").cast("date"))
+    held = picked.join(monthly, ["validation_month", "candidate"])
+    ahead = F.transform(F.sequence(F.lit(1), F.lit(VALIDATION_MONTHS)), lambda k: F.add_months("validation_month", k))
+    listed = held.withColumn("holding_month", F.explode(ahead)).select("holding_month", "profile", "date", "ret", "market_ret", "second_ret")
+    validated = scoring.path_metrics(listed, ["holding_month", "profile"], MONTHS).where(F.col("observations") == VALIDATION_MONTHS)
+    scored = scoring.utility(validated.withColumnRenamed("profile", "_profile"), scoring.VALIDATION).select(
+        "holding_month", F.col("_profile").alias("profile"), F.col("utility").alias("validation_utility"), "max_drawdown", "volatility"
     )
-    joined = picked.join(valid, ["validation_year", "candidate"])
-    order = Window.partitionBy("validation_year").orderBy(
+    joined = picked.withColumnRenamed("validation_month", "holding_month").join(scored, ["holding_month", "profile"])
+    order = Window.partitionBy("holding_month").orderBy(
         F.round("validation_utility", 9).desc(), F.round("max_drawdown", 9).desc(), F.round("volatility", 9), "profile"
     )
     return rounded(joined.select(
-        "validation_year", "profile", "candidate", "training_utility", "validation_utility", "max_drawdown", "volatility",
+        "holding_month", "profile", "candidate", "training_utility", "validation_utility", "max_drawdown", "volatility",
         (F.row_number().over(order) == 1).alias("selected"),
     ), 5)
 
