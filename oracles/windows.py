@@ -64,9 +64,11 @@ def src(source="bars"):
 
 
 RSI = f"""d AS (SELECT ticker, date, p - lag(p) OVER ({W}) AS delta FROM src),
-    dd AS (SELECT ticker, date, row_number() OVER ({W}) AS k, list({{'g': greatest(delta, 0.0), 'l': greatest(-delta, 0.0)}}) OVER
-        ({W} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS xs FROM d WHERE delta IS NOT NULL),
-    em AS (SELECT ticker, date, k, list_reduce(xs, lambda a, b: {{'g': a.g * 13.0 / 14 + b.g / 14.0, 'l': a.l * 13.0 / 14 + b.l / 14.0}}) AS e FROM dd),
+    d0 AS (SELECT *, count(delta) OVER ({W}) AS k FROM d),
+    dd AS (SELECT ticker, date, k, list({{'g': greatest(delta, 0.0), 'l': greatest(-delta, 0.0), 'w': CASE WHEN delta IS NULL THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END}}) OVER
+        ({W} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS xs FROM (SELECT ticker, date, k, delta FROM d0 WHERE k > 0)),
+    em AS (SELECT ticker, date, k, list_reduce(xs, lambda a, b: CASE WHEN b.w = 0 THEN {{'g': a.g, 'l': a.l, 'w': a.w * 13.0::DOUBLE / 14}} ELSE
+        {{'g': (a.w * 13 * a.g + b.g) / (a.w * 13 + 1), 'l': (a.w * 13 * a.l + b.l) / (a.w * 13 + 1), 'w': 1.0::DOUBLE}} END) AS e FROM dd),
     rsi AS (SELECT ticker, date, CASE WHEN k < 14 THEN NULL WHEN e.l = 0 AND e.g > 0 THEN 100.0 WHEN e.l = 0 THEN 50.0
         ELSE 100.0 - 100.0 / (1 + e.g / e.l) END AS rsi_14 FROM em)"""
 

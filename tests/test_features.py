@@ -36,10 +36,17 @@ def wilder(close, n=14):
     return 100 - 100 / (1 + gain / loss)
 
 
-@pytest.mark.parametrize("block", [2048, 600])
-def test_rsi_matches_recursion_across_blocks(spark, block):
+@pytest.mark.parametrize(("n", "span"), [(14, 300.0), (14, 40.0), (2, 300.0), (252, 300.0)])
+def test_rsi_matches_recursion_across_blocks(spark, n, span):
     pdf = wavy(rows=1500)
-    out = run(spark, pdf, lambda df: features.add_rsi(df, block=block))
+    out = run(spark, pdf, lambda df: features.add_rsi(df, n=n, span=span))
+    np.testing.assert_allclose(out[f"rsi_{n}"], wilder(pdf["close"], n), rtol=1e-8)
+
+
+def test_rsi_decays_over_missing_changes(spark):
+    pdf = wavy(rows=300)
+    pdf.loc[[40, 41, 42, 100, 200, 201], "close"] = np.nan
+    out = run(spark, pdf, lambda df: features.add_rsi(df.withColumn("close", F.nanvl("close", F.lit(None)))))
     np.testing.assert_allclose(out["rsi_14"], wilder(pdf["close"]), rtol=1e-8)
 
 

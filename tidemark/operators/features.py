@@ -121,41 +121,34 @@ def add_volume(prices: DataFrame, adv_window: int = ADV_WINDOW) -> DataFrame:
     return out.withColumn("relative_adv20", F.try_divide(dollars, positive("adv20")))
 
 
-def add_rsi(prices: DataFrame, n: int = RSI_WINDOW, block: int = 2048) -> DataFrame:
-    """Wilder RSI with alpha = 1/n, seeded by the first price change.
+def add_rsi(prices: DataFrame, n: int = RSI_WINDOW, span: float = 300.0) -> DataFrame:
+    """Wilder RSI with alpha = 1/n, seeded by the first price change, as column ``rsi_{n}``.
 
-    The recursion is a running sum of gains scaled by (n/(n-1))^position: all terms
-    are non-negative, so nothing cancels. Positions restart every ``block`` rows and
-    the carry of the block before suffices: older rows weigh below ((n-1)/n)^block.
+    A missing change decays the weight of what came before by (n-1)/n; its row keeps the last value. With decay d
+    since the last change, a step is mean = a * mean + b * change, a = d / (d + 1/n), b = 1 - a. The recursion is a
+    running sum of changes scaled by exp(sum of -log a): all terms are non-negative, so nothing cancels. The
+    exponent restarts every ``span``, and the carry of the block before suffices: older rows weigh below exp(-span).
     """
-    keep = (n - 1) / n
+    keep, rate = (n - 1) / n, 1.0 / n
     order = by_date(*KEY)
+    upto = order.rowsBetween(Window.unboundedPreceding, 0)
     p = positive("close")
-    delta = p - F.lag(p).over(order)
-    rows = prices.withColumn("_delta", delta)
-    changes = rows.where(F.col("_delta").isNotNull())
-    out = changes.withColumn("_pos", F.row_number().over(order) - 1).withColumn(
-        "_block", F.floor(F.col("_pos") / block)
-    ).withColumn("_in", F.col("_pos") - F.col("_block") * block)
-    inside = Window.partitionBy(*KEY, "_block").orderBy("date")
-    means = {}
-    for side, value in (("gain", F.greatest(F.col("_delta"), F.lit(0.0))), ("loss", F.greatest(-F.col("_delta"), F.lit(0.0)))):
-        weight = F.when(F.col("_pos") == 0, F.lit(1.0)).otherwise(F.lit(1.0 / n))
-        scaled = value * weight * F.pow(F.lit(1.0 / keep), F.col("_in"))
-        out = out.withColumn(f"_s_{side}", F.sum(scaled).over(inside.rowsBetween(Window.unboundedPreceding, 0)))
-        means[side] = F.col(f"_s_{side}") * F.pow(F.lit(keep), F.col("_in"))
-    # last weighted mean of the block before, looked up at the row that ends it
-    for side in ("gain", "loss"):
-        out = out.withColumn(f"_m_{side}", means[side])
-    ends = {
-        side: F.last(F.when(F.col("_in") == block - 1, F.col(f"_m_{side}")), ignorenulls=True).over(
-            order.rowsBetween(Window.unboundedPreceding, -1)
-        )
-        for side in ("gain", "loss")
-    }
-    out = out.withColumns({f"_e_{side}": column for side, column in ends.items()})
-    for side in ("gain", "loss"):
-        carry = F.coalesce(F.col(f"_e_{side}"), F.lit(0.0)) * F.pow(F.lit(keep), F.col("_in") + 1)
+    rows = prices.withColumn("_delta", p - F.lag(p).over(order)).withColumn("_row", F.row_number().over(order))
+    changes = rows.where(F.col("_delta").isNotNull()).withColumn("_pos", F.row_number().over(order) - 1)
+    decay = F.pow(F.lit(keep), F.col("_row") - F.lag("_row").over(order))
+    out = changes.withColumn("_share", F.when(F.col("_pos") > 0, rate / (decay + rate)).otherwise(F.lit(1.0)))
+    step = F.when(F.col("_pos") == 0, F.lit(0.0)).otherwise(F.least(F.coalesce(-F.log(1.0 - F.col("_share")), F.lit(span)), F.lit(span)))
+    out = out.withColumn("_sum", F.sum(step).over(upto)).withColumn("_block", F.floor(F.col("_sum") / span)).withColumn("_in", F.col("_sum") - F.col("_block") * span)
+    inside = Window.partitionBy(*KEY, "_block").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
+    sides = {"gain": F.greatest(F.col("_delta"), F.lit(0.0)), "loss": F.greatest(-F.col("_delta"), F.lit(0.0))}
+    for side, value in sides.items():
+        out = out.withColumn(f"_m_{side}", F.sum(value * F.col("_share") * F.exp("_in")).over(inside) * F.exp(-F.col("_in")))
+    closing = F.lead("_block").over(order) != F.col("_block")
+    ended = F.when(closing, F.struct(F.col("_m_gain").alias("gain"), F.col("_m_loss").alias("loss"), F.col("_sum").alias("sum")))
+    out = out.withColumn("_ended", ended)
+    out = out.withColumn("_e", F.last("_ended", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1)))
+    for side in sides:
+        carry = F.coalesce(F.col(f"_e.{side}") * F.exp(F.col("_e.sum") - F.col("_sum")), F.lit(0.0))
         out = out.withColumn(f"_a_{side}", F.col(f"_m_{side}") + carry)
     rs = F.try_divide(F.col("_a_gain"), F.col("_a_loss"))
     rsi = (
@@ -163,8 +156,10 @@ def add_rsi(prices: DataFrame, n: int = RSI_WINDOW, block: int = 2048) -> DataFr
         .when((F.col("_a_loss") == 0) & (F.col("_a_gain") == 0), F.lit(50.0))
         .otherwise(F.lit(100.0) - F.lit(100.0) / (F.lit(1.0) + rs))
     )
-    ready = out.withColumn("rsi_14", F.when(F.col("_pos") >= n - 1, rsi)).select("ticker", "date", "rsi_14")
-    return prices.join(ready, ["ticker", "date"], "left")
+    name = f"rsi_{n}"
+    ready = out.withColumn(name, F.when(F.col("_pos") >= n - 1, rsi)).select("ticker", "date", name)
+    joined = prices.join(ready, ["ticker", "date"], "left")
+    return joined.withColumn(name, F.last(name, ignorenulls=True).over(upto))
 
 
 def add_rolling_drawdown(prices: DataFrame, windows: Sequence[int] = DRAWDOWN_WINDOWS) -> DataFrame:
