@@ -172,3 +172,20 @@ def test_long_only_optimum_leaves_assets_out():
     corr = np.array([[1.0, 0.9, 0.1], [0.9, 1.0, 0.6], [0.1, 0.6, 1.0]])
     y = portfolio.long_only_optimum(corr)
     assert y[1] == 0 and np.abs(np.minimum(y, corr @ y - 1)).max() < 1e-9
+
+
+def test_a_holding_without_a_price_is_named_and_not_dropped(spark):
+    wide, long = price_table(n=90, k=2)
+    gap, day = wide.index[5], wide.index[30]
+    month = pd.Timestamp(day).to_period("M")
+    kept = long[~((long.ticker == "T1") & ((long.date == gap) | (pd.PeriodIndex(pd.to_datetime(long.date), freq="M") == month)))]
+    months = sorted({d.replace(day=1) for d in wide.index})
+    rows = [("p", m, t, 0.5) for m in months for t in ("T0", "T1")]
+    weights = spark.createDataFrame(rows, "portfolio string, month date, ticker string, weight double")
+    out = nav.nav_monthly_costs(spark.createDataFrame(kept), weights, 10.0)
+    bad = {(r.month, r.ticker): r.reason for r in out["incomplete"].collect()}
+    assert bad[(day.replace(day=1), "T1")] == "no_price_in_month" and bad[(months[0], "T0")] == "no_base_price"
+    assert day.replace(day=1) not in {r.month for r in out["monthly"].collect()}
+    fixed = spark.createDataFrame([("p", "T0", 0.5), ("p", "T1", 0.5)], "portfolio string, ticker string, weight double")
+    path = nav.nav_rebalanced(spark.createDataFrame(kept), fixed, "monthly").collect()
+    assert {r.date for r in path} == set(kept.groupby("date").filter(lambda g: len(g) == 2).date) and gap not in {r.date for r in path}

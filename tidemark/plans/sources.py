@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.functions.columns import add_weekdays, rounded
-from tidemark.plans.frames import SECTORS
 from tidemark.plans.registry import new_registry
 from tidemark.session import landing_path
 from tidemark.sources import files, panel, sinks
@@ -188,7 +187,10 @@ def cache_coverage(spark, sf):
 @query
 def scan_wide_matrix(spark, sf):
     path = landing_path(spark, "wide")
-    sinks.write_wide_csv(_months(spark, sf).withColumn("dollars", F.col("cents") / F.lit(100.0)), path, SECTORS, "dollars", 2)
+    months = _months(spark, sf).withColumn("dollars", F.col("cents") / F.lit(100.0))
+    # One name per column of the written file.
+    tickers = [row.ticker for row in months.select("ticker").distinct().orderBy("ticker").collect()]
+    sinks.write_wide_csv(months, path, tickers, "dollars", 2)
     wide = spark.read.option("header", True).csv(path).withColumn("date", F.to_date("date"))
     return rounded(files.unpivot_matrix(wide), 2)
 
