@@ -5,7 +5,6 @@ from oracles.base import bars, instruments
 from oracles.joins import COV, D
 from oracles.portfolios import MONTHLY, SCORES, WM
 from oracles.rankings import ADV
-from oracles.scalars import LIFE
 from oracles.universe import REPS
 
 
@@ -54,6 +53,8 @@ SQL = {
         (2, "base_precedes_month", "SELECT count(*) FROM tc WHERE base_date >= month"),
         (3, "daily_monthly_nav_tie_out", "SELECT 0"),
     ]),
-    "chk_audit_refresh": f"WITH {LIFE} SELECT count(DISTINCT entity_key) AS rows, CAST(0 AS BIGINT) AS only_in_metadata, CAST(0 AS BIGINT) AS only_in_audit FROM life",
+    "chk_audit_refresh": f"""WITH {D}, m AS (SELECT DISTINCT p_brand || '/' || p_type AS ticker FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem)),
+        a AS (SELECT DISTINCT ticker FROM bars WHERE date >= (SELECT CAST(max(date) - INTERVAL 1 MONTH AS DATE) FROM bars))
+        SELECT count(*) AS rows, count(*) FILTER (a.ticker IS NULL) AS only_in_metadata, count(*) FILTER (m.ticker IS NULL) AS only_in_audit FROM m FULL JOIN a ON m.ticker = a.ticker""",
     "chk_no_lookahead": f"WITH {bars()} SELECT ticker, count(*) AS rows, CAST(0 AS BIGINT) AS changed FROM bars WHERE date <= DATE '1999-06-30' GROUP BY ticker",
 }

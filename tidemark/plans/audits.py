@@ -12,7 +12,7 @@ from tidemark.plans.joins import window_covariance
 from tidemark.plans.portfolios import monthly_nav, monthly_targets, scorable
 from tidemark.plans.rankings import liquidity
 from tidemark.plans.registry import new_registry
-from tidemark.plans.scalars import eligibility_table, lifecycle
+from tidemark.plans.scalars import eligibility_table
 from tidemark.sources import panel
 
 QUERIES, query = new_registry()
@@ -94,13 +94,13 @@ def chk_clean_universe(spark, sf):
 
 @query
 def chk_audit_refresh(spark, sf):
-    """Audit rows take their classification from the metadata again; the id sets must match."""
-    meta = eligibility_table(spark, sf)
-    audit = lifecycle(spark, sf).select("lifecycle_id", F.lit(True).alias("audited"))
-    both = audit.join(meta.select("lifecycle_id", "review_status"), "lifecycle_id", "full_outer")
-    return both.groupBy(F.coalesce("review_status", F.lit("missing")).alias("review_status_known")).agg(
-        F.count(F.lit(1)).alias("rows"), F.count_if(F.col("audited").isNull()).alias("only_in_metadata"), F.count_if(F.col("review_status").isNull()).alias("only_in_audit")
-    ).groupBy().agg(F.sum("rows").alias("rows"), F.sum("only_in_metadata").alias("only_in_metadata"), F.sum("only_in_audit").alias("only_in_audit"))
+    """Tickers the prices of the last month audit, against the tickers of the metadata."""
+    meta = eligibility_table(spark, sf).select("ticker").distinct().withColumn("known", F.lit(True))
+    audit = panel.recent_closes(spark, sf, "instrument", 1).select("ticker").distinct().withColumn("audited", F.lit(True))
+    both = audit.join(meta, "ticker", "full_outer")
+    return both.agg(
+        F.count(F.lit(1)).alias("rows"), F.count_if(F.col("audited").isNull()).alias("only_in_metadata"), F.count_if(F.col("known").isNull()).alias("only_in_audit")
+    )
 
 
 @query
