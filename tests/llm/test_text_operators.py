@@ -235,6 +235,14 @@ def test_passages_equal_brute_force(spark):
     assert texts[50].count("shared") == 3 and texts[51] == "Other start of it. Other end." and texts[52] == "" and texts[2] == ""
 
 
+def test_few_long_sentences_are_a_run(spark):
+    long = [" ".join(f"{name}{i}" for i in range(26)) + "." for name in ("alpha", "beta")]
+    rows = [(1, f"One begins. It goes on so {long[0]} {long[1]} Mine ends."), (2, f"Two begins there. {long[0]} {long[1]} Ours ends."), (3, f"Three begins. {long[1]} Theirs ends."), (4, "A short one. Two begins there. Ours ends.")]
+    texts = {r.doc_id: r.text for r in passages.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert texts[1] == rows[0][1] and texts[4] == rows[3][1]
+    assert texts[2] == f"Two begins there. {long[0]} Ours ends." and texts[3] == "Three begins. Theirs ends."
+
+
 def test_sentences_add_up_to_the_text():
     for text in ("a. b\n\nc", "...", "\n a", "no end", "x!? y. ", prose(3, 50)):
         assert "".join(passages.runs_of(text)[0]) == text

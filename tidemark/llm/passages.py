@@ -20,15 +20,18 @@ from tidemark.llm.common import free_name, table, whole_text
 
 RUN = 3
 LEAST_CHARS = 40
+#: A sentence counts once, and once more for every so many characters: a passage may have few but long ones.
+LONG_CHARS = 60
 #: The sentences of a text, each with its ends and the white space behind it; together they are the text.
 SENTENCE = re.compile(r"[^.!?\n]*[.!?\n]+\s*|[^.!?\n]+")
 
 
-def runs_of(text: str, run: int = RUN, least: int = LEAST_CHARS) -> tuple[list[str], list[tuple[int, int, int]]]:
+def runs_of(text: str, run: int = RUN, least: int = LEAST_CHARS, long: int = LONG_CHARS) -> tuple[list[str], list[tuple[int, int, int]]]:
     """The sentences, and (hash, first, last + 1) of each run.
 
-    A run starts at every sentence with a word and takes at least `run` of them and `least` characters; it may
-    end early only if it is the whole text. Case and white space do not count.
+    A run starts at every sentence with a word and takes at least `run` of them and `least` characters; a
+    sentence counts once more for every `long` characters. A run may end early only if it is the whole text.
+    Case and white space do not count.
     """
     parts = SENTENCE.findall(text)
     plain, place = [], []
@@ -39,11 +42,12 @@ def runs_of(text: str, run: int = RUN, least: int = LEAST_CHARS) -> tuple[list[s
             place.append(i)
     runs, n = [], len(plain)
     for i in range(n):
-        j, width = i, 0
-        while j < n and (j - i < run or width < least):
+        j, width, count = i, 0, 0
+        while j < n and (count < run or width < least):
             width += len(plain[j])
+            count += 1 + len(plain[j]) // long
             j += 1
-        if j - i < run or width < least:
+        if count < run or width < least:
             if i == 0:
                 runs.append((hashed(plain), 0, len(parts)))
             break
