@@ -26,6 +26,26 @@ def test_covariance_matches_pandas_and_is_symmetric(spark):
     assert (check.not_finite, check.not_symmetric, check.bad_diagonal) == (0, 0, 0) and check.entries == 25
 
 
+def test_blocks_give_the_moments_of_one_block(spark):
+    rng = np.random.default_rng(4)
+    days = pd.bdate_range("2023-01-02", periods=40)
+    data = pd.DataFrame(rng.normal(0.01, 0.02, (40, 7)), index=days, columns=[f"S{k}" for k in range(7)])
+    data["S5"] = 0.013
+    data = data.mask(rng.random(data.shape) < 0.2)
+    data["S6"] = np.nan
+    data.loc[days[3], "S6"] = 0.5
+    long = data.stack().rename("ret").rename_axis(["date", "ticker"]).reset_index()
+    frame = spark.createDataFrame(pd.concat([long.assign(grp="a"), long.assign(grp="b", ret=long.ret * 2)]))
+    one, many = (risk.pair_moments(frame, ["grp"], blocks).toPandas().sort_values(["grp", "i", "j"], ignore_index=True) for blocks in (1, 3))
+    pd.testing.assert_frame_equal(one, many, rtol=1e-9)
+    assert (one.i <= one.j).all() and not one.duplicated(["grp", "i", "j"]).any()
+    for r in one[one.grp == "a"].itertuples():
+        pair = pd.concat([data[r.i], data[r.j]], axis=1, keys=["x", "y"]).dropna()
+        assert r.n == len(pair) and r.mean_product == pytest.approx((pair.x * pair.y).mean(), rel=1e-9)
+        assert pd.isna(r.cov) if r.n < 2 else r.cov == pytest.approx(pair.cov(ddof=1).iloc[0, 1], rel=1e-8, abs=1e-18)
+        assert pd.isna(r.corr) if r.n < 2 or "S5" in (r.i, r.j) else r.corr == pytest.approx(pair.corr().iloc[0, 1], rel=1e-8)
+
+
 def test_long_only_solution_meets_its_conditions(spark):
     rets, wide = returns_frame(spark)
     cov = risk.covariance(rets, 252, ["grp"])

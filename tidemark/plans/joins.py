@@ -114,8 +114,8 @@ def purge_by_quarter(rows):
 @query
 def join_self_pairs(spark, sf):
     """Weekly ticker pairs with their shared weeks and co-movement."""
-    pairs = risk.pairs_by_date(frames.sector_returns(spark, sf, "week"))
-    return rounded(pairs.groupBy("i", "j").agg(F.count(F.lit(1)).alias("weeks"), F.avg(F.col("x") * F.col("y")).alias("mean_product")))
+    pairs = risk.pair_moments(frames.sector_returns(spark, sf, "week"))
+    return rounded(pairs.select("i", "j", F.col("n").alias("weeks"), "mean_product"))
 
 
 # Estimation windows in weeks: even the shortest has more returns than there are tickers.
