@@ -144,3 +144,10 @@ def test_text_rules(spark):
         text.name_similarity(F.lit("Alpha ETF"), F.lit("alpha fund")).alias("d"),
     ).first()
     assert (row.a, row.b, row.c, row.d) == ("unknown", "BIG CAP", None, 1.0)
+
+
+def test_numbering_by_groups_equals_one_order(spark):
+    rows = [(f"r{i % 3}", f"{'ABCÄ'[i % 4]}{i % 5}x{i % 7}", i) for i in range(200)]
+    frame = spark.createDataFrame(rows, "rejection_reason string, ticker string, lifecycle_id int")
+    got = metadata.numbered(frame, ("rejection_reason", "ticker", "lifecycle_id"), F.substring("ticker", 1, 2), "no").collect()
+    assert [(r.rejection_reason, r.ticker, r.lifecycle_id) for r in sorted(got, key=lambda r: r.no)] == sorted(rows) and {r.no for r in got} == set(range(1, 201))

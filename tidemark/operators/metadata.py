@@ -218,11 +218,23 @@ def rejections(metadata: DataFrame, accepted: DataFrame, broad: DataFrame, indus
     return rows.withColumn("rejection_reason", text_reason).drop("_broad", "_industry")
 
 
+def numbered(rows: DataFrame, order: Sequence[str], lead: Column, name: str) -> DataFrame:
+    """Number rows from 1 by `order` without bringing them together.
+
+    `lead` is a short text that does not fall along the order after order[0]: rows are numbered within
+    (order[0], lead), and one window over the catalogue of these groups adds what comes before each.
+    """
+    keyed = rows.withColumns({"_head": F.col(order[0]), "_lead": lead})
+    groups = keyed.groupBy("_head", "_lead").agg(F.count(F.lit(1)).alias("_rows"))
+    before = Window.orderBy("_head", "_lead").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = groups.withColumn("_before", F.coalesce(F.sum("_rows").over(before), F.lit(0))).drop("_rows")
+    inside = F.row_number().over(Window.partitionBy("_head", "_lead").orderBy(*order))
+    return keyed.withColumn("_inside", inside).join(offsets, ["_head", "_lead"]).withColumn(name, (F.col("_before") + F.col("_inside")).cast("int")).drop("_head", "_lead", "_inside", "_before")
+
+
 def priority(rejected: DataFrame, pool: DataFrame) -> DataFrame:
     """Delisted rows of a named suite, numbered for review."""
     queue = rejected.where(F.lower("status") == "delisted").join(pool.select("ticker").distinct(), "ticker", "left_semi")
-    order = Window.partitionBy(F.lit(1)).orderBy("rejection_reason", "ticker", "lifecycle_id")
     fields = F.when(F.col("lifecycle_conflict"), "historical OHLCV identity/cache; ticker lifecycle conflict").otherwise("historical OHLCV identity/cache")
-    return queue.select(
-        F.row_number().over(order).alias("manual_review_priority"), "lifecycle_id", "ticker", "fund_name", fields.alias("unresolved_fields")
-    )
+    ranked = numbered(queue, ("rejection_reason", "ticker", "lifecycle_id"), F.substring("ticker", 1, 3), "manual_review_priority")
+    return ranked.select("manual_review_priority", "lifecycle_id", "ticker", "fund_name", fields.alias("unresolved_fields"))
