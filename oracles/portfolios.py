@@ -16,6 +16,24 @@ def grid(blend=1.0, cap=1.0, low=0.0):
       grid AS (SELECT * FROM (SELECT *, max(weight) OVER (PARTITION BY candidate) AS mx, min(weight) OVER (PARTITION BY candidate) AS mn FROM g0) WHERE mx <= {cap} AND mn >= {low})"""
 
 
+#: Shares by which two rounds move the best weights so far.
+STEPS = (0.20, 0.05)
+
+
+def best_of(source, target):
+    return f"""{target}v AS (SELECT w.objective, w.candidate, sum(w.weight * x.weight * cov) AS v FROM {source} w JOIN {source} x ON w.objective = x.objective AND w.candidate = x.candidate JOIN c ON i = w.ticker AND j = x.ticker GROUP BY ALL),
+      {target}o AS (SELECT objective, candidate, sum(weight * s) AS sw, sum(weight * mc) AS mw, any_value(ms) AS ms FROM {source} JOIN mc USING (ticker) GROUP BY ALL),
+      {target}k AS (SELECT objective, candidate, CASE WHEN objective = 'max_diversification' THEN sw / sqrt(v) ELSE -mw / (sqrt(v) * ms) END AS value FROM {target}o JOIN {target}v USING (objective, candidate)),
+      {target} AS MATERIALIZED (SELECT objective, ticker, weight, value FROM {source} JOIN (SELECT objective, arg_max(candidate, row(value, -candidate)) AS candidate, max(value) AS value FROM {target}k GROUP BY objective) USING (objective, candidate))"""
+
+
+def moved(source, target, number, step):
+    draw = U.replace(str(SEED), str(SEED + number))
+    return f"""{target}e AS (SELECT objective, c AS candidate, ticker, weight AS base, -ln({draw}) AS e FROM {source}, range(0, {COUNT + 1}) t(c)),
+      {target}w AS (SELECT objective, candidate, ticker, CASE WHEN candidate = 0 THEN base ELSE {1 - step} * base + {step} * e / sum(e) OVER (PARTITION BY objective, candidate) END AS weight FROM {target}e),
+      {target} AS MATERIALIZED (SELECT objective, candidate, ticker, weight FROM (SELECT *, max(weight) OVER p AS mx, min(weight) OVER p AS mn FROM {target}w WINDOW p AS (PARTITION BY objective, candidate)) WHERE mx <= 0.25 AND mn >= 0.05 OR candidate = 0)"""
+
+
 PATHS = f"""cp AS (SELECT candidate, date, sum(weight * ret) AS ret FROM rets JOIN grid USING (ticker) GROUP BY ALL),
   paths AS (SELECT cp.*, m.ret AS mret, s.ret AS sret FROM cp JOIN mrets m USING (date) JOIN (SELECT date, ret FROM rets WHERE ticker = 'PROMO') s USING (date)),
   spread AS (SELECT candidate, sum(pow(weight - 1.0 / n, 2)) AS spread FROM (SELECT *, count(*) OVER (PARTITION BY candidate) AS n FROM grid) GROUP BY candidate)"""
@@ -94,6 +112,12 @@ SQL = {
         SELECT grp, unnest(tk) AS ticker, {r('unnest(list_transform(raw, lambda v: v / list_sum(raw)))', 5)} AS weight, {r('sqrt(q)', 5)} AS analytic_dr, 'solved' AS status FROM y""",
     "pf_mdp_long_only": f"""WITH {WINDOW_WEIGHTS} SELECT grp, ticker, {r('sigma', 5)} AS sigma, {r('weight', 4)} AS weight, {r('residual', 5)} AS kkt_residual, 'optimal' AS status FROM ww""",
     "pf_candidate_grid": f"WITH {base()}, {grid(cap=0.30)} SELECT candidate, ticker, {r('weight')} AS weight FROM grid",
+    "pf_candidate_refined": f"""WITH {base()}, {grid(0.3, 0.25, 0.05)}, c AS (SELECT a.ticker AS i, b.ticker AS j, covar_samp(a.ret, b.ret) AS cov FROM rets a JOIN rets b USING (date) GROUP BY ALL),
+        mc AS (SELECT ticker, covar_samp(x.ret, m.ret) AS mc, stddev_samp(m.ret) AS ms, stddev_samp(x.ret) AS s FROM rets x JOIN mrets m USING (date) GROUP BY ticker),
+        g0a AS MATERIALIZED (SELECT objective, candidate, ticker, weight FROM grid, (VALUES ('max_diversification'), ('min_market_correlation')) o(objective)), {best_of('g0a', 'h0')},
+        {moved('h0', 'g1', 1, STEPS[0])}, {best_of('g1', 'h1')}, {moved('h1', 'g2', 2, STEPS[1])}, {best_of('g2', 'h2')}
+        SELECT objective, ticker, {r('h2.weight', 5)} AS weight, {r("CASE WHEN objective = 'max_diversification' THEN h2.value ELSE -h2.value END", 5)} AS value,
+        {r("CASE WHEN objective = 'max_diversification' THEN z.value ELSE -z.value END", 5)} AS start_value FROM h2 JOIN (SELECT DISTINCT objective, value FROM h0) z USING (objective)""",
     "pf_candidate_scoring": f"""WITH {base()}, {grid(0.3, 0.25, 0.05)}, c AS (SELECT a.ticker AS i, b.ticker AS j, covar_samp(a.ret, b.ret) AS cov FROM rets a JOIN rets b USING (date) GROUP BY ALL),
         mc AS (SELECT ticker, covar_samp(x.ret, m.ret) AS mc, stddev_samp(m.ret) AS ms, stddev_samp(x.ret) AS s FROM rets x JOIN mrets m USING (date) GROUP BY ticker),
         v AS (SELECT w.candidate, sum(w.weight * x.weight * cov) AS v FROM grid w JOIN grid x ON w.candidate = x.candidate JOIN c ON i = w.ticker AND j = x.ticker GROUP BY 1),

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from fixtures import day
 from tidemark.functions import text
 from tidemark.functions.columns import add_weekdays, weekdays_between
-from tidemark.operators import align, clean, universe
+from tidemark.operators import align, clean, metadata, universe
 from tidemark.session import landing_path
 from tidemark.sources import files, sinks
 

@@ -60,6 +60,14 @@ def test_long_only_solution_meets_its_conditions(spark):
     assert top <= free.analytic_dr.iloc[0] + 1e-7
 
 
+def test_draws_around_the_held_weights_stay_near_and_inside(spark):
+    held = spark.createDataFrame([("a", t, w) for t, w in zip("PQRS", (0.3, 0.3, 0.2, 0.2))], "objective string, ticker string, weight double")
+    grid = portfolio.around(held, 80, 5, 0.2, 0.4, 0.15).toPandas().pivot(index="candidate", columns="ticker", values="weight")
+    assert list(grid.loc[0]) == [0.3, 0.3, 0.2, 0.2] and 5 < len(grid) <= 81
+    assert np.allclose(grid.sum(axis=1), 1) and grid.to_numpy().min() >= 0.15 and grid.to_numpy().max() <= 0.4
+    assert np.abs(grid - grid.loc[0]).to_numpy().max() <= 0.2
+
+
 def test_box_projection_and_rounding(spark):
     rows = [("p", f"T{i}", w) for i, w in enumerate([0.5, 0.3, 0.15, 0.03, 0.01, 0.01])]
     df = spark.createDataFrame(rows, "portfolio string, ticker string, weight double")

@@ -207,6 +207,20 @@ def candidate_grid(
     return cells.where((F.col("largest") <= cap) & (F.col("smallest") >= floor)).select(*groups, "candidate", "ticker", "weight")
 
 
+def around(held: DataFrame, count: int, seed: int, step: float, cap: float, floor: float, keys: Sequence[str] = ("objective",)) -> DataFrame:
+    """The held weights of each key as candidate 0, and `count` draws that move them by `step` towards a flat-Dirichlet
+    draw; a draw outside floor and cap is rejected as a whole. Draws depend on (seed, candidate, ticker) alone.
+    """
+    cells = held.select(*keys, "ticker", F.col("weight").alias("base"), F.explode(F.sequence(F.lit(0), F.lit(count))).alias("candidate"))
+    part = Window.partitionBy(*keys, "candidate")
+    cells = cells.withColumn("e", -F.log(hex_uniform(F.concat_ws("|", F.lit(str(seed)), F.col("candidate"), F.col("ticker")))))
+    moved = F.lit(1.0 - step) * F.col("base") + F.lit(step) * F.col("e") / F.sum("e").over(part)
+    cells = cells.withColumn("weight", F.when(F.col("candidate") == 0, F.col("base")).otherwise(moved))
+    cells = cells.withColumns({"largest": F.max("weight").over(part), "smallest": F.min("weight").over(part)})
+    inside = (F.col("largest") <= cap) & (F.col("smallest") >= floor)
+    return cells.where(inside | (F.col("candidate") == 0)).select(*keys, "candidate", "ticker", "weight")
+
+
 def project_to_box(
     targets: DataFrame, keys: Sequence[str], lower: float, upper: float, iterations: int = 100
 ) -> DataFrame:

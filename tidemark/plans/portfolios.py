@@ -11,6 +11,7 @@ from tidemark.plans import frames
 from tidemark.plans.frames import MONTHS, WEEKS
 from tidemark.plans.joins import weight_distances, window_covariance, window_tails, window_weights
 from tidemark.plans.registry import new_registry
+from tidemark.session import landing_path
 from tidemark.sources import panel
 
 QUERIES, query = new_registry()
@@ -18,6 +19,9 @@ QUERIES, query = new_registry()
 #: outside which a draw is rejected. The functions below take another number as an argument.
 SEED, CANDIDATES, DRAW_SHARE = 20260808, 60, 0.30
 LEAST_WEIGHT, MOST_WEIGHT = 0.05, 0.25
+#: Refinement: each round draws CANDIDATES times around the best so far, moving it by this share.
+REFINE_STEPS = (0.20, 0.05)
+OBJECTIVES = ("max_diversification", "min_market_correlation")
 #: Walk-forward: months of training, months of validation, least weekly returns of a training window.
 TRAIN_MONTHS, VALIDATION_MONTHS, LEAST_WEEKS = 36, 24, 140
 
@@ -46,9 +50,9 @@ def pf_inverse_vol(spark, sf):
     return rounded(portfolio.inverse_volatility(risk.volatility(rets, WEEKS, ["sector"]), ["sector"]))
 
 
-def sector_risk(spark, sf, groups=()):
+def sector_risk(spark, sf):
     rets = frames.sector_returns(spark, sf)
-    return risk.volatility(rets, MONTHS), risk.covariance(rets, MONTHS)
+    return risk.volatility(rets, MONTHS), panel.kept(spark, ("sector_covariance", sf), lambda: risk.covariance(rets, MONTHS))
 
 
 @query
@@ -105,15 +109,49 @@ def candidate_spread(spark, sf):
     return weights.withColumn("size", size).groupBy("candidate").agg(F.sum(gap * gap).alias("spread"))
 
 
-@query
-def pf_candidate_scoring(spark, sf):
-    """Best candidate per objective: largest diversification ratio, lowest market correlation, highest utility."""
+def moment_scores(spark, sf, weights):
+    """Diversification ratio and market correlation of candidates on monthly sector returns."""
     sigma, cov = sector_risk(spark, sf)
     market = frames.market_returns(spark, sf).select("date", F.col("ret").alias("market_ret"))
     to_market = frames.sector_returns(spark, sf).join(market, "date").groupBy("ticker").agg(
         (F.covar_samp("ret", "market_ret") * float(MONTHS)).alias("market_cov"), (F.stddev_samp("market_ret") * F.sqrt(F.lit(float(MONTHS)))).alias("market_sigma")
     )
-    moments = scoring.candidate_moments(candidate_weights(spark, sf), sigma, cov, to_market)
+    return scoring.candidate_moments(weights, sigma, cov, to_market)
+
+
+def landed(frame, label):
+    """Write a small table to the shared folder and read it back: a round does not plan the rounds before it again."""
+    path = landing_path(frame.sparkSession, label)
+    frame.write.parquet(path)
+    return frame.sparkSession.read.schema(frame.schema).parquet(path)
+
+
+def best_held(spark, sf, grid):
+    """objective, ticker, weight, value of the best candidate of each objective; ties to the smaller number."""
+    keyed = grid.withColumn("candidate", F.struct("objective", "candidate"))
+    value = F.when(F.col("objective") == OBJECTIVES[0], F.col("diversification_ratio")).otherwise(-F.col("market_correlation"))
+    scored = moment_scores(spark, sf, keyed.select("candidate", "ticker", "weight")).select("candidate.*", "diversification_ratio", "market_correlation").withColumn("value", value)
+    best = scored.groupBy("objective").agg(F.max_by(F.struct("candidate", "value"), F.struct("value", -F.col("candidate"))).alias("b")).select("objective", "b.*")
+    return grid.join(best, ["objective", "candidate"]).select("objective", "ticker", "weight", "value")
+
+
+@query
+def pf_candidate_refined(spark, sf):
+    """Weights of the best candidate of each objective after rounds of draws around the best so far."""
+    first = candidate_weights(spark, sf).withColumn("objective", F.explode(F.array(*map(F.lit, OBJECTIVES))))
+    start = held = landed(best_held(spark, sf, first), "candidates")
+    for number, step in enumerate(REFINE_STEPS, 1):
+        grid = portfolio.around(held, CANDIDATES, SEED + number, step, MOST_WEIGHT, LEAST_WEIGHT)
+        held = landed(best_held(spark, sf, grid), "candidates")
+    sign = F.when(F.col("objective") == OBJECTIVES[0], 1.0).otherwise(-1.0)
+    before = start.select("objective", F.col("value").alias("start")).distinct()
+    return rounded(held.join(before, "objective").select("objective", "ticker", "weight", (sign * F.col("value")).alias("value"), (sign * F.col("start")).alias("start_value")), 5)
+
+
+@query
+def pf_candidate_scoring(spark, sf):
+    """Best candidate per objective: largest diversification ratio, lowest market correlation, highest utility."""
+    moments = moment_scores(spark, sf, candidate_weights(spark, sf))
     metrics = scoring.path_metrics(candidate_paths(spark, sf), ["candidate"], WEEKS).join(candidate_spread(spark, sf), "candidate")
     scores = scoring.utility(metrics, {"Balanced": scoring.PROFILES["Balanced"]}, "spread").select("candidate", "utility")
     joined = moments.join(scores, "candidate")
