@@ -1,4 +1,5 @@
 import hashlib
+import time
 
 import numpy as np
 import pytest
@@ -147,3 +148,11 @@ def test_sql_gives_the_same_rows(spark, name):
     expected = engine.sql(SQL[name])
     columns = list(expected.columns)
     assert sorted(expected.fetchall()) == sorted(map(tuple, QUERIES[name](spark, SF).select(*columns).collect()))
+
+
+def test_quotes_in_tags_and_open_tags():
+    page = "<article><p data-x=it's class=a>one <a href='x>y' title=\"p > q\">two</a> three's</p><p title = \"a\">four</p> 1 < 2 <b"
+    assert pages.blocks_of(page) == [("one two three's", 1), ("four", 1), ("1 < 2", 1)]
+    start = time.process_time()
+    pages.blocks_of("<a b='c " * 50_000)
+    assert time.process_time() - start < 20
