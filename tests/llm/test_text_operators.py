@@ -154,6 +154,14 @@ def test_battery_finds_random_keys_and_leaves_words(spark):
     assert hidden[0] == "see [SECRET] here" and hidden[len(keys)] == f"see {plain[0]} here"
 
 
+def test_strings_that_fail_a_gate_count_in_the_step_up_rule(spark):
+    clean = [f"ordinary{w}words{i % 7}" for i, w in enumerate(["internationalization", "responsibilities", "characteristically"] * 100)]
+    doubtful = ["parseTableItem2from6", "Last1price7CountGetparse", "Configparse5Total6Table"]  # p near 0.005
+    keys = ["Zk3vQ9xTb7LmR2wYc8Hn", "q8Jt5WnX2bRz7KdM4vGp"]
+    docs = spark.createDataFrame([(i, f"see {t} here") for i, t in enumerate(clean + doubtful + keys)], "doc_id long, text string")
+    assert {r.doc_id for r in secrets.scan(docs).collect() if r.spans} == {len(clean) + len(doubtful), len(clean) + len(doubtful) + 1}
+
+
 def test_overlapping_spans_become_one_mark(spark):
     docs = spark.createDataFrame([(1, "a token=" + "0123456789abcdef" * 2 + " b")], "doc_id long, text string")
     assert secrets.redacted(docs).collect()[0].text == "a [SECRET] b"

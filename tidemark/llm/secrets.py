@@ -5,7 +5,8 @@ tests measure how far a string is from ordinary writing: the collision form of t
 its alphabet, and the runs of character classes. Both are taken against a null of ordinary writing, so a small
 p speaks for a random key; they are combined by Fisher's method. Chi-squared uniformity and serial
 correlation must not contradict randomness. Discoveries are then controlled by a step-up rule within each
-length class, over all strings of all documents.
+length class, over all strings of all documents: a string that fails a gate counts with p = 1, so gates only
+raise p and never loosen the rule.
 """
 
 from __future__ import annotations
@@ -64,7 +65,7 @@ def tail(z: Column) -> Column:
 
 
 def decibans(found: Column) -> Column:
-    """Tenths of -log10 of the combined p of one string, or null if it is not tested or not random."""
+    """Tenths of -log10 of the combined p of one string; 0, p = 1, if it fails a gate."""
     n = F.char_length(found).cast("double")
     alphabet = F.coalesce(*[F.when(found.rlike(pattern), F.lit(letters)) for pattern, letters in ENCODINGS])
     # Words, names and numbers are no keys: a digit and a letter, or capitals inside, must be there.
@@ -94,7 +95,7 @@ def decibans(found: Column) -> Column:
         serial = F.abs(product) <= 4.0 * spread / F.sqrt(n)
         return F.when(uniform & serial & (spread > 0) & (unlike <= EACH_P) & (changes <= EACH_P), F.least(F.floor(combined * 10), F.lit(MOST_DECIBANS)).cast("int"))
 
-    return F.when(mixed & alphabet.isNotNull(), let(F.struct(alphabet.alias("alphabet")), battery))
+    return F.coalesce(F.when(mixed & alphabet.isNotNull(), let(F.struct(alphabet.alias("alphabet")), battery)), F.lit(0))
 
 
 def length_class(width: Column) -> Column:
@@ -108,7 +109,7 @@ def all_spans(text: Column) -> Column:
     def tested(s: Column) -> Column:
         found = F.filter(placed(text, CANDIDATE, 0, 20, len(BASE)), lambda c: ~F.exists(s, lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
         scored = F.transform(found, lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), c["kind"].alias("kind"), decibans(c["found"]).alias("decibans")))
-        return F.struct(F.transform(s, lambda b: F.struct(b["start"].alias("start"), b["end"].alias("end"), b["kind"].alias("kind"))).alias("base"), F.filter(scored, lambda c: c["decibans"].isNotNull()).alias("tested"))
+        return F.struct(F.transform(s, lambda b: F.struct(b["start"].alias("start"), b["end"].alias("end"), b["kind"].alias("kind"))).alias("base"), scored.alias("tested"))
 
     return let(base, tested)
 
@@ -131,7 +132,7 @@ def scan(docs: DataFrame, q: float = FALSE_DISCOVERY) -> DataFrame:
 
     kind counts along KINDS. Base kinds are always kept; a `random` span stands where no base span does. A null
     text is empty and has no span; equal texts have equal spans. Extra columns pass through; an input column
-    named `spans` is replaced. The text is read twice: once for the histogram of p (at most 4 x 600 counts come
+    named `spans` is replaced. The text is read twice: once for the histogram of p (at most 4 x 601 counts come
     to the driver, whatever the input), once for the spans.
     """
     hidden = free_name(docs, "_scan")
