@@ -162,6 +162,18 @@ def test_strings_that_fail_a_gate_count_in_the_step_up_rule(spark):
     assert {r.doc_id for r in secrets.scan(docs).collect() if r.spans} == {len(clean) + len(doubtful), len(clean) + len(doubtful) + 1}
 
 
+def test_keys_behind_names_queries_and_paths_are_found(spark):
+    key, wide, padded = "Ab3xK9qTz7LmR2wYc8HnV5dP", "Zk3-vQ9xTb_7LmR2wYc8Hn-4sGp", "Zk3+vQ9xTb/7LmR2wYc8Hn4sGpA8=="
+    given = {
+        f"GH_PAT=ghp_{key} end": "GH_PAT=[SECRET] end", f"http://h/a?user=me&sig={padded}&v=1": "http://h/a?user=me&sig=[SECRET]&v=1", f"see /my_dir/{key}/x-y": "see /my_[SECRET]-y",
+        f"in /a/b/{wide} ok": "in /a/b/[SECRET] ok", f"A_NAME_OF_MORE_THAN_TWENTY={padded}": "A_NAME_OF_MORE_THAN_TWENTY=[SECRET]", f"x_1={key}=y/z/w_v-u": "x_1=[SECRET]=y/z/w_v-u",
+        "see /usr_local/share-docs/some_file_name-of/ordinary_words and-a=b=c=d=e=f=g=h=i=j=k": None,
+    }
+    docs = spark.createDataFrame(list(enumerate(given)), "doc_id long, text string")
+    found = {r.doc_id: r.text for r in secrets.redacted(docs).collect()}
+    assert [found[i] for i in range(len(given))] == [wanted or text for text, wanted in given.items()]
+
+
 def test_overlapping_spans_become_one_mark(spark):
     docs = spark.createDataFrame([(1, "a token=" + "0123456789abcdef" * 2 + " b")], "doc_id long, text string")
     assert secrets.redacted(docs).collect()[0].text == "a [SECRET] b"

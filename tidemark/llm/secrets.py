@@ -1,6 +1,7 @@
 """Secret scans in DataFrame functions only: fixed patterns, and a randomness battery for the rest.
 
-Strings of 20 or more key-like characters that mix character classes are tested per inferred encoding. Two
+Strings of 20 or more key-like characters that mix character classes are tested per inferred encoding; they are
+cut at equals signs that do not end them, and at other signs where no encoding fits. Two
 tests measure how far a string is from ordinary writing: the collision form of the chi-squared statistic of
 its alphabet, and the runs of character classes. Both are taken against a null of ordinary writing, so a small
 p speaks for a random key; they are combined by Fisher's method. Chi-squared uniformity and serial
@@ -23,6 +24,9 @@ ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?
 BASE = (("assign", ASSIGN, 2, 8), ("access", r"AKIA[A-Z0-9]{12,}", 0, 16), ("hex", r"[0-9a-f]{32,}", 0, 32))
 KINDS = [kind for kind, *_ in BASE] + ["random"]
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
+#: Parts of a candidate: between equals signs, which only end an encoding; where no encoding fits such a part, what
+#: stands between slashes or pluses, between dashes or underscores, and between any of these.
+VALUE, SMALLER = r"[^=]+(?:=+$)?", (r"[^=/+]+(?:=+$)?", r"[^=_-]+(?:=+$)?", r"[^=/+_-]+(?:=+$)?")
 #: Encodings from narrow to wide: pattern of the whole string, alphabet in order.
 DIGITS, LOWER, UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ENCODINGS = (
@@ -64,10 +68,15 @@ def tail(z: Column) -> Column:
     return F.when(z >= 0, half).otherwise(1.0 - half)
 
 
+def alphabet_of(found: Column) -> Column:
+    """The narrowest alphabet that fits the string, or null."""
+    return F.coalesce(*[F.when(found.rlike(pattern), F.lit(letters)) for pattern, letters in ENCODINGS])
+
+
 def decibans(found: Column) -> Column:
     """Tenths of -log10 of the combined p of one string; 0, p = 1, if it fails a gate."""
     n = F.char_length(found).cast("double")
-    alphabet = F.coalesce(*[F.when(found.rlike(pattern), F.lit(letters)) for pattern, letters in ENCODINGS])
+    alphabet = alphabet_of(found)
     # Words, names and numbers are no keys: a digit and a letter, or capitals inside, must be there.
     mixed = (found.rlike("[0-9]") & found.rlike("[A-Za-z]")) | (found.rlike("[a-z]") & found.rlike(".[A-Z]"))
 
@@ -102,13 +111,43 @@ def length_class(width: Column) -> Column:
     return sum((F.when(width >= low, 1).otherwise(0) for low in LENGTHS[1:]), F.lit(0))
 
 
+def parts_of(candidate: Column) -> Column:
+    """The strings of 20 or more characters to test in a candidate, as spans of the text.
+
+    Each value between equals signs is one if an encoding fits it; else its parts are, which may overlap.
+    """
+    def cut(whole: Column, patterns: tuple[str, ...]) -> Column:
+        found = F.flatten(F.array(*[placed(whole["found"], pattern, 0, 20, len(BASE)) for pattern in patterns]))
+        return F.array_distinct(F.transform(found, lambda c: F.struct((c["start"] + whole["start"]).alias("start"), (c["end"] + whole["start"]).alias("end"), c["kind"].alias("kind"), c["found"].alias("found"))))
+
+    return F.flatten(F.transform(cut(candidate, (VALUE,)), lambda v: F.when(alphabet_of(v["found"]).isNotNull(), F.array(v)).otherwise(cut(v, SMALLER))))
+
+
+def strongest(scored: Column) -> Column:
+    """Of overlapping spans the one with the smallest p keeps it, ties by place; the others get p = 1.
+
+    So no end of a key is left, but a key may take path parts beside it along.
+    """
+    order = F.array_sort(F.transform(scored, lambda c: F.struct((-c["decibans"]).alias("rank"), c["start"].alias("start"), c["end"].alias("end"), c["kind"].alias("kind"))))
+
+    def add(taken: Column, c: Column) -> Column:
+        hidden = F.exists(taken, lambda t: (t["decibans"] > 0) & (t["start"] < c["end"]) & (c["start"] < t["end"]))
+        return F.concat(taken, F.array(F.struct(c["start"].alias("start"), c["end"].alias("end"), c["kind"].alias("kind"), F.when(hidden, 0).otherwise(-c["rank"]).alias("decibans"))))
+
+    return F.when(F.size(scored) < 2, scored).otherwise(F.aggregate(order, F.array().cast("array<struct<start:int,end:int,kind:int,decibans:int>>"), add))
+
+
 def all_spans(text: Column) -> Column:
-    """Struct of `base` and `tested` spans; the latter overlap no base span and carry their decibans."""
+    """Struct of `base` and `tested` spans; the latter overlap no base span and carry their decibans.
+
+    A tested span with decibans above 0 overlaps no other one.
+    """
     base = F.concat(*[placed(text, pattern, group, least, i) for i, (_, pattern, group, least) in enumerate(BASE)])
 
     def tested(s: Column) -> Column:
-        found = F.filter(placed(text, CANDIDATE, 0, 20, len(BASE)), lambda c: ~F.exists(s, lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
-        scored = F.transform(found, lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), c["kind"].alias("kind"), decibans(c["found"]).alias("decibans")))
+        free = lambda c: ~F.exists(s, lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))
+        score = lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), c["kind"].alias("kind"), decibans(c["found"]).alias("decibans"))
+        scored = F.flatten(F.transform(placed(text, CANDIDATE, 0, 20, len(BASE)), lambda c: let(F.transform(F.filter(parts_of(c), free), score), strongest)))
         return F.struct(F.transform(s, lambda b: F.struct(b["start"].alias("start"), b["end"].alias("end"), b["kind"].alias("kind"))).alias("base"), scored.alias("tested"))
 
     return let(base, tested)
