@@ -263,6 +263,21 @@ def test_few_long_sentences_are_a_run(spark):
     assert texts[2] == f"Two begins there. {long[0]} Ours ends." and texts[3] == "Three begins. Theirs ends."
 
 
+def test_line_breaks_inside_a_paragraph_do_not_count(spark):
+    import textwrap
+
+    shared = " ".join(f"Shared sentence {name} goes on over several more words of its own than one line of a page takes." for name in ("one", "two", "three", "four"))
+    listed = "\n".join(f"entry {i} of a list without any full stop" for i in range(6))
+    bodies = [textwrap.fill(shared, 72), textwrap.fill(shared, 80), shared, textwrap.fill(shared, 40).replace("\n", "\r\n")]
+    rows = [(i, f"Start of number {i} here.\n\n{body}\n\nEnd of number {i} here.") for i, body in enumerate(bodies)] + [(10, f"head {10}\n{listed}\ntail {10}"), (11, f"head {11}\n{listed}\ntail {11}")]
+    found = rows_of(passages.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert found == brute_passages(rows)
+    texts = {r[0]: r[1] for r in found}
+    assert texts[0] == rows[0][1] and all(texts[i] == f"Start of number {i} here.\n\nEnd of number {i} here." for i in (1, 2, 3))
+    assert texts[10] == rows[4][1] and texts[11] == "head 11\ntail 11"
+    assert passages.uncovered(rows[0][1], set()) == (rows[0][1], 0)
+
+
 def test_sentences_add_up_to_the_text():
     for text in ("a. b\n\nc", "...", "\n a", "no end", "x!? y. ", prose(3, 50)):
         assert "".join(passages.runs_of(text)[0]) == text

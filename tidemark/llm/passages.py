@@ -22,25 +22,44 @@ RUN = 3
 LEAST_CHARS = 40
 #: A sentence counts once, and once more for every so many characters: a passage may have few but long ones.
 LONG_CHARS = 60
-#: The sentences of a text, each with its ends and the white space behind it; together they are the text.
+#: The sentences and lines of a text, each with its ends and the white space behind it; together they are the text.
 SENTENCE = re.compile(r"[^.!?\n]*[.!?\n]+\s*|[^.!?\n]+")
 
 
 def runs_of(text: str, run: int = RUN, least: int = LEAST_CHARS, long: int = LONG_CHARS) -> tuple[list[str], list[tuple[int, int, int]]]:
-    """The sentences, and (hash, first, last + 1) of each run.
+    """The sentences, and (hash, first, last + 1) of each run, by place.
 
     A run starts at every sentence with a word and takes at least `run` of them and `least` characters; a
     sentence counts once more for every `long` characters. A run may end early only if it is the whole text.
-    Case and white space do not count.
+    Case and white space do not count. Lines are sentences; where a single newline ends one without a full stop,
+    runs are taken once more with such lines joined, so it does not matter where a paragraph is wrapped.
     """
     parts = SENTENCE.findall(text)
-    plain, place = [], []
+    lines: list[tuple[str, int, int]] = []
+    joined: list[tuple[list[str], int, int]] = []
+    wraps = False
     for i, part in enumerate(parts):
         words = part.lower().split()
         if words:
-            plain.append(" ".join(words))
-            place.append(i)
-    runs, n = [], len(plain)
+            line = " ".join(words)
+            lines.append((line, i, i + 1))
+            if wraps:
+                joined[-1][0].append(line)
+                joined[-1] = (*joined[-1][:2], i + 1)
+            else:
+                joined.append(([line], i, i + 1))
+        bare = part.rstrip()
+        wraps = bool(joined) and (bool(words) or wraps) and not bare.endswith((".", "!", "?")) and part.count("\n", len(bare)) == 1
+    runs = runs_over(lines, len(parts), run, least, long)
+    if len(joined) < len(lines):
+        more = runs_over([(" ".join(found), first, end) for found, first, end in joined], len(parts), run, least, long)
+        runs = sorted({*runs, *more}, key=lambda r: (r[1], r[2], r[0]))
+    return parts, runs
+
+
+def runs_over(sentences: list[tuple[str, int, int]], size: int, run: int, least: int, long: int) -> list[tuple[int, int, int]]:
+    runs, n = [], len(sentences)
+    plain = [sentence for sentence, *_ in sentences]
     for i in range(n):
         j, width, count = i, 0, 0
         while j < n and (count < run or width < least):
@@ -49,10 +68,10 @@ def runs_of(text: str, run: int = RUN, least: int = LEAST_CHARS, long: int = LON
             j += 1
         if count < run or width < least:
             if i == 0:
-                runs.append((hashed(plain), 0, len(parts)))
+                runs.append((hashed(plain), 0, size))
             break
-        runs.append((hashed(plain[i:j]), place[i], place[j - 1] + 1))
-    return parts, runs
+        runs.append((hashed(plain[i:j]), sentences[i][1], sentences[j - 1][2]))
+    return runs
 
 
 def hashed(sentences: list[str]) -> int:
