@@ -122,6 +122,18 @@ def test_neighbour_blocks_give_the_same(spark, monkeypatch):
     assert rows_of(neighbours.nearest(given, F.col("id") % 20 == 0, recall=1.0)) == whole
 
 
+def test_neighbour_groups_are_bounded_on_both_sides(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    given = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(rng.normal(size=(300, 8)))], VECTORS)
+    whole = rows_of(neighbours.nearest(given, F.col("id") % 2 == 0, recall=1.0))
+    monkeypatch.setattr(neighbours, "BLOCK_ROWS", 64)
+    monkeypatch.setattr(neighbours, "QUERY_ROWS", 16)
+    assert rows_of(neighbours.nearest(given, F.col("id") % 2 == 0, recall=1.0)) == whole
+    placed = given.select(F.col("vec_id").alias("id"), F.lit(0).alias("leaf"), F.col("embedding").alias("vector"))
+    groups = neighbours.dealt(placed, placed.select("id", "leaf"), placed).groupBy("leaf", "block", "chunk").agg(F.count_if("ask").alias("asks"), F.count_if(~F.col("ask")).alias("rows")).collect()
+    assert max(g.asks for g in groups) <= 40 and max(g.rows for g in groups) <= 110 and sum(g.asks * g.rows for g in groups) == 300 * 300
+
+
 def test_pipeline_stages_keep_columns_and_clean_documents(spark):
     docs = common.table(spark, SF, "documents")
     for number, (_, stage) in enumerate(corpus_pipeline.STAGES):

@@ -20,8 +20,8 @@ from tidemark.llm.common import groups_of, stored, table
 #: Bounds of the fit and of the calibration, in rows; branches of a node; vectors of the sample in a leaf.
 SAMPLE_ROWS, CALIBRATION_QUERIES, BRANCHES, LEAF_ROWS = 20_000, 200, 8, 160
 TARGET_RECALL = 0.97
-#: Vectors of one block in a task.
-BLOCK_ROWS = 4_096
+#: Vectors of one block in a task, and queries that meet it there.
+BLOCK_ROWS, QUERY_ROWS = 4_096, 4_096
 
 
 class Tree:
@@ -133,9 +133,9 @@ PARTIAL = "query_id long, vec_id long, score double"
 
 
 def search_blocks(k: int):
-    """Best k of a block of vectors for the queries that came to it; a group holds both, queries first."""
+    """Best k of a block of vectors for a chunk of the queries that came to it; a group holds both."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in groups_of(batches, ["leaf", "block"]):
+        for group in groups_of(batches, ["leaf", "block", "chunk"]):
             ids = group.column("id").to_numpy()
             asks = group.column("ask").to_numpy(zero_copy_only=False).astype(bool)
             vectors = matrix_of(group.column("vector"))
@@ -159,6 +159,22 @@ def search_blocks(k: int):
     return run
 
 
+def dealt(placed: DataFrame, visited: DataFrame, asking: DataFrame) -> DataFrame:
+    """Rows leaf, block, chunk, ask, id, vector: a leaf's vectors in blocks, its queries in chunks, each pair once.
+
+    placed has id, leaf and vector, visited the id and leaf of each visit, asking id and vector. A group holds
+    about BLOCK_ROWS vectors and QUERY_ROWS queries, however many of either a leaf has.
+    """
+    blocks = placed.groupBy("leaf").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks"))
+    chunks = visited.groupBy("leaf").agg(F.ceil(F.count("*") / QUERY_ROWS).cast("int").alias("chunks"))
+    # One row for each leaf of a tree fitted on a bounded sample: never more than its number of leaves.
+    met = F.broadcast(blocks.join(chunks, "leaf"))
+    numbers = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    asked = visited.join(asking.select("id", "vector"), "id").join(met, "leaf").select("leaf", numbers("blocks").alias("block"), F.pmod(F.xxhash64("id", F.lit("ask")), F.col("chunks")).cast("int").alias("chunk"), F.lit(True).alias("ask"), "id", "vector")
+    held = placed.join(met, "leaf").select("leaf", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"), numbers("chunks").alias("chunk"), F.lit(False).alias("ask"), "id", "vector")
+    return asked.unionByName(held)
+
+
 def top(partial: DataFrame, k: int) -> DataFrame:
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return partial.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
@@ -188,7 +204,8 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 20, recall: float = TA
     Repeated ids count once. Ties go to the smaller id. An empty table gives an empty result.
 
     Leaves larger than a block are dealt in blocks by a digest of the id, so a leaf that holds a third of all
-    rows is spread; a query goes to every block of a leaf it visits and each block returns k rows at most.
+    rows is spread; a query goes to every block of a leaf it visits and each block returns k rows at most. The
+    queries of a leaf are dealt in chunks, and each block meets each chunk in a group of its own.
     """
     rows = cleaned(vectors, id_column, vector_column)
     held = stored(rows.withColumn("length", F.size("vector")), "vectors")
@@ -203,9 +220,6 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 20, recall: float = TA
                 yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(tree.value.place(matrix_of(batch.column("vector"))), pa.int32()), batch.column("vector")], ["id", "leaf", "vector"])
 
     placed = stored(held.mapInArrow(place, "id long, leaf int, vector array<double>"), "leaves")
-    leaves = placed.groupBy("leaf").count().withColumn("blocks", F.ceil(F.col("count") / BLOCK_ROWS).cast("int")).select("leaf", "blocks")
-    # One row for each leaf of a tree fitted on a bounded sample: never more than its number of leaves.
-    leaves = F.broadcast(leaves)
 
     def answers(asking: DataFrame, most: int, all_leaves: bool = False) -> DataFrame:
         def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -214,13 +228,11 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 20, recall: float = TA
                     q = matrix_of(batch.column("vector"))
                     found = [tree.value.visits(v, tree.value.leaves if all_leaves else most) for v in q]
                     take = pa.array(np.repeat(np.arange(len(q)), [len(f) for f in found]))
-                    number = [i for f in found for i in range(len(f))]
-                    yield pa.RecordBatch.from_arrays([batch.column("id").take(take), pa.array([x for f in found for x in f], pa.int32()), pa.array(number, pa.int32()), batch.column("vector").take(take)], ["id", "leaf", "visit", "vector"])
+                    yield pa.RecordBatch.from_arrays([batch.column("id").take(take), pa.array([x for f in found for x in f], pa.int32())], ["id", "leaf"])
 
-        visited = asking.select("id", "vector").mapInArrow(visit, "id long, leaf int, visit int, vector array<double>")
-        asked = visited.join(leaves, "leaf").select("leaf", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("ask"), "id", "vector")
-        dealt = placed.join(leaves, "leaf").select("leaf", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"), F.lit(False).alias("ask"), "id", "vector")
-        return asked.unionByName(dealt).repartition("leaf", "block").sortWithinPartitions("leaf", "block").mapInArrow(search_blocks(k), PARTIAL)
+        visited = stored(asking.select("id", "vector").mapInArrow(visit, "id long, leaf int"), "visits")
+        groups = dealt(placed, visited, asking).repartition("leaf", "block", "chunk").sortWithinPartitions("leaf", "block", "chunk")
+        return groups.mapInArrow(search_blocks(k), PARTIAL)
 
     asking = placed.filter(queries)
     n_queries = max(asking.count(), 1)
