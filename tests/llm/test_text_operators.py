@@ -77,6 +77,13 @@ def test_join_in_small_blocks_gives_the_same(spark, monkeypatch):
     assert rows_of(ngrams.jaccard_join(docs)) == whole
 
 
+def test_one_of_each_class_stays_whatever_the_ids(spark):
+    x, y, z = prose(31, 80), prose(32, 80), prose(33, 80)
+    rows = [(1, x, "en", "a", 0), (1, y, "en", "a", 0), (2, y + " more", "en", "a", 0), (None, z, "en", "a", 0), (None, z, "en", "b", 0), (None, x + " more", "en", "a", 0), (None, "", "en", "a", 0), (None, "", "en", "a", 0), (4, "", "en", "a", 0), (4, prose(34, 50), "en", "a", 0)]
+    found = [(r.doc_id, r.text) for r in ngrams.one_per_class(spark.createDataFrame(rows, SCHEMA)).collect()]
+    assert sorted(found, key=repr) == sorted([(1, x), (1, y), (None, z), (None, ""), (None, ""), (4, ""), (4, rows[-1][1])], key=repr)
+
+
 def test_components_join_a_long_path(spark):
     edges = spark.createDataFrame([(f"{i:03d}", f"{i + 1:03d}") for i in range(60)] + [("900", "901")], "a string, b string")
     found = dict(map(tuple, ngrams.components(edges).collect()))

@@ -16,7 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import free_name, groups_of, stored, table, whole_text
@@ -81,7 +81,7 @@ def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             keys.append(xxhash.xxh3_128_digest(found.tobytes()))
             sizes.append(len(found))
             labels.append(signature(found).tobytes() if len(found) else b"")
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(keys, pa.binary()), pa.array(sizes, pa.int32()), pa.array(labels, pa.binary())], ["doc_id", "key", "n", "label"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("digest"), pa.array(keys, pa.binary()), pa.array(sizes, pa.int32()), pa.array(labels, pa.binary())], ["doc_id", "digest", "key", "n", "label"])
 
 
 def stars(a: np.ndarray, b: np.ndarray, n: int) -> list[tuple[int, int]]:
@@ -219,20 +219,11 @@ def paired_blocks(frame: DataFrame, count: str, rows: int) -> DataFrame:
     return dealt.withColumn("lo", F.least("side", "_other")).withColumn("hi", F.greatest("side", "_other")).drop("_other")
 
 
-def jaccard_join(docs: DataFrame) -> DataFrame:
-    """Per row of docs: doc_id, class_id, n_links.
-
-    n_links counts the other rows whose sets of five-word shingles have a Jaccard similarity of 0.8 or more,
-    copies included; class_id is the least doc_id of the rows joined by such links. Needs doc_id and text and
-    reads nothing else. Texts of equal shingles are one node with its copies; a text of fewer than five words
-    is one shingle; texts without a word link to nothing, their class is their own doc_id. Rows with a null
-    doc_id take part; a class without any doc_id has a null class_id. Repeated rows are copies of each other.
-
-    Links are exact; a pair at exactly 0.8 is met with the target recall of 0.999, more similar ones more surely.
-    """
+def linked(docs: DataFrame, digest: Column) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, digest, key, n) of docs, and for each key with words (k, component, c, l): see jaccard_join."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     texts = docs.select("doc_id", whole_text("text").alias("text"))
-    rows = stored(texts.mapInArrow(signed, f"doc_id {kind}, key binary, n int, label binary"), "signatures")
+    rows = stored(texts.withColumn("digest", digest.cast("binary")).mapInArrow(signed, f"doc_id {kind}, digest binary, key binary, n int, label binary"), "signatures")
     nodes = rows.filter("n > 0").groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.min("n").alias("n"), F.min("label").alias("label"))
     nodes = stored(nodes, "nodes")
 
@@ -268,23 +259,47 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
     links = checked.filter("links IS NOT NULL").groupBy(F.col("a").alias("key")).agg(F.sum("links").alias("links"))
     classes = components(checked.filter("b IS NOT NULL").select("a", "b"))
     named = classes.join(nodes.select("key", "rep"), "key").groupBy("component").agg(F.min("rep").alias("class_id"))
-    summary = nodes.select("key", "copies", "rep").join(links, "key", "left").join(classes.join(named, "component").select("key", "class_id"), "key", "left")
-    told = summary.select(F.col("key").alias("k"), F.coalesce("class_id", "rep").alias("c"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("l"))
-    joined = rows.join(told, rows["key"] == told["k"], "left")
+    summary = nodes.select("key", "copies", "rep").join(links, "key", "left").join(classes.join(named, "component").select("key", "component", "class_id"), "key", "left")
+    told = summary.select(F.col("key").alias("k"), F.coalesce("component", "key").alias("component"), F.coalesce("class_id", "rep").alias("c"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("l"))
+    return rows, told
+
+
+def jaccard_join(docs: DataFrame) -> DataFrame:
+    """Per row of docs: doc_id, class_id, n_links.
+
+    n_links counts the other rows whose sets of five-word shingles have a Jaccard similarity of 0.8 or more,
+    copies included; class_id is the least doc_id of the rows joined by such links. Needs doc_id and text and
+    reads nothing else. Texts of equal shingles are one node with its copies; a text of fewer than five words
+    is one shingle; texts without a word link to nothing, their class is their own doc_id. Rows with a null
+    doc_id take part; a class without any doc_id has a null class_id. Repeated rows are copies of each other.
+
+    Links are exact; a pair at exactly 0.8 is met with the target recall of 0.999, more similar ones more surely.
+    """
+    rows, told = linked(docs, F.lit(None))
+    joined = rows.join(told.drop("component"), rows["key"] == told["k"], "left")
     return joined.select("doc_id", F.when(F.col("n") > 0, F.col("c")).otherwise(F.col("doc_id")).alias("class_id"), F.coalesce("l", F.lit(0)).cast("long").alias("n_links"))
 
 
 def one_per_class(docs: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id is the class_id of their class, one row of each; the columns of docs.
+    """One row of each class of near copies; the columns of docs.
 
-    Rows without a doc_id, and rows without a word, stay.
+    Of a class the row with the least doc_id stays (rows without one come last), of several the one with the
+    least digest of the text: rows that share a doc_id, or have none, are judged by their texts. Rows without a
+    word stay, repeated rows of one doc_id and text once.
     """
-    classes = jaccard_join(docs).filter(F.col("doc_id") == F.col("class_id")).select(F.col("doc_id").alias("_kept")).distinct()
-    kept = docs.join(classes, docs["doc_id"] == classes["_kept"], "left_semi")
-    no = free_name(docs, "_no")
-    first = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text")
-    one = kept.withColumn(no, F.row_number().over(first)).filter(F.col(no) == 1).select(*docs.columns)
-    return one.unionByName(docs.filter(F.col("doc_id").isNull()))
+    digest = F.unhex(F.sha2(whole_text("text"), 256))
+    rows, told = linked(docs, digest)
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")
+    least = rows.filter("n > 0").groupBy("key").agg(F.min(order).alias("row"))
+    chosen = least.join(told, least["key"] == told["k"]).groupBy("component").agg(F.min("row").alias("row")).select("row.doc_id", "row.digest", F.lit(False).alias("all"))
+    wordless = rows.filter("n = 0").select("doc_id", "digest", F.col("doc_id").isNull().alias("all")).distinct()
+    kept = chosen.unionByName(wordless).toDF("_kept", "_digest", "_all")
+    own, no = free_name(docs, "_own"), free_name(docs, "_no")
+    marked = docs.withColumn(own, digest)
+    found = marked.join(kept, marked["doc_id"].eqNullSafe(kept["_kept"]) & (marked[own] == kept["_digest"]))
+    first = Window.partitionBy("doc_id", own).orderBy(own)
+    one = found.filter(~kept["_all"]).withColumn(no, F.row_number().over(first)).filter(F.col(no) == 1)
+    return one.select(*[marked[c] for c in docs.columns]).unionByName(found.filter(kept["_all"]).select(*[marked[c] for c in docs.columns]))
 
 
 def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
