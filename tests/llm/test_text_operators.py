@@ -3,6 +3,7 @@ import re
 import struct
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -75,6 +76,27 @@ def test_join_in_small_blocks_gives_the_same(spark, monkeypatch):
     monkeypatch.setattr(ngrams, "MEETING_ROWS", 4)
     monkeypatch.setattr(ngrams, "BLOCK_ROWS", 3)
     assert rows_of(ngrams.jaccard_join(docs)) == whole
+    monkeypatch.setattr(ngrams, "BLOCK_SHINGLES", 50)
+    assert rows_of(ngrams.jaccard_join(docs)) == whole
+
+
+@pytest.mark.parametrize("ids", ["own", "shared", "none"])
+def test_near_copies_are_found_whatever_the_ids(spark, ids):
+    """4,000 rows in pairs of near copies: without ids every text meets its own node only."""
+    rows = []
+    for i in range(2000):
+        text = prose(1000 + i, 30)
+        rows += [(2 * i, text, "en", "a", 0), (2 * i + 1, text + " more", "en", "a", 0)]
+    docs = spark.createDataFrame([({"own": r[0], "shared": 1, "none": None}[ids], *r[1:]) for r in rows], SCHEMA)
+    found = ngrams.jaccard_join(docs)
+    assert found.filter("n_links = 1").count() == 4000
+    assert found.select("class_id").distinct().count() == (2000 if ids == "own" else 1)
+
+
+def test_signatures_of_very_long_texts_differ():
+    rng = np.random.default_rng(1)
+    a, b = (ngrams.signature(np.unique(rng.integers(0, 2**64, 400_000, np.uint64))) for _ in range(2))
+    assert (a == b).sum() <= 2
 
 
 def test_one_of_each_class_stays_whatever_the_ids(spark):
@@ -149,6 +171,21 @@ def test_base_spans_equal_brute_force(spark):
         assert [(s.start, s.kind, s.end) for s in row.spans if s.kind < 3] == expected
 
 
+def test_many_matches_in_one_text(spark, monkeypatch):
+    """100,000 matches are placed and masked; small chunks give what one chunk gives."""
+    many = "".join(f"password=abcdefg{i % 10} x\n" for i in range(100_000))
+    docs = spark.createDataFrame([(1, many), (2, "no secret")], "doc_id long, text string")
+    found = {r["doc_id"]: r["spans"] for r in secrets.scan(docs).collect()}
+    assert [(s["start"], s["end"]) for s in found[1]] == [(20 * i, 20 * i + 17) for i in range(100_000)] and found[2] == []
+    masked = {r["doc_id"]: r["text"] for r in secrets.redacted(docs).collect()}
+    assert masked[1] == "[SECRET] x\n" * 100_000 and masked[2] == "no secret"
+    rows = [(r[0], (r[1] or "") + " token: abcdefgh12 and api_key=" + "0123456789abcdef" * 2 + " AKIA" + "A1B2" * 4 + " end") for r in awkward_rows()]
+    odd = spark.createDataFrame(rows, "doc_id long, text string")
+    whole, cut = rows_of(secrets.scan(odd)), rows_of(secrets.redacted(odd))
+    monkeypatch.setattr(secrets, "CHUNK", 2)
+    assert rows_of(secrets.scan(odd)) == whole and rows_of(secrets.redacted(odd)) == cut
+
+
 def test_battery_finds_random_keys_and_leaves_words(spark):
     rng = __import__("random").Random(5)
     alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"

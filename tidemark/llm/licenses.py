@@ -85,7 +85,9 @@ def blocks_of(words: Column, templates: list[Template]) -> Column:
     scale, least = templates[0].scale, min(t.least for t in templates)
     known = texts(sorted({w for t in templates for w in t.words}))
     starts = F.sequence(F.lit(0), F.floor(F.greatest(F.size(words) - 1, F.lit(0)) / (scale // 2)).cast("int"))
-    made = F.transform(starts, lambda i: F.struct((i * (scale // 2)).cast("long").alias("first"), F.lit(scale).alias("scale"), F.array_intersect(F.slice(words, i * (scale // 2) + 1, F.lit(scale)), known).alias("tokens")))
+    # Words are read by place: a slice would copy the whole array for each block.
+    part = lambda i: F.transform(F.sequence(i * (scale // 2), F.least(i * (scale // 2) + scale, F.size(words)) - 1), lambda j: F.get(words, j))
+    made = F.transform(starts, lambda i: F.struct((i * (scale // 2)).cast("long").alias("first"), F.lit(scale).alias("scale"), F.array_intersect(part(i), known).alias("tokens")))
     return F.filter(made, lambda b: F.size(b["tokens"]) >= least)
 
 

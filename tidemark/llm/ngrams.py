@@ -26,8 +26,8 @@ TREES, DEPTH, TARGET_RECALL = 12, 8, 0.999
 #: A pair whose signatures agree in fewer places than this is dropped before the exact check: 4.5 standard
 #: deviations of the estimate below the threshold.
 LEAST_AGREEING = THRESHOLD - 4.5 * (THRESHOLD * (1 - THRESHOLD) / (TREES * DEPTH)) ** 0.5
-#: Documents of a meeting group, and of a component, that one task takes against as many others.
-MEETING_ROWS, BLOCK_ROWS = 2_048, 512
+#: Documents of a meeting group, and of a component, that one task takes against as many others; shingles of these.
+MEETING_ROWS, BLOCK_ROWS, BLOCK_SHINGLES = 2_048, 512, 2_000_000
 WORD = re.compile(r"\w+")
 _rng = np.random.default_rng(20)
 FACTORS = _rng.integers(1, 2**63, TREES * DEPTH, np.uint64) | np.uint64(1)
@@ -65,11 +65,14 @@ def shingles(text: str, memo: WordHashes, n: int = N) -> np.ndarray:
 
 
 def signature(found: np.ndarray) -> np.ndarray:
-    """16 bits of the MinHash under each of the forest's functions, in chunks of bounded memory."""
+    """16 bits of the MinHash under each of the forest's functions, in chunks of bounded memory.
+
+    The low bits: the least of many values has few high bits left to tell sets apart.
+    """
     least = np.full(len(FACTORS), np.iinfo(np.uint64).max, np.uint64)
     for start in range(0, len(found), 4_096):
         np.minimum(least, (found[None, start : start + 4_096] * FACTORS[:, None] + SHIFTS[:, None]).min(axis=1), out=least)
-    return (least >> np.uint64(48)).astype(">u2")
+    return (least & np.uint64(0xFFFF)).astype(">u2")
 
 
 def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -211,49 +214,60 @@ def components(edges: DataFrame) -> DataFrame:
     return held.select(F.col("b").alias("key"), F.col("a").alias("component")).unionByName(held.select(F.col("a").alias("key"), F.col("a").alias("component")).distinct())
 
 
-def paired_blocks(frame: DataFrame, count: str, rows: int) -> DataFrame:
+def paired_blocks(frame: DataFrame, blocks: Column) -> DataFrame:
     """Add lo, hi, side: rows of a group are dealt to blocks by a digest of the key, and each block goes to the
     pair it forms with every block of its group, itself included."""
-    blocks = F.ceil(F.col(count) / rows).cast("int")
+    blocks = F.ceil(blocks).cast("int")
     dealt = frame.withColumn("side", F.pmod(F.xxhash64("key"), blocks).cast("int")).withColumn("_other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     return dealt.withColumn("lo", F.least("side", "_other")).withColumn("hi", F.greatest("side", "_other")).drop("_other")
 
 
-def linked(docs: DataFrame, digest: Column) -> tuple[DataFrame, DataFrame]:
-    """Rows (doc_id, digest, key, n) of docs, and for each key with words (k, component, c, l): see jaccard_join."""
+def digest_of(text: Column) -> Column:
+    return F.unhex(F.sha2(text, 256))
+
+
+def linked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, digest, key, n) of docs, and for each key with words (k, component, c, l): see jaccard_join.
+
+    A node's text is fetched back by doc_id and digest of the text together, so rows that share a doc_id, or have
+    none, meet only the nodes of their own text.
+    """
     kind = docs.schema["doc_id"].dataType.simpleString()
-    texts = docs.select("doc_id", whole_text("text").alias("text"))
-    rows = stored(texts.withColumn("digest", digest.cast("binary")).mapInArrow(signed, f"doc_id {kind}, digest binary, key binary, n int, label binary"), "signatures")
-    nodes = rows.filter("n > 0").groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.min("n").alias("n"), F.min("label").alias("label"))
-    nodes = stored(nodes, "nodes")
+    texts = docs.select("doc_id", whole_text("text").alias("text")).withColumn("digest", digest_of(F.col("text")))
+    rows = stored(texts.mapInArrow(signed, f"doc_id {kind}, digest binary, key binary, n int, label binary"), "signatures")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest"))
+    nodes = rows.filter("n > 0").groupBy("key").agg(first.alias("row"), F.count("*").alias("copies"), F.min("n").alias("n"), F.min("label").alias("label"))
+    nodes = stored(nodes.select("key", F.col("row.doc_id").alias("rep"), F.col("row.digest").alias("mark"), "copies", "n", "label"), "nodes")
 
     width, used = 2 * DEPTH, 2 * prefix_depth()
     prefixes = F.array(*[F.struct(F.lit(t).alias("tree"), F.substring(F.col("label"), 1 + width * t, used).alias("prefix")) for t in range(TREES)])
     entries = nodes.select("key", F.inline(prefixes))
     groups = entries.groupBy("tree", "prefix").agg(F.count("*").alias("members")).filter("members > 1")
-    met = paired_blocks(entries.join(groups, ["tree", "prefix"]), "members", MEETING_ROWS).select("tree", "prefix", "lo", "hi", "side", "key")
+    met = paired_blocks(entries.join(groups, ["tree", "prefix"]), F.col("members") / MEETING_ROWS).select("tree", "prefix", "lo", "hi", "side", "key")
     met = met.join(nodes.select("key", "n", "label"), "key")
     dealt = met.repartition("tree", "prefix", "lo", "hi").sortWithinPartitions("tree", "prefix", "lo", "hi")
     candidates = components(dealt.mapInArrow(meetings, "a binary, b binary"))
 
-    sized = candidates.groupBy("component").agg(F.count("*").alias("members"))
-    wanted = candidates.join(sized, "component").join(nodes.select("key", "rep", "copies"), "key")
-    fetched = texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["rep"])).select("text", "component", "members", "copies", "key")
+    known = candidates.join(nodes.select("key", "rep", "mark", "copies", "n"), "key")
+    sized = known.groupBy("component").agg(F.greatest(F.count("*") / BLOCK_ROWS, F.sum("n") / BLOCK_SHINGLES).alias("blocks"))
+    wanted = known.join(sized, "component").drop("n")
+    met = texts["doc_id"].eqNullSafe(wanted["rep"]) & (texts["digest"] == wanted["mark"])
+    fetched = texts.join(wanted, met).select("text", "component", "blocks", "copies", "key")
 
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = WordHashes()
+        memo, seen = WordHashes(), set()
         for batch in batches:
             keep, sets = [], []
             for i, (text, key) in enumerate(zip(batch.column("text").to_pylist(), batch.column("key").to_pylist())):
-                found = shingles(text, memo).tobytes()
-                if xxhash.xxh3_128_digest(found) == key:  # another text may share the doc_id
+                if key not in seen:  # repeated rows have one doc_id and text
+                    seen.add(key)
                     keep.append(i)
-                    sets.append(found)
+                    sets.append(shingles(text, memo).tobytes())
             taken = pa.array(keep, pa.int64())
-            yield pa.RecordBatch.from_arrays([*[batch.column(c).take(taken) for c in ("component", "members", "copies", "key")], pa.array(sets, pa.binary())], ["component", "members", "copies", "key", "shingles"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(c).take(taken) for c in ("component", "blocks", "copies", "key")], pa.array(sets, pa.binary())], ["component", "blocks", "copies", "key", "shingles"])
 
-    sets = fetched.mapInArrow(shingled, "component binary, members long, copies long, key binary, shingles binary")
-    placed = paired_blocks(sets, "members", BLOCK_ROWS).select("component", "lo", "hi", "side", "key", "copies", "shingles")
+    sets = fetched.mapInArrow(shingled, "component binary, blocks double, copies long, key binary, shingles binary")
+    placed = paired_blocks(sets, F.col("blocks")).select("component", "lo", "hi", "side", "key", "copies", "shingles")
     checked = stored(placed.repartition("component", "lo", "hi").sortWithinPartitions("component", "lo", "hi").mapInArrow(verified, "a binary, b binary, links long"), "links")
 
     links = checked.filter("links IS NOT NULL").groupBy(F.col("a").alias("key")).agg(F.sum("links").alias("links"))
@@ -270,12 +284,13 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
     n_links counts the other rows whose sets of five-word shingles have a Jaccard similarity of 0.8 or more,
     copies included; class_id is the least doc_id of the rows joined by such links. Needs doc_id and text and
     reads nothing else. Texts of equal shingles are one node with its copies; a text of fewer than five words
-    is one shingle; texts without a word link to nothing, their class is their own doc_id. Rows with a null
+    is one shingle; texts without a word link to nothing, their class is their own doc_id. Very long texts are
+    taken whole and bound the blocks they are compared in by their shingles. Rows with a null
     doc_id take part; a class without any doc_id has a null class_id. Repeated rows are copies of each other.
 
     Links are exact; a pair at exactly 0.8 is met with the target recall of 0.999, more similar ones more surely.
     """
-    rows, told = linked(docs, F.lit(None))
+    rows, told = linked(docs)
     joined = rows.join(told.drop("component"), rows["key"] == told["k"], "left")
     return joined.select("doc_id", F.when(F.col("n") > 0, F.col("c")).otherwise(F.col("doc_id")).alias("class_id"), F.coalesce("l", F.lit(0)).cast("long").alias("n_links"))
 
@@ -287,15 +302,14 @@ def one_per_class(docs: DataFrame) -> DataFrame:
     least digest of the text: rows that share a doc_id, or have none, are judged by their texts. Rows without a
     word stay, repeated rows of one doc_id and text once.
     """
-    digest = F.unhex(F.sha2(whole_text("text"), 256))
-    rows, told = linked(docs, digest)
+    rows, told = linked(docs)
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")
     least = rows.filter("n > 0").groupBy("key").agg(F.min(order).alias("row"))
     chosen = least.join(told, least["key"] == told["k"]).groupBy("component").agg(F.min("row").alias("row")).select("row.doc_id", "row.digest", F.lit(False).alias("all"))
     wordless = rows.filter("n = 0").select("doc_id", "digest", F.col("doc_id").isNull().alias("all")).distinct()
     kept = chosen.unionByName(wordless).toDF("_kept", "_digest", "_all")
     own, no = free_name(docs, "_own"), free_name(docs, "_no")
-    marked = docs.withColumn(own, digest)
+    marked = docs.withColumn(own, digest_of(whole_text("text")))
     found = marked.join(kept, marked["doc_id"].eqNullSafe(kept["_kept"]) & (marked[own] == kept["_digest"]))
     first = Window.partitionBy("doc_id", own).orderBy(own)
     one = found.filter(~kept["_all"]).withColumn(no, F.row_number().over(first)).filter(F.col(no) == 1)

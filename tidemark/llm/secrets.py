@@ -41,24 +41,60 @@ EACH_P = 0.1
 FALSE_DISCOVERY = 0.01
 #: Lower ends of the length classes; decibans are tenths of -log10 p.
 LENGTHS, MOST_DECIBANS = (20, 32, 48, 64), 600
+#: Matches summed up together when places in a text are found.
+CHUNK = 256
+
+
+def matches(text: Column, pattern: str, group: int) -> Column:
+    """gaps, found, inner: what lies between the matches, the matches, and the group of each."""
+    return F.struct(F.split(text, pattern, -1).alias("gaps"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"), F.regexp_extract_all(text, F.lit(pattern), F.lit(group)).alias("inner"))
+
+
+def total(first: Column, last: Column, number) -> Column:
+    """Sum of number(i) from first to last; reads by place, as a slice would copy its whole array."""
+    return F.aggregate(F.sequence(first, last), F.lit(0), lambda n, i: n + number(i))
+
+
+def spans_of(found: Column, end, least: int, kind: int) -> Column:
+    """Spans (start, end, kind, found) of matches, short ones dropped; end(i) is the end of match i."""
+    return F.transform(
+        F.filter(F.sequence(F.lit(0), F.size(found["found"]) - 1), lambda i: F.char_length(F.get(found["inner"], i)) >= least),
+        lambda i: let(end(i), lambda at: F.struct((at - F.char_length(F.get(found["found"], i))).alias("start"), at.alias("end"), F.lit(kind).alias("kind"), F.get(found["found"], i).alias("found"))),
+    )
+
+
+def step(found: Column, i: Column) -> Column:
+    """Characters of the gap before match i and of the match."""
+    return F.char_length(F.get(found["gaps"], i)) + F.char_length(F.get(found["found"], i))
+
+
+NONE = "array<struct<start:int,end:int,kind:int,found:string>>"
 
 
 def placed(text: Column, pattern: str, group: int, least: int, kind: int) -> Column:
-    """Spans (start, end, kind) of the matches, leftmost and non-overlapping, short ones dropped.
+    """Spans of the matches in a short string, leftmost and non-overlapping."""
+    end = lambda m: lambda i: total(F.lit(0), i, lambda j: step(m, j))
+    return F.when(text.rlike(pattern), let(matches(text, pattern, group), lambda m: spans_of(m, end(m), least, kind))).otherwise(F.array().cast(NONE))
+
 
-    The parts between matches, and the matches, add up to the start of each match.
+def with_places(frame: DataFrame, name: str, text: Column, pattern: str, group: int, least: int, kind: int) -> DataFrame:
+    """The frame with the column `name`: spans of the matches in a text of any length.
+
+    Places are sums over the parts between matches and the matches. They are taken in chunks: what lies before
+    a match's chunk, then inside it, so a text with k matches costs far less than k squared.
     """
-    start = lambda gaps, found, i: (
-        F.aggregate(F.slice(gaps, F.lit(1), i + 1), F.lit(0), lambda n, x: n + F.char_length(x)) + F.aggregate(F.slice(found, F.lit(1), i), F.lit(0), lambda n, x: n + F.char_length(x))
-    )
-    spans = let(
-        F.struct(F.split(text, pattern, -1).alias("gaps"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"), F.regexp_extract_all(text, F.lit(pattern), F.lit(group)).alias("inner")),
-        lambda s: F.transform(
-            F.filter(F.sequence(F.lit(0), F.size(s["found"]) - 1), lambda i: F.char_length(F.get(s["inner"], i)) >= least),
-            lambda i: let(start(s["gaps"], s["found"], i), lambda at: F.struct(at.alias("start"), (at + F.char_length(F.get(s["found"], i))).alias("end"), F.lit(kind).alias("kind"), F.get(s["found"], i).alias("found"))),
-        ),
-    )
-    return F.when(text.rlike(pattern), spans).otherwise(F.array().cast("array<struct<start:int,end:int,kind:int,found:string>>"))
+    found, steps, before = (free_name(frame, f"_{part}_{name}") for part in ("found", "steps", "before"))
+    out = frame.withColumn(found, F.when(text.rlike(pattern), matches(text, pattern, group)))
+    out = out.withColumn(steps, F.transform(F.col(found)["found"], lambda f, i: F.char_length(F.get(F.col(found)["gaps"], i)) + F.char_length(f)))
+    within = lambda first, last: total(first, last, lambda j: F.get(F.col(steps), j))
+    chunks = F.sequence(F.lit(0), ((F.size(steps) - 1) / CHUNK).cast("int"))
+    add = lambda a, c: F.struct(F.concat(a["list"], F.array(a["sum"])).alias("list"), (a["sum"] + within(c * CHUNK, F.least(c * CHUNK + CHUNK, F.size(steps)) - 1)).alias("sum"))
+    out = out.withColumn(before, F.aggregate(chunks, F.struct(F.array().cast("array<int>").alias("list"), F.lit(0).alias("sum")), add, lambda a: a["list"]))
+    end = lambda i: F.get(F.col(before), (i / CHUNK).cast("int")) + within((i / CHUNK).cast("int") * CHUNK, i)
+    # A column that only a lambda names once would be moved into it and be computed for each match.
+    ready = F.col(found).isNotNull() & F.col(steps).isNotNull() & F.col(before).isNotNull()
+    spans = F.coalesce(F.when(ready, spans_of(F.col(found), end, least, kind)), F.array().cast(NONE))
+    return out.withColumn(name, spans).drop(found, steps, before)
 
 
 def tail(z: Column) -> Column:
@@ -137,20 +173,22 @@ def strongest(scored: Column) -> Column:
     return F.when(F.size(scored) < 2, scored).otherwise(F.aggregate(order, F.array().cast("array<struct<start:int,end:int,kind:int,decibans:int>>"), add))
 
 
-def all_spans(text: Column) -> Column:
-    """Struct of `base` and `tested` spans; the latter overlap no base span and carry their decibans.
+def with_spans(docs: DataFrame, name: str) -> DataFrame:
+    """docs plus `name`, a struct of `base` and `tested` spans; the latter overlap no base span and carry their decibans.
 
-    A tested span with decibans above 0 overlaps no other one.
+    A tested span with decibans above 0 overlaps no other one. Texts without a candidate skip the battery.
     """
-    base = F.concat(*[placed(text, pattern, group, least, i) for i, (_, pattern, group, least) in enumerate(BASE)])
-
-    def tested(s: Column) -> Column:
-        free = lambda c: ~F.exists(s, lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))
-        score = lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), c["kind"].alias("kind"), decibans(c["found"]).alias("decibans"))
-        scored = F.flatten(F.transform(placed(text, CANDIDATE, 0, 20, len(BASE)), lambda c: let(F.transform(F.filter(parts_of(c), free), score), strongest)))
-        return F.struct(F.transform(s, lambda b: F.struct(b["start"].alias("start"), b["end"].alias("end"), b["kind"].alias("kind"))).alias("base"), scored.alias("tested"))
-
-    return let(base, tested)
+    text, parts, out = whole_text("text"), [], docs
+    for i, (kind, pattern, group, least) in enumerate(BASE):
+        parts.append(free_name(out, f"_{kind}"))
+        out = with_places(out, parts[-1], text, pattern, group, least, i)
+    base, candidates = free_name(out, "_base"), free_name(out, "_candidates")
+    out = with_places(out, candidates, text, CANDIDATE, 0, 20, len(BASE)).withColumn(base, F.concat(*parts))
+    free = lambda c: ~F.exists(F.col(base), lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))
+    score = lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), c["kind"].alias("kind"), decibans(c["found"]).alias("decibans"))
+    scored = F.flatten(F.transform(F.col(candidates), lambda c: let(F.transform(F.filter(parts_of(c), free), score), strongest)))
+    plain = F.transform(base, lambda b: F.struct(b["start"].alias("start"), b["end"].alias("end"), b["kind"].alias("kind")))
+    return out.withColumn(name, F.struct(plain.alias("base"), scored.alias("tested"))).select(*docs.columns, name)
 
 
 def thresholds(histogram: list[tuple[int, int, int]], q: float = FALSE_DISCOVERY) -> dict[int, int]:
@@ -175,7 +213,7 @@ def scan(docs: DataFrame, q: float = FALSE_DISCOVERY) -> DataFrame:
     to the driver, whatever the input), once for the spans.
     """
     hidden = free_name(docs, "_scan")
-    scored = docs.withColumn(hidden, all_spans(whole_text("text")))
+    scored = with_spans(docs, hidden)
     one = scored.select(F.explode(F.col(hidden)["tested"]).alias("c")).select(length_class(F.col("c.end") - F.col("c.start")).alias("class"), F.col("c.decibans").alias("decibans"))
     least = thresholds([tuple(r) for r in one.groupBy("class", "decibans").count().collect()], q)
 
@@ -203,10 +241,20 @@ def redacted(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     if spans != "spans":
         docs = docs.withColumnRenamed("spans", spans)
     found = scan(docs)
-    step = lambda a, s: F.struct(
-        F.when(s["start"] >= a["at"], F.concat(a["out"], F.substring(F.col("text"), a["at"] + 1, s["start"] - a["at"]), F.lit(mark))).otherwise(a["out"]).alias("out"), F.greatest(a["at"], s["end"]).alias("at")
-    )
-    done = F.aggregate("spans", F.struct(F.lit("").alias("out"), F.lit(0).alias("at")), step, lambda a: F.concat(a["out"], F.substring(F.col("text"), a["at"] + 1, F.char_length("text"))))
+    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
+
+    def chunk(a: Column, c: Column) -> Column:
+        """Go on behind the place reached with the next CHUNK spans, on the piece of the text that they end in."""
+        part = F.filter(F.transform(F.sequence(c * CHUNK, c * CHUNK + CHUNK - 1), lambda i: F.get("spans", i)), lambda s: s.isNotNull())
+        end = F.greatest(a["at"], F.coalesce(F.array_max(F.transform(part, lambda s: s["end"])), F.lit(0)))
+        piece = F.substring(F.col("text"), a["at"] + 1, end - a["at"])
+        step = lambda p: lambda b, s: F.struct(
+            F.when(s["start"] >= b["at"], F.concat(b["out"], F.substring(p, b["at"] - a["at"] + 1, s["start"] - b["at"]), F.lit(mark))).otherwise(b["out"]).alias("out"), F.greatest(b["at"], s["end"]).alias("at")
+        )
+        done = let(piece, lambda p: F.aggregate(part, F.struct(F.lit("").alias("out"), a["at"].alias("at")), step(p)))
+        return let(done, lambda d: F.struct(F.concat(a["out"], d["out"]).alias("out"), d["at"].alias("at")))
+
+    done = F.aggregate(F.sequence(F.lit(0), ((F.size("spans") - 1) / CHUNK).cast("int")), start, chunk, lambda a: F.concat(a["out"], F.substring(F.col("text"), a["at"] + 1, F.char_length("text"))))
     hit = free_name(found, "_hit")
     out = found.withColumn(hit, F.size("spans") > 0).withColumn("text", F.when(F.col(hit), done).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
