@@ -2,7 +2,7 @@
 
 from oracles.aggregates import base
 from oracles.base import bars, instruments, r, trades, weekdays_before
-from oracles.windows import DATASET
+from oracles.windows import DATASET, TYPED, long_features
 
 N = "CAST(regexp_extract(ticker, '#(\\d+)', 1) AS INTEGER)"
 RAW = f"""{trades('instrument')}, raw AS (SELECT ticker, day AS date, unit_price AS open,
@@ -40,10 +40,8 @@ SQL = {
     "estimation_tail": f"""WITH {base()}, a AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY date DESC) AS age FROM rets)
         SELECT grp, ticker, count(*) AS rows, min(date) AS start_date, max(date) AS end_date, {r('avg(ret)')} AS mean_ret
         FROM a JOIN (VALUES ('3 months', 3), ('6 months', 6), ('1 year', 12), ('2 years', 24), ('3 years', 36), ('full', 100000)) w(grp, size) ON age <= size GROUP BY ALL""",
-    "select_features": f"WITH {DATASET} " + " UNION ALL ".join(
-        f"SELECT ticker, '{f}' AS feature, count({f}) AS present, {r(f'min({f})')} AS low, {r(f'max({f})')} AS high FROM ds GROUP BY ticker"
-        for f in ("return_5d", "return_21d", "price_to_sma_21", "volatility_21d")
-    ),
+    "select_features": f"""WITH {TYPED}, {long_features('bars')} SELECT ticker, feature, count(value) AS present, {r('min(value)')} AS low, {r('max(value)')} AS high
+        FROM long GROUP BY ticker, feature""",
     "project_sector_sort": f"""WITH {bars('type', 'month')} SELECT CAST(list_position(['SMALL','MEDIUM','LARGE','ECONOMY','STANDARD','PROMO'], sector) AS BIGINT) AS sector_order,
         sector, {r('sum(volume)')} AS volume FROM bars GROUP BY sector""",
     "anomaly_flags": f"""WITH {RAW}, {DAILY}, g AS (SELECT ticker, date, lag(date) OVER (PARTITION BY ticker ORDER BY date) AS pd FROM daily),

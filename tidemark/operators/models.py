@@ -20,6 +20,11 @@ from tidemark.functions.columns import corr_of
 RIDGE_ALPHAS = (0.001, 0.01, 0.1, 1.0, 10.0, 100.0)
 LASSO_ALPHAS = (0.000001, 0.00001, 0.0001, 0.001, 0.01, 0.1)
 DEFAULT_ALPHA = {"Ridge": 1.0, "Lasso": 0.001}
+#: The preset of each tree model, which is also its fallback.
+TREE_PRESETS = {
+    "RandomForest": {"n_estimators": 100, "max_depth": 3, "min_samples_leaf": 10, "max_features": "sqrt"},
+    "XGBoost": {"n_estimators": 100, "max_depth": 2, "learning_rate": 0.1, "subsample": 0.8, "colsample_bytree": 0.8, "reg_lambda": 1.0},
+}
 FOREST_GRID = {"n_estimators": (200,), "max_depth": (3, None), "min_samples_leaf": (5, 20), "max_features": ("sqrt", 0.5)}
 BOOST_GRID = {
     "n_estimators": (100, 300), "max_depth": (2, 3), "learning_rate": (0.03, 0.1), "subsample": (0.8,), "colsample_bytree": (0.8,),
@@ -140,7 +145,11 @@ def inner_search(members: DataFrame, features: Sequence[str], target: str, keys:
     fits = linear_fits(ready.where("role = 'train'"), features, target, fold_keys, penalties)
     joined = ready.where("role = 'validation'").join(fits, fold_keys)
     error = linear_prediction(features) - F.col(target)
-    per_fold = joined.groupBy(*fold_keys, "model", "alpha").agg(F.avg(error * error).alias("mse"))
+    return search_summary(joined.groupBy(*fold_keys, "model", "alpha").agg(F.avg(error * error).alias("mse")), keys, folds)
+
+
+def search_summary(per_fold: DataFrame, keys: Sequence[str], folds: int) -> DataFrame:
+    """Mean and deviation of the fold errors (keys, fold, model, alpha, mse), and the penalty selected by them."""
     table = per_fold.groupBy(*keys, "model", "alpha").agg(
         F.count("mse").alias("inner_folds"), F.avg("mse").alias("mean_inner_mse"), F.stddev_samp("mse").alias("std_inner_mse")
     )

@@ -8,7 +8,7 @@ from tidemark.functions.columns import rounded
 from tidemark.operators import align, clean, features, folds
 from tidemark.plans import frames
 from tidemark.plans.registry import new_registry
-from tidemark.plans.windows import TRAINING_YEARS, model_dataset, selection_dates
+from tidemark.plans.windows import TRAINING_YEARS, model_dataset, model_features, selection_dates
 from tidemark.sources import panel
 
 QUERIES, query = new_registry()
@@ -118,7 +118,7 @@ def estimation_tail(spark, sf):
 @query
 def select_features(spark, sf):
     """The numeric columns a model may see, with their observed ranges per ticker."""
-    data = model_dataset(spark, sf)
+    data = model_features(spark, sf)
     names = features.model_columns(data)
     long = data.unpivot(["ticker"], names, "feature", "value")
     return rounded(long.groupBy("ticker", "feature").agg(F.count("value").alias("present"), F.min("value").alias("low"), F.max("value").alias("high")))

@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.functions.columns import rounded
-from tidemark.operators import folds, models
+from tidemark.operators import features, models, nested
 from tidemark.plans.registry import new_registry
-from tidemark.plans.windows import model_dataset, selection_dates, training_rows
+from tidemark.plans.windows import model_features, selection_dates, training_rows
 from tidemark.sources import panel
 
 QUERIES, query = new_registry()
-FEATURES = ("return_5d", "return_21d", "price_to_sma_21", "volatility_21d")
+FEATURES = tuple(feature.name for feature in features.catalogue())
 TARGET = "target_21d_return"
 TASK = ["ticker", "selection_date"]
 INNER_FOLDS = 2
@@ -19,45 +19,47 @@ INNER_FOLDS = 2
 PENALTIES = [("Ridge", a) for a in models.RIDGE_ALPHAS] + [("Lasso", a) for a in models.LASSO_ALPHAS]
 
 
-def outer_members(spark, sf):
-    def build():
-        rows = training_rows(spark, sf).select("ticker", "selection_date", "feature_date", "label_end_date", TARGET, *FEATURES)
-        return folds.purged_folds(rows, splits=3, validation_rows=21, min_train_rows=252, embargo_rows=5)
+#: Three outer folds of 21 days behind an embargo of five, two inner folds inside each training set.
+OUTER = {"splits": 3, "validation_rows": 21, "embargo_rows": 5}
+INNER = {"splits": INNER_FOLDS, "validation_rows": 21}
+MIN_TRAIN_ROWS = 252
+
 
-    return panel.kept(spark, ("outer_members", sf), build)
+def feature_rows(spark, sf):
+    return training_rows(spark, sf, dataset=model_features).select(*TASK, "feature_date", "label_end_date", TARGET, *FEATURES)
 
 
-def inner_members(spark, sf):
-    """Inner folds inside each outer training set; the outer fold becomes part of the key."""
-    train = outer_members(spark, sf).where("role = 'train'").withColumnRenamed("fold", "outer_fold").drop("pos", "role")
-    return folds.purged_folds(train, splits=INNER_FOLDS, validation_rows=21, min_train_rows=126, keys=[*TASK, "outer_fold"])
+def moment_table(spark, sf):
+    """Moments of every ticker, month, outer and inner fold."""
+    return panel.kept(spark, ("fold_moments", sf), lambda: nested.fold_moments(feature_rows(spark, sf), TASK, FEATURES, TARGET, OUTER, INNER))
 
 
 def search_table(spark, sf):
-    return panel.kept(
-        spark, ("inner_search", sf),
-        lambda: models.inner_search(inner_members(spark, sf), FEATURES, TARGET, [*TASK, "outer_fold"], PENALTIES, INNER_FOLDS),
-    )
+    def build():
+        return models.search_summary(nested.inner_errors(moment_table(spark, sf), TASK, PENALTIES), [*TASK, "outer_fold"], INNER_FOLDS)
+
+    return panel.kept(spark, ("inner_search", sf), build)
 
 
 def fitted_predictions(spark, sf):
-    """OLS, tuned Ridge and tuned Lasso refitted on each outer training set, one row per validation row.
+    """Five models refitted on each outer training set, one row per model and validation row.
 
-    The penalty comes from the inner search of the same outer fold, else from the default. Tree models are not
-    refitted per fold and have no rows. A training set of fewer than 252 rows gives failed rows.
+    The penalty of Ridge and Lasso comes from the inner search of the same outer fold, else from the default; the
+    forest and the boosted trees take their preset. A training set of fewer than 252 rows gives failed rows.
     """
     def build():
-        keys = [*TASK, "fold"]
-        members = models.impute_median(outer_members(spark, sf), FEATURES, keys)
-        fits = models.linear_fits(members.where("role = 'train'"), FEATURES, TARGET, keys, [("OLS", 0.0), *PENALTIES])
-        chosen = search_table(spark, sf).where("selected").select(*TASK, F.col("outer_fold").alias("fold"), "model", F.col("alpha").alias("best"))
-        wanted = F.coalesce("best", *[F.when(F.col("model") == m, F.lit(a)) for m, a in models.DEFAULT_ALPHA.items()], F.lit(0.0))
-        picked = fits.join(chosen, [*keys, "model"], "left").where(F.col("alpha") == wanted).drop("best")
-        rows = members.where("role = 'validation'").join(picked, keys)
-        failed = F.col("train_rows") < 252
+        moments = moment_table(spark, sf)
+        chosen = search_table(spark, sf).where("selected").groupBy(*TASK, F.col("outer_fold").alias("fold")).agg(
+            *[F.max(F.when(F.col("model") == m, F.col("alpha"))).alias(m) for m in models.DEFAULT_ALPHA]
+        )
+        wanted = moments.where("inner IS NULL").select(*TASK, "fold").join(chosen, [*TASK, "fold"], "left")
+        wanted = wanted.select(*TASK, "fold", *[F.coalesce(m, F.lit(a)).alias(m) for m, a in models.DEFAULT_ALPHA.items()])
+        linear = nested.outer_predictions(moments, wanted, TASK)
+        rows = linear.unionByName(nested.tree_predictions(feature_rows(spark, sf), TASK, FEATURES, TARGET, OUTER, models.TREE_PRESETS))
+        failed = F.col("train_rows") < MIN_TRAIN_ROWS
         return rows.select(
-            *keys, "model", "alpha", "feature_date", "label_end_date", F.col(TARGET).alias("actual"), F.when(~failed, models.linear_prediction(FEATURES)).alias("predicted"),
-            F.col("train_mean").alias("benchmark"), F.when(failed, "failed").otherwise("success").alias("prediction_status"),
+            *TASK, "fold", "model", "alpha", "feature_date", "label_end_date", "actual", F.when(~failed, F.col("predicted")).alias("predicted"), "benchmark",
+            F.when(failed, "failed").otherwise("success").alias("prediction_status"),
         )
 
     return panel.kept(spark, ("fitted_predictions", sf), build)
@@ -70,9 +72,10 @@ def metric_table(spark, sf):
 
 @query
 def ml_estimators(spark, sf):
-    """The five Spark ML estimators fitted on rows labelled before 2000 and judged on later ones."""
-    data = model_dataset(spark, sf).where(F.col("target_available")).select("ticker", "feature_date", "label_end_date", TARGET, *FEATURES)
-    cut = F.lit("2000-01-01").cast("date")
+    """The five Spark ML estimators fitted on rows labelled before the middle of the data's days and judged on later ones."""
+    data = model_features(spark, sf).where(F.col("target_available")).select("ticker", "feature_date", "label_end_date", TARGET, *FEATURES)
+    middle = data.agg(F.percentile(F.unix_date("feature_date"), 0.5)).first()[0]
+    cut = F.date_from_unix_date(F.lit(int(middle or 0)))
     train, valid = data.where(F.col("label_end_date") < cut), data.where(F.col("feature_date") >= cut)
     out = None
     for name, stages in models.spark_ml_estimators(FEATURES, TARGET).items():
@@ -99,7 +102,7 @@ def ml_inner_search(spark, sf):
 
 @query
 def ml_outer_eval(spark, sf):
-    """OLS, tuned Ridge and tuned Lasso refitted per outer fold; every validation row keeps a prediction row."""
+    """Five models refitted per outer fold; every validation row keeps a prediction row."""
     return rounded(fitted_predictions(spark, sf))
 
 

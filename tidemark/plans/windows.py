@@ -204,6 +204,15 @@ def _model_dataset(spark, sf):
     return features.join_targets(feats.select("ticker", "date", *keep), features.build_targets(prices)).drop("matched_once")
 
 
+def model_features(spark, sf):
+    """All features of the catalogue and the target, one row per sector ticker and day: what models are fitted on."""
+    def build():
+        prices = panel.bars(spark, sf, "type", "day")
+        return features.join_targets(features.feature_table(prices), features.build_targets(prices)).drop("matched_once")
+
+    return panel.kept(spark, ("model_features", sf), build)
+
+
 #: Years of rows a model may be trained on.
 TRAINING_YEARS = 5
 
@@ -217,8 +226,8 @@ def selection_dates(spark, sf):
     return ranked.where(F.col("rk") > 1).select("ticker", "selection_date")
 
 
-def training_rows(spark, sf, years=TRAINING_YEARS):
-    return folds.available_as_of(model_dataset(spark, sf), selection_dates(spark, sf), years)
+def training_rows(spark, sf, years=TRAINING_YEARS, dataset=model_dataset):
+    return folds.available_as_of(dataset(spark, sf), selection_dates(spark, sf), years)
 
 
 @query
