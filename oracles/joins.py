@@ -27,7 +27,7 @@ SQL = {
         HAVING count(*) = (SELECT count(DISTINCT ticker) FROM bars))""",
     "join_align_outer": f"""WITH {bars('instrument', 'week')}, g AS (SELECT t.ticker, c.date, b.close FROM (SELECT DISTINCT ticker FROM bars) t CROSS JOIN (SELECT DISTINCT date FROM bars) c
         LEFT JOIN bars b ON b.ticker = t.ticker AND b.date = c.date) SELECT ticker, date, {r('close')} AS close, {r(f'close / lag(close) OVER ({W}) - 1')} AS ret FROM g""",
-    "join_universe_diff": f"""WITH {D}, e AS (SELECT DISTINCT ticker FROM bars WHERE date < DATE '1995-02-01'), l AS (SELECT DISTINCT ticker FROM bars WHERE date >= DATE '2001-10-15')
+    "join_universe_diff": f"""WITH {D}, e AS (SELECT DISTINCT ticker FROM bars WHERE date < (SELECT date_trunc('quarter', min(date)) + INTERVAL 3 MONTH FROM bars)), l AS (SELECT DISTINCT ticker FROM bars WHERE date >= (SELECT date_trunc('quarter', max(date)) FROM bars))
         SELECT coalesce(e.ticker, l.ticker) AS ticker, CASE WHEN l.ticker IS NULL THEN 'missing' WHEN e.ticker IS NULL THEN 'extra' ELSE 'both' END AS status
         FROM e FULL JOIN l ON e.ticker = l.ticker""",
     "join_feature_target": f"""WITH {D} SELECT ticker, date AS feature_date, {r(f'close / lag(close, 5) OVER ({W}) - 1')} AS return_5d, {r(f'close / lag(close, 21) OVER ({W}) - 1')} AS return_21d,

@@ -151,3 +151,13 @@ def test_numbering_by_groups_equals_one_order(spark):
     frame = spark.createDataFrame(rows, "rejection_reason string, ticker string, lifecycle_id int")
     got = metadata.numbered(frame, ("rejection_reason", "ticker", "lifecycle_id"), F.substring("ticker", 1, 2), "no").collect()
     assert [(r.rejection_reason, r.ticker, r.lifecycle_id) for r in sorted(got, key=lambda r: r.no)] == sorted(rows) and {r.no for r in got} == set(range(1, 201))
+
+
+def test_order_key_keeps_lines_of_one_order_together(spark):
+    """A tenth or a hundredth line comes after the ninth and before the next order."""
+    from tidemark.sources import panel
+
+    rows = [(1, 9, 5, 5), (1, 10, 1, 1), (1, 100, 1, 1), (2, 1, 1, 1), (600_000_000_000, 9_999, 20_000_000_000, 1_000_000_000)]
+    frame = spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long")
+    found = [tuple(r) for r in frame.orderBy(panel.file_order()).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").collect()]
+    assert found == rows and frame.where(panel.file_order().isNull()).count() == 0

@@ -100,7 +100,7 @@ def filter_available_asof(spark, sf):
 def validate_price_frame(spark, sf):
     """Violations of the raw frame in the order of its order keys."""
     rows = panel.trades(spark, sf, "instrument").select(
-        "ticker", F.when(F.col("quantity") != 50, F.col("day")).alias("date"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq")
+        "ticker", F.when(F.col("quantity") != 50, F.col("day")).alias("date"), panel.line_order().alias("seq")
     )
     return clean.frame_violations(rows)
 

@@ -31,8 +31,9 @@ def join_align_outer(spark, sf):
 def join_universe_diff(spark, sf):
     """Instruments traded in the first but not the last quarter of the panel, and the reverse."""
     days = panel.closes(spark, sf, "instrument", "day").select("ticker", "date")
-    early = days.where(F.col("date") < F.lit("1995-02-01").cast("date")).select("ticker").distinct().withColumn("in_first", F.lit(True))
-    late = days.where(F.col("date") >= F.lit("2001-10-15").cast("date")).select("ticker").distinct().withColumn("in_last", F.lit(True))
+    first, last = days.agg(F.trunc(F.min("date"), "quarter")).scalar(), days.agg(F.trunc(F.max("date"), "quarter")).scalar()
+    early = days.where(F.col("date") < F.add_months(first, 3)).select("ticker").distinct().withColumn("in_first", F.lit(True))
+    late = days.where(F.col("date") >= last).select("ticker").distinct().withColumn("in_last", F.lit(True))
     both = early.join(late, "ticker", "full_outer")
     status = F.when(F.col("in_last").isNull(), "missing").when(F.col("in_first").isNull(), "extra").otherwise("both")
     return both.select("ticker", status.alias("status"))

@@ -57,14 +57,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def file_order() -> Column:
-    """The four order columns packed into one decimal: 15, 1, 11 and 11 digits.
+    """The four order columns packed into one decimal: 13, 4, 11 and 10 digits.
 
     A decimal fits a hash-aggregation buffer; ordering by a struct would make Spark
     sort every trade before its first fold.
     """
-    line = (F.col("l_orderkey") * 10 + F.col("l_linenumber")).cast("decimal(16,0)")
-    part, supplier = F.col("l_partkey").cast("decimal(11,0)"), F.col("l_suppkey").cast("decimal(11,0)")
-    return (line * F.lit("1" + "0" * 22).cast("decimal(23,0)") + part * F.lit("1" + "0" * 11).cast("decimal(12,0)") + supplier).cast("decimal(38,0)")
+    line = line_order().cast("decimal(17,0)")
+    part, supplier = F.col("l_partkey").cast("decimal(11,0)"), F.col("l_suppkey").cast("decimal(10,0)")
+    return (line * F.lit("1" + "0" * 21).cast("decimal(22,0)") + part * F.lit("1" + "0" * 10).cast("decimal(11,0)") + supplier).cast("decimal(38,0)")
+
+
+def line_order() -> Column:
+    """Order and line number as one number; four digits are the line's own."""
+    return F.col("l_orderkey").cast("bigint") * 10_000 + F.col("l_linenumber")
 
 
 def ticker_of(level: str) -> Column:
