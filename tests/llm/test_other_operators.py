@@ -85,6 +85,44 @@ def test_boilerplate_of_a_host_goes_where_structure_is_silent(spark):
     assert found[90].startswith("Welcome") and found[91] == found[0]
 
 
+def open_page(i, words=30):
+    own = [f"own{i}word{k}" for k in range(words)]
+    notice = "<div>This notice stands on three pages of the host only</div>" if i in (5, 6, 7) else ""
+    mixed = f"<p>Posted on day{i} {own[0]} {own[1]} by the friendly editors of our lovely little newspaper in town</p>"
+    return f"<div>Welcome to our lovely little site today</div>{mixed}<div>{' '.join(own[2:])}</div>{notice}<div>Share</div>", " ".join([f"day{i}", *own])
+
+
+@pytest.mark.parametrize("size", [64, 2000])
+def test_result_does_not_depend_on_the_size_of_the_host(spark, size):
+    rows = [(i, f"http://big.example/{i}", open_page(i)[0]) for i in range(size)]
+    rows += [(10_000 + i, f"http://mirror.example/{i}", open_page(3)[0]) for i in range(2)]
+    found = {r.page_id: r.text for r in pages.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i in range(size):
+        own = [f"own{i}word{k}" for k in range(30)]
+        # "Posted on" follows a repeated block and goes with it; "Share" stands at the end of every page, behind words of its own.
+        expected = f"day{i} {own[0]} {own[1]} " + " ".join(own[2:])
+        assert found[i].removesuffix(" Share") == expected, i
+    assert found[10_000] == found[10_001] and found[10_000].startswith("Welcome to our") and "Posted on day3" in found[10_000]
+
+
+def test_marks_over_a_host_equal_the_suffix_array(spark):
+    rng = np.random.default_rng(8)
+    letters = np.array(list("abc"))
+    bodies = [[" ".join(letters[rng.integers(0, 3, rng.integers(1, 14))]) for _ in range(rng.integers(1, 5))] for _ in range(40)]
+    bodies = [list(b) for b in dict.fromkeys(map(tuple, bodies))]
+    rows = [(i, f"http://h.example/{i}", "".join(f"<p>{t}</p>" for t in b)) for i, b in enumerate(bodies)]
+    found = {r.page_id: r.text for r in pages.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    streams = [pages.stream_of(b) for b in bodies]
+    ids = {w: k for k, w in enumerate(sorted({w for s in streams for w in s}))}
+    tokens = np.array([t for i, s in enumerate(streams) for t in [*[ids[w] for w in s], -1 - i]])
+    owner = np.array([i for i, s in enumerate(streams) for _ in range(len(s) + 1)])
+    covered = pages.repeated(tokens, owner, pages.LEAST_TOKENS)
+    at = 0
+    for i, s in enumerate(streams):
+        assert found[i] == " ".join(w for w, c in zip(s, covered[at : at + len(s)]) if w and not c)
+        at += len(s) + 1
+
+
 VECTORS = "vec_id long, embedding array<double>"
 
 
