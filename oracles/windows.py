@@ -245,10 +245,10 @@ SQL = {
        SELECT *, coalesce(train_label_end_max < validation_feature_start, true) AS purge_valid,
          CASE WHEN coalesce(train_label_end_max < validation_feature_start, true) AND train_rows_after_purge >= 252 THEN 'ok'
            ELSE 'insufficient_train_data' END AS fold_status FROM s""",
-    "win_label_audit": f"""WITH {INSTR}, t AS MATERIALIZED (SELECT ticker, date, row_number() OVER ({W}) AS pos, lead(date, 21) OVER ({W}) AS e FROM bars)
-       SELECT a.ticker, a.date AS feature_date, a.e AS label_end_date, a.e IS NOT NULL AS target_available,
-         b.pos - a.pos AS trading_day_distance, (a.e IS NULL OR b.pos - a.pos = 21) AS alignment_valid
-       FROM t a LEFT JOIN t b ON b.ticker = a.ticker AND b.date = a.e""",
+    "win_label_audit": f"""WITH {INSTR}, n AS (SELECT ticker, date, row_number() OVER ({W}) AS pos FROM bars),
+       t AS (SELECT ticker, date, lead(date, 21) OVER ({W}) AS e, lead(pos, 21) OVER ({W}) - pos AS distance FROM n)
+       SELECT ticker, date AS feature_date, e AS label_end_date, e IS NOT NULL AS target_available,
+         distance AS trading_day_distance, (e IS NULL OR distance = 21) AS alignment_valid FROM t""",
     "win_annual_folds": f"""WITH {base('week')}, yrs AS (SELECT unnest(range(min(year(date)) + 5, max(year(date)) + 1)) AS validation_year FROM prets),
        j AS (SELECT p.*, y.validation_year, year(date) = validation_year AS isv FROM prets p JOIN yrs y
              ON year(date) BETWEEN validation_year - 5 AND validation_year)

@@ -161,3 +161,29 @@ def test_order_key_keeps_lines_of_one_order_together(spark):
     frame = spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long")
     found = [tuple(r) for r in frame.orderBy(panel.file_order()).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").collect()]
     assert found == rows and frame.where(panel.file_order().isNull()).count() == 0
+
+
+def test_price_files_of_several_layouts_in_one_folder(spark, tmp_path):
+    given = {
+        "AAA": "Date,Open,Adj Close,Volume\n2020-01-02,1.0,1.5,100\n2020-01-03,1.1,1.6,n/a\n",
+        "BBB": "volume,adj_close,date\n7,2.5,2020-01-02\n",
+        "CCC": '\ufeff"  DateTime ","ADJUSTED_CLOSE","note","Close"\n2020-01-02 00:00:00,3.5,"a, b",3.4\n\nbad,x,,\n',
+        "DDD": "Date,Close\n",
+        "EEE": "",
+    }
+    for ticker, text in given.items():
+        folder = tmp_path / f"ticker={ticker}"
+        folder.mkdir()
+        (folder / "part.csv").write_text(text, encoding="utf-8")
+    out = files.read_price_files(spark, str(tmp_path))
+    assert out.columns == ["ticker", "date", "adj_close", "close", "open", "volume"]
+    found = sorted((r.ticker, str(r.date), r.adj_close, r.close, r.open, r.volume) for r in out.collect())
+    assert found == [
+        ("AAA", "2020-01-02", 1.5, None, 1.0, 100.0), ("AAA", "2020-01-03", 1.6, None, 1.1, None),
+        ("BBB", "2020-01-02", 2.5, None, None, 7.0), ("CCC", "2020-01-02", 3.5, 3.4, None, None), ("CCC", "None", None, None, None, None),
+    ]
+    manifest = {r.ticker: (r.rows, r.status) for r in files.source_manifest(spark, str(tmp_path)).collect()}
+    assert manifest == {"AAA": (2, "OK"), "BBB": (1, "OK"), "CCC": (2, "OK"), "DDD": (None, "INVALID")}  # Spark lists no file of zero length
+    empty = tmp_path / "none"
+    empty.mkdir()
+    assert files.read_price_files(spark, str(empty)).collect() == []

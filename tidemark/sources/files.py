@@ -43,23 +43,48 @@ def read_dimension(spark: SparkSession, path: str, columns: Sequence[str], key:
     return dimension_rows(_strings(spark, path), columns, key)
 
 
+def _folded(cell: Column) -> Column:
+    """folded_header on the Spark side, without quotes and a byte order mark."""
+    return F.trim(F.regexp_replace(F.lower(F.regexp_replace(cell, "[\ufeff\"]", "")), r"[_\s]+", " "))
+
+
+def price_layouts(spark: SparkSession, path: str) -> DataFrame:
+    """Per file: `_path`, its folded header cells and, for each known column, the place of the first cell that names it."""
+    lines = spark.read.option("recursiveFileLookup", True).text(path).select(
+        F.col("_metadata.file_path").alias("_path"), F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line")).alias("at"), "value"
+    )
+    first = lines.where((F.col("at.block") == 0) & (F.trim("value") != "")).groupBy("_path").agg(F.min_by("value", "at").alias("header"))
+    cells = first.select("_path", F.transform(F.split("header", ","), _folded).alias("cells"))
+    known = sorted(set(PRICE_HEADERS.values()))
+    spellings = {name: [k for k, v in PRICE_HEADERS.items() if v == name] for name in known}
+    place = [
+        F.array_min(F.filter(F.array(*[F.array_position("cells", spelling) for spelling in spellings[name]]), lambda at: at > 0)).cast("int").alias(name)
+        for name in known
+    ]
+    return cells.select("_path", "cells", F.struct(*place).alias("place"))
+
+
 def read_price_files(spark: SparkSession, path: str, ticker_pattern: str = r"ticker=([^/]+)/", file_column: str | None = None) -> DataFrame:
-    """One layout of price files; the ticker comes from the file path, headers are folded.
+    """Price files of any mix of header layouts in one folder; the ticker comes from the file path, headers are folded.
 
-    Columns follow the header of the first file; a file with another order is an error, not a misread.
-    ``file_column`` names an extra column with the path of each row's file.
+    Each file is read by its own header: one pass takes the first line of every file, one scan reads the rows by
+    position, and a join on the file gives each row its places. The columns are those that any file has; they are
+    null in files without them, and cells beyond the widest header are ignored. Only the number of cells and the
+    known names that occur reach the driver. ``file_column`` names an extra column with the path of each row's file.
     """
-    raw = spark.read.options(header=True, inferSchema=False, recursiveFileLookup=True, enforceSchema=False).csv(path)
-    place = [F.col("_metadata.file_path").alias(file_column)] if file_column else []
-    renamed = raw.select(
-        *place,
-        F.regexp_extract(F.col("_metadata.file_path"), ticker_pattern, 1).alias("ticker"),
-        *[F.col(f"`{c}`").alias(PRICE_HEADERS[folded_header(c)]) for c in raw.columns if folded_header(c) in PRICE_HEADERS],
-    )
-    numbers = [c for c in renamed.columns if c not in ("ticker", "date", file_column)]
-    return renamed.select(
-        *([file_column] if file_column else []), "ticker", F.to_date(F.try_to_timestamp("date")).alias("date"),
-        *[F.expr(f"try_cast({c} AS double)").alias(c) for c in numbers],
+    layouts = price_layouts(spark, path)
+    known = layouts.schema["place"].dataType.names
+    width, *found = layouts.agg(F.max(F.size("cells")), *[F.max(F.col(f"place.{name}")) for name in known]).first()
+    names = [name for name, at in zip(known, found) if at is not None and name != "date"]
+    schema = ", ".join(f"c{i} string" for i in range(width or 1))
+    rows = spark.read.schema(schema).options(header=False, recursiveFileLookup=True).csv(path)
+    cells = rows.select(F.col("_metadata.file_path").alias("_path"), F.array(*rows.columns).alias("_row"))
+    placed = cells.join(layouts, "_path").where(~F.coalesce(_folded(F.col("_row")[0]) == F.col("cells")[0], F.lit(False)))
+    value = {name: F.get("_row", F.col(f"place.{name}") - 1) for name in ["date", *names]}
+    return placed.select(
+        *([F.col("_path").alias(file_column)] if file_column else []),
+        F.regexp_extract("_path", ticker_pattern, 1).alias("ticker"), F.to_date(F.try_to_timestamp(value["date"])).alias("date"),
+        *[value[name].try_cast("double").alias(name) for name in names],
     )
 
 
@@ -137,7 +162,7 @@ def code_name(code: Column) -> Column:
 
 
 def source_manifest(spark: SparkSession, path: str, ticker_pattern: str = r"ticker=([^/]+)/") -> DataFrame:
-    """Digest, size, row count and dates of each landed price file."""
+    """Digest, size, row count and dates of each landed price file. Spark lists no file of zero length."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").load(path)
     digests = files.select(
         F.col("_metadata.file_path").alias("_file"), F.regexp_extract("path", ticker_pattern, 1).alias("ticker"), F.sha2("content", 256).alias("sha256"), F.col("length").alias("bytes")
