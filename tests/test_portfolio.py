@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import episodes, nav, portfolio, risk, scoring
+from tidemark.plans import portfolios
 
 
 def returns_frame(spark, k=5, n=200, seed=1):
@@ -217,3 +218,45 @@ def test_a_holding_without_a_price_is_named_and_not_dropped(spark):
     fixed = spark.createDataFrame([("p", "T0", 0.5), ("p", "T1", 0.5)], "portfolio string, ticker string, weight double")
     path = nav.nav_rebalanced(spark.createDataFrame(kept), fixed, "monthly").collect()
     assert {r.date for r in path} == set(kept.groupby("date").filter(lambda g: len(g) == 2).date) and gap not in {r.date for r in path}
+
+
+def test_bounded_optimum_is_not_below_a_fine_grid(spark):
+    rng = np.random.default_rng(12)
+    rows, given = [], {}
+    for g in range(4):
+        returns = rng.normal(size=(60, 5)) @ rng.normal(size=(5, 5))
+        returns[:, 4] = returns[:, :4].mean(axis=1) * (0.2 if g else -0.5) + 0.3 * returns[:, 4]
+        matrix, names = np.cov(returns.T), ["A", "B", "C", "D", "MARKET"]
+        given[g] = matrix
+        rows += [(g, a, b, float(matrix[i, j])) for i, a in enumerate(names) for j, b in enumerate(names)]
+    rows += [(10, a, b, float(a == b)) for a in ("A", "MARKET") for b in ("A", "MARKET")]  # one ticker cannot hold at most half
+    rows += [(11, a, b, 0.0 if a == b == "A" else 1.0) for a in ("A", "B", "C", "MARKET") for b in ("A", "B", "C", "MARKET")]  # no variance
+    cov = spark.createDataFrame(rows, "grp int, i string, j string, cov double")
+    out = portfolio.bounded_optimum(cov, ["grp"], "MARKET", 0.05, 0.5).toPandas()
+    ticks = np.array([(a, b, c, 100 - a - b - c) for a in range(5, 51) for b in range(5, 51) for c in range(5, 51) if 5 <= 100 - a - b - c <= 50]) / 100.0
+    for (grp, objective), part in out[out.grp < 10].groupby(["grp", "objective"]):
+        part, matrix = part.sort_values("ticker"), given[grp]
+        w = part.weight.to_numpy()
+        gain = np.sqrt(np.diag(matrix))[:4] if objective == "max_diversification" else -matrix[:4, 4] / np.sqrt(matrix[4, 4])
+        ratio = lambda x: (x @ gain) / np.sqrt(((x @ matrix[:4, :4]) * x).sum(-1))
+        sign = 1 if objective == "max_diversification" else -1
+        assert abs(w.sum() - 1) < 1e-9 and w.min() >= 0.05 - 1e-12 and w.max() <= 0.5 + 1e-12
+        assert (part.status == "stationary").all() and part.residual.max() <= 1e-6 and (part.starts == 64).all()
+        assert abs(sign * part["value"].iloc[0] - ratio(w)) < 1e-9
+        assert ratio(ticks).max() - 1e-9 <= ratio(w) <= ratio(ticks).max() + 0.05
+        assert sign * part.start_value.iloc[0] <= ratio(w) + 1e-12
+    assert set(out[out.grp == 10].status) == {"infeasible"} and out[out.grp == 10].weight.isna().all()
+    assert set(out[out.grp == 11].status) == {"no_optimum"} and len(out[out.grp == 11]) == 6
+    again = portfolio.bounded_optimum(cov, ["grp"], "MARKET", 0.05, 0.5).toPandas()
+    keys = ["grp", "objective", "ticker"]
+    assert out.sort_values(keys).weight.round(12).tolist()[:32] == again.sort_values(keys).weight.round(12).tolist()[:32]
+
+
+def test_bounded_optimum_is_not_worse_than_refined_draws(spark):
+    sf = "/root/testdata/sf0.001"
+    solved = portfolios.QUERIES["pf_bounded_optimum"](spark, sf).where("grp = 'months'").toPandas()
+    drawn = portfolios.QUERIES["pf_candidate_refined"](spark, sf).toPandas()
+    best = solved.groupby("objective")["value"].first()
+    refined = drawn.groupby("objective")["value"].first()
+    assert best["max_diversification"] >= refined["max_diversification"] - 1e-4
+    assert best["min_market_correlation"] <= refined["min_market_correlation"] + 1e-4

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from hashlib import sha256
 
 import numpy as np
 import pandas as pd
@@ -187,6 +188,127 @@ def analytic_weights(cov: DataFrame, groups: Sequence[str]) -> DataFrame:
     return out.withColumns({c: F.nanvl(c, F.lit(None)) for c in ("weight", "analytic_dr")})
 
 
+def project_rows(points: np.ndarray, lower: float, upper: float) -> np.ndarray:
+    """Each vector along the last axis to the nearest one with sum 1 inside the bounds.
+
+    Bisection finds the shift closely enough to know which entries are free; these then give it exactly.
+    """
+    low, high = points.min(-1, keepdims=True) - upper, points.max(-1, keepdims=True) - lower
+    for _ in range(50):
+        mid = (low + high) / 2
+        heavy = np.clip(points - mid, lower, upper).sum(-1, keepdims=True) > 1
+        low, high = np.where(heavy, mid, low), np.where(heavy, high, mid)
+    near = points - (low + high) / 2
+    free = (near > lower) & (near < upper)
+    missing = 1.0 - np.clip(near, lower, upper).sum(-1, keepdims=True)
+    return np.clip(near + missing / np.maximum(free.sum(-1, keepdims=True), 1), lower, upper)
+
+
+def ratio_ascent(gain: np.ndarray, cov: np.ndarray, starts: np.ndarray, lower: float, upper: float, rounds: int = 3000, tolerance: float = 1e-8):
+    """Projected gradient ascent of w'gain / sqrt(w'Cov w) from many starts of many problems at once.
+
+    gain: problems x K, cov: problems x K x K, starts: problems x starts x K. A start whose step does not raise its value
+    enough takes a quarter of it; after a step the next one follows from the change of the slope. Returns the points,
+    their values and the length of a projected step of one along the slope, which is zero at a stationary point. The ratio
+    is not concave where the gain is negative, so a point is the best one only as far as the starts reach.
+    """
+    scale = np.abs(gain).max(-1)[:, None, None]
+    size = np.trace(cov, axis1=-2, axis2=-1)[:, None, None] / cov.shape[-1]
+    c, matrix = gain[:, None, :] / scale, cov / size
+
+    def valued(w):
+        pull = w @ matrix
+        deviation = np.sqrt((pull * w).sum(-1, keepdims=True))
+        value = (w * c).sum(-1, keepdims=True) / deviation
+        return value[..., 0], (c - value * pull / deviation) / deviation
+
+    w = project_rows(starts, lower, upper)
+    value, slope = valued(w)
+    residual = np.abs(project_rows(w + slope, lower, upper) - w).max(-1)
+    step = np.ones(value.shape)
+    for _ in range(rounds):
+        live = (residual > tolerance) & (step > 1e-12)
+        if not live.any():
+            break
+        moved = project_rows(w + step[..., None] * slope, lower, upper)
+        change = moved - w
+        new, new_slope = valued(moved)
+        better = live & (new >= value + 1e-4 * (slope * change).sum(-1) - 1e-15 * (1 + np.abs(value)))
+        bend = -(change * (new_slope - slope)).sum(-1)
+        length = (change * change).sum(-1)
+        following = np.where(bend > 0, np.clip(length / np.where(bend > 0, bend, 1.0), 1e-6, 1e6), np.minimum(step * 4, 1e6))
+        w, slope = np.where(better[..., None], moved, w), np.where(better[..., None], new_slope, slope)
+        value, step = np.where(better, new, value), np.where(better, following, np.where(live, step / 4, step))
+        residual = np.abs(project_rows(w + slope, lower, upper) - w).max(-1)
+    return w, value * scale[..., 0] / np.sqrt(size[..., 0]), residual
+
+
+def bounded_optimum(
+    cov: DataFrame, groups: Sequence[str], market: str, lower: float, upper: float, starts: int = 64, seed: int = 0, tolerance: float = 1e-6
+) -> DataFrame:
+    """Fully invested weights inside the bounds with the largest diversification ratio and the least market correlation.
+
+    ``cov`` is the long covariance of each group with the benchmark ``market`` as one of its tickers. Per group, objective
+    and ticker: weight, the objective's value, the best value among the projected starts, the residual of the optimality
+    condition, how many starts there were and how many reach the same value, and a status: ``stationary``, ``unfinished``
+    (residual above the tolerance), ``infeasible`` (bounds leave no portfolio) or ``no_optimum`` (a moment is missing or no
+    variance); the last two have null weights. No group is dropped. Starts are equal weights and draws seeded by the
+    group, so a lost task finds the same point. Matrices of a batch with equally many tickers are solved together.
+    """
+    schema = ", ".join(
+        [f"{g} {cov.schema[g].dataType.simpleString()}" for g in groups]
+        + ["objective string, ticker string, weight double, value double, start_value double, residual double, starts int, agreeing int, status string"]
+    )
+
+    def drawn(key, size):
+        rng = np.random.default_rng(int.from_bytes(sha256(repr((seed, key)).encode()).digest()[:8], "big"))
+        return np.vstack([np.full(size, 1.0 / size), rng.dirichlet(np.ones(size), starts - 1)])
+
+    def run(batches):
+        for pdf in batches:
+            out, problems = [], {}
+            for row in pdf.itertuples(index=False):
+                matrix, tickers = np.array([list(r) for r in row.matrix], dtype=float), list(row.tickers)
+                key = tuple(getattr(row, g) for g in groups)
+                own = [i for i, t in enumerate(tickers) if t != market]
+                names = [tickers[i] for i in own]
+                usable = len(own) < len(tickers) and len(own) > 0 and matrix.shape == (len(tickers),) * 2 and bool(np.isfinite(matrix).all() and (np.diag(matrix) > 0).all())
+                feasible = len(own) * lower <= 1 + 1e-12 and len(own) * upper >= 1 - 1e-12
+                for objective in ("max_diversification", "min_market_correlation"):
+                    if not usable or not feasible:
+                        out.append((key, objective, names, None, None, None, None, 0, "infeasible" if usable else "no_optimum"))
+                        continue
+                    at = tickers.index(market)
+                    gain = np.sqrt(np.diag(matrix))[own] if objective == "max_diversification" else -matrix[own, at] / np.sqrt(matrix[at, at])
+                    if not np.abs(gain).max() > 0:
+                        out.append((key, objective, names, None, None, None, None, 0, "no_optimum"))
+                        continue
+                    problems.setdefault(len(own), []).append((key, objective, names, gain, matrix[np.ix_(own, own)], drawn((key, objective), len(own))))
+            for same in problems.values():
+                gain, matrix, first = (np.stack([p[i] for p in same]) for i in (3, 4, 5))
+                at_start = project_rows(first, lower, upper)
+                before = (at_start * gain[:, None, :]).sum(-1) / np.sqrt(((at_start @ matrix) * at_start).sum(-1))
+                points, values, residuals = ratio_ascent(gain, matrix, first, lower, upper)
+                for i, (key, objective, names, *_) in enumerate(same):
+                    best, sign = int(values[i].argmax()), 1.0 if objective == "max_diversification" else -1.0
+                    agreeing = int((values[i] >= values[i, best] - 1e-7 * max(1.0, abs(values[i, best]))).sum())
+                    status = "stationary" if residuals[i, best] <= tolerance else "unfinished"
+                    out.append((key, objective, names, points[i, best], sign * values[i, best], sign * before[i].max(), residuals[i, best], agreeing, status))
+            frames = [
+                pd.DataFrame({
+                    **dict(zip(groups, key)), "objective": objective, "ticker": names, "weight": np.nan if weight is None else weight, "value": np.nan if value is None else value,
+                    "start_value": np.nan if first is None else first, "residual": np.nan if residual is None else residual, "starts": starts, "agreeing": agreeing, "status": status,
+                })
+                for key, objective, names, weight, value, first, residual, agreeing, status in out
+                if names
+            ]
+            if frames:
+                yield pd.concat(frames, ignore_index=True)
+
+    solved = pack_matrix(cov, groups).mapInPandas(run, schema)
+    return solved.withColumns({c: F.nanvl(c, F.lit(None)) for c in ("weight", "value", "start_value", "residual")})
+
+
 def candidate_grid(
     universe: DataFrame, count: int, seed: int, cap: float = 1.0, groups: Sequence[str] = (), blend: float = 1.0, floor: float = 0.0
 ) -> DataFrame:

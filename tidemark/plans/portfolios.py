@@ -22,6 +22,8 @@ LEAST_WEIGHT, MOST_WEIGHT = 0.05, 0.25
 #: Refinement: each round draws CANDIDATES times around the best so far, moving it by this share.
 REFINE_STEPS = (0.20, 0.05)
 OBJECTIVES = ("max_diversification", "min_market_correlation")
+#: Starts of the bounded solver in each group.
+STARTS = 64
 #: Walk-forward: months of training, months of validation, least weekly returns of a training window.
 TRAIN_MONTHS, VALIDATION_MONTHS, LEAST_WEEKS = 36, 24, 140
 
@@ -148,6 +150,20 @@ def pf_candidate_refined(spark, sf):
     return rounded(held.join(before, "objective").select("objective", "ticker", "weight", (sign * F.col("value")).alias("value"), (sign * F.col("start")).alias("start_value")), 5)
 
 
+@query
+def pf_bounded_optimum(spark, sf):
+    """Both moment objectives solved inside the bounds, for all months and six weekly windows, with residual and starts."""
+    def with_market(rets, market):
+        columns = [c for c in rets.columns if c in ("grp", "ticker", "date", "ret")]
+        dates = rets.select(*[c for c in columns if c in ("grp", "date")]).distinct()
+        return rets.select(*columns).unionByName(dates.join(market.select("date", "ret"), "date").withColumn("ticker", F.lit("MARKET")).select(*columns))
+
+    months = with_market(frames.sector_returns(spark, sf), frames.market_returns(spark, sf)).withColumn("grp", F.lit("months"))
+    weeks = with_market(window_tails(spark, sf), frames.market_returns(spark, sf, "week"))
+    cov = risk.covariance(months.unionByName(weeks), WEEKS, ["grp"])
+    return rounded(portfolio.bounded_optimum(cov, ["grp"], "MARKET", LEAST_WEIGHT, MOST_WEIGHT, STARTS, SEED).drop("agreeing"), 4)
+
+
 @query
 def pf_candidate_scoring(spark, sf):
     """Best candidate per objective: largest diversification ratio, lowest market correlation, highest utility."""
