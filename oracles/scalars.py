@@ -25,15 +25,26 @@ LIFE = f"""{NAMED}, listing AS (SELECT ticker, fund_name, CAST(listing_date AS V
 CUR = """cur AS (SELECT ticker, CASE WHEN n % 3 = 0 THEN 'Entirely Different ' || sector ELSE fund_name || ' Shares' END AS current_name, n FROM named WHERE n % 7 <> 0)"""
 
 
-def sim(a, b):
-    x, y = norm(a), norm(b)
-    return f"(1.0 - levenshtein({x}, {y}) / greatest(length({x}), length({y})))"
+def sims(a, b, pairs):
+    """(ticker, s): ratio of matching blocks. Each step takes the longest common block of a pair, the first in a and
+    then in b, and leaves the pairs on both sides of it."""
+    return f"""(WITH RECURSIVE p AS (SELECT ticker, {norm(a)} AS a, {norm(b)} AS b FROM {pairs}),
+      blocks AS (SELECT ticker, a, b, CAST(0 AS BIGINT) AS k FROM p UNION ALL
+        SELECT ticker, side.a, side.b, side.k FROM (SELECT ticker, unnest([
+            {{'a': substr(a, 1, i - 1), 'b': substr(b, 1, strpos(b, block) - 1), 'k': length(block)}},
+            {{'a': substr(a, i + length(block)), 'b': substr(b, strpos(b, block) + length(block)), 'k': CAST(0 AS BIGINT)}}]) AS side
+          FROM (SELECT ticker, a, b, best.i AS i, substr(a, best.i, best.n) AS block FROM (SELECT ticker, a, b,
+            list_filter(flatten(list_transform(range(length(a), 0, -1), lambda n: list_transform(range(1, length(a) - n + 2), lambda i: {{'n': n, 'i': i}}))),
+              lambda c: contains(b, substr(a, c.i, c.n)))[1] AS best FROM blocks WHERE a <> '' AND b <> '') WHERE best IS NOT NULL)))
+      SELECT ticker, CASE WHEN length(any_value(p.a)) + length(any_value(p.b)) = 0 THEN 1.0 ELSE 2.0 * sum(k) / (length(any_value(p.a)) + length(any_value(p.b))) END AS s
+      FROM blocks JOIN p USING (ticker) GROUP BY ticker)"""
 
 
 # every n % 9 = 0 row is neither active nor delisted, so it joins no active side
 CONF = f"""{LIFE}, {CUR},
-  nm AS (SELECT n.ticker, n.n, n.fund_name, c.current_name, n.n % 9 <> 0 AS act, n.n % 5 = 0 AS old, {sim('n.fund_name', 'c.current_name')} AS s FROM named n JOIN cur c USING (ticker)),
-  c1 AS (SELECT ticker, current_name, array_to_string(list_sort(list_filter([CASE WHEN NOT act THEN 'nasdaq_not_in_alpha_active_etf' END, CASE WHEN act AND s < 0.64 THEN 'active_name_mismatch' END,
+  sims AS {sims('fund_name', 'current_name', 'named JOIN cur USING (ticker)')},
+  nm AS (SELECT n.ticker, n.n, n.fund_name, c.current_name, n.n % 9 <> 0 AS act, n.n % 5 = 0 AS old, s FROM named n JOIN cur c USING (ticker) JOIN sims USING (ticker)),
+  c1 AS (SELECT ticker, current_name, array_to_string(list_sort(list_filter([CASE WHEN NOT act THEN 'nasdaq_not_in_alpha_active_etf' END, CASE WHEN act AND s < 0.72 THEN 'active_name_mismatch' END,
       CASE WHEN act AND n % 4 = 0 THEN 'price_predates_current_lifecycle' END, CASE WHEN old THEN 'current_ticker_has_distinct_delisted_entity' END, CASE WHEN old THEN 'alpha_lifecycle_name_conflict' END], lambda t: t IS NOT NULL)), '|') AS conflict_types,
       CASE WHEN act THEN fund_name ELSE '' END AS active_names, CASE WHEN old THEN 'Former ' || fund_name ELSE '' END AS delisted_names FROM nm),
   conf AS (SELECT ticker, conflict_types, current_name, active_names, delisted_names FROM c1 WHERE conflict_types <> ''
@@ -134,7 +145,7 @@ SQL = {
     "fn_reason_concat": """SELECT concat_ws('|', CASE WHEN l_quantity > 40 THEN 'large' END, CASE WHEN l_discount = 0 THEN 'no_discount' END, CASE WHEN l_tax > 0.05 THEN 'taxed' END) AS reasons, count(*) AS lines FROM lineitem GROUP BY 1""",
     "fn_json_cols": f"""WITH {base()} SELECT portfolio, '{{' || string_agg('"' || ticker || '":"' || printf('%.4f', weight + 1e-9) || '"', ',' ORDER BY ticker) || '}}' AS weights FROM weights GROUP BY portfolio""",
     "fn_string_agg": f"WITH {instruments()} SELECT sector, string_agg(ticker, '|' ORDER BY ticker) AS tickers FROM instruments GROUP BY sector",
-    "fn_name_similarity": f"""WITH {NAMED}, {CUR}, x AS (SELECT ticker, {sim('fund_name', 'current_name')} AS s FROM named JOIN cur USING (ticker)) SELECT ticker, {r('s', 5)} AS similarity, s >= 0.64 AS same FROM x""",
+    "fn_name_similarity": f"""WITH {NAMED}, {CUR}, x AS {sims('fund_name', 'current_name', 'named JOIN cur USING (ticker)')} SELECT ticker, {r('s', 5)} AS similarity, s >= 0.72 AS same FROM x""",
     "fn_gics_pit": f"""WITH {D}, {instruments()}, {CAND}, {MONTH_ENDS}, g AS (SELECT *, ticker IN ('Brand#1/MEDIUM', 'Brand#2/MEDIUM') AS lg FROM cand CROSS JOIN months),
         c AS (SELECT *, CASE WHEN selection_date < ld THEN false WHEN cs = 'Real Estate' THEN effective_trade_date >= DATE '2000-09-01' WHEN cs = 'Communication Services' THEN effective_trade_date >= DATE '2001-03-01' OR lg ELSE true END AS v FROM g)
         SELECT ticker, selection_date, CASE WHEN selection_date >= ld AND cs = 'Communication Services' AND effective_trade_date < DATE '2001-03-01' THEN 'Telecommunication Services' ELSE cs END AS historical_sector_name,

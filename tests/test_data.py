@@ -146,6 +146,29 @@ def test_text_rules(spark):
     assert (row.a, row.b, row.c, row.d) == ("unknown", "BIG CAP", None, 1.0)
 
 
+def test_name_ratio_is_that_of_matching_blocks(spark):
+    """Spark and the SQL both equal Python's ratio: ties, repeats, empty names and both orders."""
+    import random
+    from difflib import SequenceMatcher
+
+    import duckdb
+
+    from oracles.scalars import sims
+
+    draw = random.Random(4)
+    words = [" ".join(draw.choice(["ALPHA", "ALP", "BETA", "ABAB", "A", "GROWTH"]) for _ in range(draw.randint(1, 4))) for _ in range(60)]
+    pairs = [(str(i), a, b) for i, (a, b) in enumerate(zip(words, words[7:] + words[:7]))] + [("x", "", ""), ("y", "BETA", ""), ("z", None, "BETA")]
+    frame = spark.createDataFrame(pairs, "ticker string, a string, b string")
+    got = {r.ticker: r.s for r in frame.select("ticker", text._block_ratio(F.col("a"), F.col("b")).alias("s")).collect()}
+    assert got.pop("z") is None and got == {i: SequenceMatcher(None, a, b).ratio() for i, a, b in pairs[:-1]}
+    con = duckdb.connect()
+    con.execute("CREATE TABLE pairs (ticker VARCHAR, a VARCHAR, b VARCHAR)")
+    normal = [(i, a, b) for i, a, b in frame.select("ticker", text.normalized_name(F.col("a")), text.normalized_name(F.col("b"))).collect() if a and b]
+    con.executemany("INSERT INTO pairs VALUES (?, ?, ?)", normal)
+    found = dict(con.execute(f"SELECT ticker, s FROM {sims('a', 'b', 'pairs')}").fetchall())
+    assert len(found) > 50 and all(abs(found[i] - SequenceMatcher(None, a, b).ratio()) < 1e-12 for i, a, b in normal)
+
+
 def test_numbering_by_groups_equals_one_order(spark):
     rows = [(f"r{i % 3}", f"{'ABCÄ'[i % 4]}{i % 5}x{i % 7}", i) for i in range(200)]
     frame = spark.createDataFrame(rows, "rejection_reason string, ticker string, lifecycle_id int")

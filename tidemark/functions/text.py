@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from difflib import SequenceMatcher
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 UNKNOWN = "unknown"
 # Tokens that stand for a missing value.
@@ -139,10 +143,18 @@ def sleeve(name: Column) -> Column:
 
 
 def name_similarity(left: Column, right: Column) -> Column:
-    """1 - edit distance over the longer length, on normalised names. Not the ratio of matching blocks."""
-    a, b = normalized_name(left), normalized_name(right)
-    longest = F.greatest(F.length(a), F.length(b))
-    return F.when(longest == 0, F.lit(1.0)).otherwise(F.lit(1.0) - F.try_divide(F.levenshtein(a, b), longest))
+    """Ratio of matching blocks of normalised names: twice the characters of the blocks over all characters.
+
+    The longest common block comes first, then those to its left and right. Depends on which name is left. 1 for
+    two empty names, null where either is null.
+    """
+    return _block_ratio(normalized_name(left), normalized_name(right))
+
+
+@F.pandas_udf(DoubleType())
+def _block_ratio(left: pd.Series, right: pd.Series) -> pd.Series:
+    ratio = lambda a, b: None if a is None or b is None else SequenceMatcher(None, a, b).ratio()
+    return pd.Series([ratio(a, b) for a, b in zip(left, right)], dtype="float64")
 
 
 def weights_json(entries: Column) -> Column:

@@ -392,15 +392,14 @@ def pf_scorecard(spark, sf):
 
 @query
 def pf_tieout(spark, sf):
-    """Portfolio returns derived twice, from returns and from a weight matrix, agree."""
+    """Portfolio returns derived twice, from returns and from the value of units bought at the previous close, agree."""
     rets, weights = frames.sector_returns(spark, sf), frames.weight_sets(spark, sf)
     one = portfolio.portfolio_returns(rets, weights)
-    packed = weights.groupBy("portfolio").agg(F.map_from_entries(F.collect_list(F.struct("ticker", "weight"))).alias("w"))
-    rows = rets.groupBy("date").agg(F.map_from_entries(F.collect_list(F.struct("ticker", "ret"))).alias("r"))
-    listed = packed.agg(F.collect_list(F.struct("portfolio", "w"))).scalar()
-    cells = rows.select("date", "r", F.explode(listed).alias("p"))
-    dot = F.aggregate(F.map_entries("r"), F.lit(0.0), lambda acc, e: acc + e["value"] * F.element_at(F.col("p.w"), e["key"]))
-    two = cells.select(F.col("p.portfolio").alias("portfolio"), "date", dot.alias("again"))
+    before = F.lag("close").over(Window.partitionBy("ticker").orderBy("date"))
+    closes = frames.aligned(spark, sf).select("ticker", "date", "close", before.alias("before")).where("before IS NOT NULL")
+    held = closes.join(weights, "ticker").select("portfolio", "date", "before", "close", (F.col("weight") / F.col("before")).alias("units"))
+    value = lambda price: F.sum(F.col("units") * F.col(price))
+    two = held.groupBy("portfolio", "date").agg((value("close") - value("before")).alias("again"))
     joined = one.join(two, ["portfolio", "date"])
     return joined.groupBy("portfolio").agg(
         F.count(F.lit(1)).alias("rows"), F.count_if(is_close(F.col("ret"), F.col("again"), 1e-8, 1e-9)).alias("matching")

@@ -123,22 +123,18 @@ def scan_listing_snapshots(spark, sf):
 
 @query
 def scan_pipe_directory(spark, sf):
-    """A symbol directory with header and trailer rows, written as text and read back."""
+    """A symbol directory with header and trailer rows, written as parts and read back."""
     known = panel.instruments(spark, sf)
     number = F.regexp_extract("issuer", r"#(\d+)", 1).cast("int")
     code = F.element_at(F.array(*[F.lit(c) for c in ("A", "N", "P", "Z", "V", "Q")]), (number % 6) + 1)
     lines = known.select(
-        F.concat_ws("|", "ticker", F.concat_ws(" ", "issuer", "sector"), code, F.when(number % 4 == 0, "N").otherwise("Y"),
-                    F.when(number % 9 == 0, "Y").otherwise("N")).alias("value")
+        F.col("ticker").alias("ACT Symbol"), F.concat_ws(" ", "issuer", "sector").alias("Security Name"), code.alias("Exchange"),
+        F.when(number % 4 == 0, "N").otherwise("Y").alias("ETF"), F.when(number % 9 == 0, "Y").otherwise("N").alias("Test Issue"),
     )
-    header = "ACT Symbol|Security Name|Exchange|ETF|Test Issue"
-    trailer = lines.agg(F.concat(F.lit("File Creation Time: "), F.count(F.lit(1)).cast("string"), F.lit("||||")).alias("value"))
+    trailer = lines.agg(F.concat(F.lit("File Creation Time: "), F.count(F.lit(1)).cast("string")).alias("ACT Symbol"))
     path = landing_path(spark, "directory")
-    # a directory file is one text file with its header on top; one row per listed symbol bounds it
-    rows = lines.withColumn("o", F.lit(1)).unionByName(trailer.withColumn("o", F.lit(2))).unionByName(
-        lines.agg(F.lit(header).alias("value")).withColumn("o", F.lit(0))
-    )
-    rows.coalesce(1).sortWithinPartitions("o", "value").select("value").write.text(path)
+    # every part has the header, the last one is the trailer: no row meets all others in one task
+    lines.unionByName(trailer, allowMissingColumns=True).write.option("header", True).option("sep", "|").csv(path)
     return files.read_pipe_directory(spark, path, "ACT Symbol", None)
 
 
