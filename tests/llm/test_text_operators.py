@@ -301,10 +301,9 @@ def test_passages_equal_brute_force(spark):
 
 def test_few_long_sentences_are_a_run(spark):
     long = [" ".join(f"{name}{i}" for i in range(26)) + "." for name in ("alpha", "beta")]
-    rows = [(1, f"One begins. It goes on so {long[0]} {long[1]} Mine ends."), (2, f"Two begins there. {long[0]} {long[1]} Ours ends."), (3, f"Three begins. {long[1]} Theirs ends."), (4, "A short one. Two begins there. Ours ends.")]
+    rows = [(1, f"One begins. It goes on so {long[0]} {long[1]} Mine ends."), (2, f"Two begins there. {long[0]} {long[1]} Ours ends."), (3, f"Three begins. {long[1]} Theirs ends."), (4, "A short one. Two begins there. Ours ends."), (5, f"Five begins. {long[0]} {long[1]} Five ends.")]
     texts = {r.doc_id: r.text for r in passages.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert texts[1] == rows[0][1] and texts[4] == rows[3][1]
-    assert texts[2] == f"Two begins there. {long[0]} Ours ends." and texts[3] == "Three begins. Theirs ends."
+    assert all(texts[i] == text for i, text in rows[:4]) and texts[5] == "Five begins. Five ends."
 
 
 def test_line_breaks_inside_a_paragraph_do_not_count(spark):
@@ -341,3 +340,49 @@ def test_classifier_learns_and_takes_awkward_rows(spark):
     assert {r.score for r in classifier.score(docs, none).collect()} == {0.5}
     kept = classifier.good_documents(with_clashes(docs), labels)
     assert kept.columns == with_clashes(docs).columns and kept.filter("doc_id < 200").count() == 120
+
+
+def plain_passages(texts):
+    """Kept sentences by definition, without hashes or patterns: sentences end at a full stop and a blank."""
+    sentences = [[part + "." for part in text.removesuffix(".").split(". ")] for text in texts]
+
+    def runs(parts):
+        for i in range(len(parts)):
+            for j in range(i + 2, len(parts) + 1):
+                chosen = parts[i:j]
+                if sum(1 + len(s) // 60 for s in chosen) >= 3 and sum(map(len, chosen)) >= 40:
+                    yield tuple(chosen), range(i, j)
+                    break
+
+    owner = {}
+    for n, parts in enumerate(sentences):
+        for run, _ in runs(parts):
+            owner.setdefault(run, n)
+    kept = []
+    for n, parts in enumerate(sentences):
+        gone, seen = set(), set()
+        for run, places in runs(parts):
+            if owner[run] < n or run in seen:
+                gone |= set(places)
+            seen.add(run)
+        kept.append([s for i, s in enumerate(parts) if i not in gone])
+    return kept
+
+
+def test_passages_equal_the_definition_on_mixed_sentence_lengths(spark):
+    import random
+
+    draw = random.Random(8)
+    pool = [f"{'word ' * draw.choice([1, 2, 5, 14, 26])}number{i}." for i in range(25)]
+    texts = [" ".join(f"own{n}x{i} start." if draw.random() < 0.3 else draw.choice(pool) for i in range(draw.randint(4, 9))) for n in range(80)]
+    found = passages.deduplicated(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    kept = {r.doc_id: r.text for r in found}
+    assert [kept[n].strip() for n in range(80)] == [" ".join(parts) for parts in plain_passages(texts)]
+    assert any(r.n_removed for r in found)
+
+
+def test_one_long_sentence_alone_is_no_passage(spark):
+    long, other = "a sentence that goes on " * 8 + "to its end. ", "and a second one that goes on as well " * 4 + "to its end. "
+    rows = [(1, "First own words here. " + long + "More of the first."), (2, "Second own words here. " + long + "More of the second."), (3, "Third. " + long + other + "End."), (4, "Fourth. " + long + other + "Fin.")]
+    kept = {r.doc_id: r.text for r in passages.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(kept[i] == text for i, text in rows[:3]) and kept[4] == "Fourth. Fin."

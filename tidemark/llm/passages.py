@@ -19,6 +19,8 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 from tidemark.llm.common import free_name, table, whole_text
 
 RUN = 3
+#: However long its sentences are, a run has several: one shared sentence alone is no passage.
+LEAST_SENTENCES = 2
 LEAST_CHARS = 40
 #: A sentence counts once, and once more for every so many characters: a passage may have few but long ones.
 LONG_CHARS = 60
@@ -30,7 +32,8 @@ def runs_of(text: str, run: int = RUN, least: int = LEAST_CHARS, long: int = LON
     """The sentences, and (hash, first, last + 1) of each run, by place.
 
     A run starts at every sentence with a word and takes at least `run` of them and `least` characters; a
-    sentence counts once more for every `long` characters. A run may end early only if it is the whole text.
+    sentence counts once more for every `long` characters, but a run never has less than two. It may end early
+    only if it is the whole text.
     Case and white space do not count. Lines are sentences; where a single newline ends one without a full stop,
     runs are taken once more with such lines joined, so it does not matter where a paragraph is wrapped.
     """
@@ -62,11 +65,11 @@ def runs_over(sentences: list[tuple[str, int, int]], size: int, run: int, least:
     plain = [sentence for sentence, *_ in sentences]
     for i in range(n):
         j, width, count = i, 0, 0
-        while j < n and (count < run or width < least):
+        while j < n and (count < run or width < least or j - i < LEAST_SENTENCES):
             width += len(plain[j])
             count += 1 + len(plain[j]) // long
             j += 1
-        if count < run or width < least:
+        if count < run or width < least or j - i < LEAST_SENTENCES:
             if i == 0:
                 runs.append((hashed(plain), 0, size))
             break
