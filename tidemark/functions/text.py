@@ -34,6 +34,7 @@ EXCLUSION_RULES = (
     ("volatility", r"\bVIX\b|VOLATILITY (?:FUTURES|INDEX|ETF|ETN)"),
     ("option_or_defined_outcome", r"COVERED CALL|OPTION INCOME|PREMIUM INCOME|BUYWRITE|BUY[- ]WRITE|BUFFER|DEFINED OUTCOME|AUTOCALLABLE|COLLAR|YIELDBOOST|MAX INCOME"),
 )
+# Patterns of thematic, equity, United States and single-stock names.
 THEMATIC_RULE = r"ARTIFICIAL INTELLIGENCE|\bAI\b|ROBOT|CYBER|CLEAN ENERGY|GENOMIC|SPACE|METAVERSE|CANNABIS|ESPORTS|FINTECH|NEXT GEN|INNOVATION|QUANTUM|HYDROGEN|CLOUD COMPUTING|DIGITAL ECONOMY"
 EQUITY_RULE = r"\bEQUITY\b|\bSTOCK\b|S&P|RUSSELL|NASDAQ"
 UNITED_STATES_RULE = r"\bU\.?S\.?\b|UNITED STATES|S&P 500|RUSSELL"

@@ -116,6 +116,7 @@ def pick_highest(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     ranked = rows.withColumns(
         {"_rk": F.row_number().over(order), "_tied": F.sum((F.col("adv20") == top).cast("int")).over(part) > 1}
     )
+    # Fixed value: text of the output.
     reason = "ADV20 tied exactly; selected by valid ADV observations, then longer listing history, then ticker alphabetical order"
     return ranked.where(F.col("_rk") == 1).withColumns(
         {"tie_break_used": F.col("_tied"), "tie_break_reason": F.when(F.col("_tied"), reason).otherwise("")}
@@ -254,6 +255,7 @@ def monthly_coverage(monthly: DataFrame, sectors: Sequence[str]) -> DataFrame:
     return out.withColumns(
         {
             "coverage_available": covered,
+            # Fixed value: text of the output.
             "missing_reason": F.when(covered, "").otherwise("no ETF satisfied all point-in-time eligibility rules"),
             "eligible_total": F.sum("eligible_count").over(month), "available_sectors": F.sum(covered.cast("int")).over(month),
         }
