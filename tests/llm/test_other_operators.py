@@ -123,6 +123,41 @@ def test_marks_over_a_host_equal_the_suffix_array(spark):
         at += len(s) + 1
 
 
+def test_suffix_array_equals_sorting():
+    rng = np.random.default_rng(5)
+    for size in (0, 1, 2, 40, 300):
+        tokens = np.append(rng.integers(0, 2, size), -1)
+        order, common = pages.suffix_array(tokens)
+        expected = sorted(range(len(tokens)), key=lambda i: tokens[i:].tolist())
+        shared = [0] + [next(k for k, (x, y) in enumerate(zip([*tokens[a:], None], [*tokens[b:], None])) if x != y) for a, b in zip(expected, expected[1:])]
+        assert order.tolist() == expected and common.tolist() == shared
+
+
+@pytest.mark.parametrize("host_chars", [pages.HOST_CHARS, 0])
+def test_every_page_goes_through_the_suffix_array(spark, host_chars):
+    rng = np.random.default_rng(11)
+    letters = np.array(list("abc"))
+    bodies = [([" ".join(letters[rng.integers(0, 3, rng.integers(1, 14))]) for _ in range(rng.integers(1, 5))], bool(rng.integers(0, 2))) for _ in range(40)]
+    bodies += [bodies[0], bodies[1], (bodies[2][0], not bodies[2][1])]
+    rows = [(i, f"http://h.example/{i}", ("<article>{}</article>" if inside else "{}").format("".join(f"<p>{t}</p>" for t in b))) for i, (b, inside) in enumerate(bodies)]
+    found = {r.page_id: r for r in pages.extract(spark.createDataFrame(rows, "page_id long, url string, html string"), host_chars).collect()}
+
+    def windows(stream):
+        return [tuple(stream[k : k + pages.LEAST_TOKENS]) for k in range(len(stream) - pages.LEAST_TOKENS + 1)]
+
+    once = [*{(tuple(b), inside): None for b, inside in bodies}]
+    seen = [(set(windows(pages.stream_of(list(b)))), inside) for b, inside in once]
+    for i, (b, inside) in enumerate(bodies):
+        stream = pages.stream_of(b)
+        others = [(w, apart) for (w, apart), same in zip(seen, once) if same != (tuple(b), inside)]
+        begins = [k for k in range(len(stream) - 2) if stream[k : k + 2] == ["", ""]]
+        own = windows(stream)
+        assert found[i].repeated_blocks == sum(k < len(own) and any(own[k] in w for w, _ in others) for k in begins)
+        gone = {k + j for k, window in enumerate(own) if not inside and any(window in w for w, apart in others if not apart) for j in range(pages.LEAST_TOKENS)}
+        assert found[i].text == " ".join(t for k, t in enumerate(stream) if t and k not in gone)
+    assert sum(found[i].repeated_blocks for i, (_, inside) in enumerate(bodies) if inside) > 0
+
+
 VECTORS = "vec_id long, embedding array<double>"
 
 
