@@ -241,6 +241,15 @@ def test_texts_are_scanned_once_and_kept_columns_stay(spark):
     assert alone.columns == ["doc_id", "spans"] and rows_of(alone) == rows_of(found.select("doc_id", "spans"))
 
 
+def test_masking_stage_of_the_pipeline_scans_texts_once(spark):
+    import corpus_pipeline
+
+    docs = spark.createDataFrame([(1, "a token=abcdefgh b", "en", "s", 18), (2, None, None, None, 0)], SCHEMA)
+    masked = corpus_pipeline.mask_secrets(spark, docs, "")
+    assert "RLIKE" not in masked._jdf.queryExecution().toString()
+    assert rows_of(masked) == sorted([(1, "a [SECRET] b", "en", "s", 12), (2, None, None, None, 0)], key=repr)
+
+
 def test_overlapping_spans_become_one_mark(spark):
     docs = spark.createDataFrame([(1, "a token=" + "0123456789abcdef" * 2 + " b")], "doc_id long, text string")
     assert secrets.redacted(docs).collect()[0].text == "a [SECRET] b"
