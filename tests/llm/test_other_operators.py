@@ -158,6 +158,16 @@ def test_every_page_goes_through_the_suffix_array(spark, host_chars):
     assert sum(found[i].repeated_blocks for i, (_, inside) in enumerate(bodies) if inside) > 0
 
 
+@pytest.mark.parametrize("host_chars", [pages.HOST_CHARS, 0])
+def test_text_beside_a_container_is_boilerplate_on_pages_without(spark, host_chars):
+    notice, own = "Welcome to the lovely little site of our town today", "own words of the one page that has no container at all"
+    rows = [(0, "http://h.example/", f"<div>{notice}</div><div>{own}</div>"), (9, "http://other.example/", f"<div>{notice}</div>")]
+    rows += [(i, f"http://h.example/{i}", f"<div>{notice}</div><article><p>article {i} quotes {own} and ends</p></article>") for i in (1, 2)]
+    found = {r.page_id: (r.text, r.repeated_blocks) for r in pages.extract(spark.createDataFrame(rows, "page_id long, url string, html string"), host_chars).collect()}
+    assert found[0] == (own, 0) and found[9] == (notice, 0)
+    assert found[1] == (f"article 1 quotes {own} and ends", 0)
+
+
 VECTORS = "vec_id long, embedding array<double>"
 
 
